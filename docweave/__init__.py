@@ -1,0 +1,45 @@
+"""Document large bodies of Python source with Spark."""
+
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# Functions travel to the executors whole, so the package need not be installed there.
+register_pickle_by_value(sys.modules[__name__])
+
+from .config import DocumentationConfig, DocumentationError  # noqa: E402
+from .functions.render import (  # noqa: E402
+    DocstringStyle,
+    EarlyStyle,
+    GoogleStyle,
+    NumpyStyle,
+    PythonStyle,
+)
+from .operators.extract import register_table_function  # noqa: E402
+from .operators.generate import TooManyTokens, offline_generator  # noqa: E402
+from .plans.document import Run, document_files, document_sources  # noqa: E402
+from .schema import ClassDoc, ExceptionDoc, FunctionDoc, ParameterDoc, ReturnDoc  # noqa: E402
+from .sources.code_files import CodeFiles, register_source  # noqa: E402
+
+__all__ = [
+    "ClassDoc",
+    "CodeFiles",
+    "DocstringStyle",
+    "DocumentationConfig",
+    "DocumentationError",
+    "EarlyStyle",
+    "ExceptionDoc",
+    "FunctionDoc",
+    "GoogleStyle",
+    "NumpyStyle",
+    "ParameterDoc",
+    "PythonStyle",
+    "ReturnDoc",
+    "Run",
+    "TooManyTokens",
+    "document_files",
+    "document_sources",
+    "offline_generator",
+    "register_source",
+    "register_table_function",
+]

@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import QUOTE_STYLES
-from .text import split_lines
 
 
 def _none() -> Column:
@@ -148,11 +147,6 @@ def docstring_indent(suite: Column, indent: Column, col: Column, body_col: Colum
     )
 
 
-def indent_docstring(text: Column, indent: Column) -> Column:
-    """Indent every line, blank ones too."""
-    return F.array_join(F.transform(split_lines(text), lambda line: F.concat(indent, line)), "\n")
-
-
 def quote_docstring(text: Column, quote: str) -> Column:
     """Wrap in quotes so that the literal's value is exactly ``text``."""
     if quote not in QUOTE_STYLES:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import CLASS, NAMED_ITEM, SKIP_CALL_NAME, TYPED_ITEM, empty_items
+from ..schema import CLASS, DOC_DATA, NAMED_ITEM, SKIP_CALL_NAME, TYPED_ITEM, empty_items
 from .lets import let
 
 OK = "ok"
@@ -47,10 +47,6 @@ def _text_or_missing(value: Column, name: str) -> Column:
     return F.coalesce(kind == "STRING", F.lit(True))
 
 
-def _text(value: Column, name: str) -> Column:
-    return F.coalesce(F.try_variant_get(value, f"$.{name}", "string"), F.lit("")).alias(name)
-
-
 def _list(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "array<variant>")
 
@@ -69,9 +65,39 @@ def _valid_list(value: Column, name: str, fields: tuple[str, ...]) -> Column:
     )
 
 
-def _items(value: Column, name: str, fields: tuple[str, ...], item: str) -> Column:
-    parsed = F.transform(_list(value, name), lambda it: F.struct(*[_text(it, f) for f in fields]))
-    return F.coalesce(parsed, empty_items(item)).alias(name)
+# Type of a reply with only known fields of the right type, as Spark prints it.
+_ITEMS = r"ARRAY<(?:VOID|OBJECT<(?:(?:assumed_type|description|name): STRING(?:, )?)*>)>"
+_PLAIN = (
+    rf"^OBJECT<(?:description: STRING(?:, )?)?(?:exceptions: {_ITEMS}(?:, )?)?"
+    rf"(?:parameters: {_ITEMS}(?:, )?)?(?:return_values: {_ITEMS})?>$"
+)
+_TYPED, _NAMED = ("name", "description", "assumed_type"), ("name", "description")
+_LISTS = [
+    ("parameters", _TYPED, TYPED_ITEM),
+    ("return_values", _TYPED, TYPED_ITEM),
+    ("exceptions", _NAMED, NAMED_ITEM),
+]
+
+
+def _valid(value: Column, is_class: Column) -> Column:
+    lists = F.lit(True)
+    for name, fields, _ in _LISTS:
+        lists &= _valid_list(value, name, fields)
+    return _text_or_missing(value, "description") & (is_class | lists)
+
+
+def _with_defaults(data: Column, is_class: Column) -> Column:
+    def items(name: str, fields: tuple[str, ...], item: str) -> Column:
+        filled = F.transform(
+            data[name],
+            lambda it: F.struct(*[F.coalesce(it[f], F.lit("")).alias(f) for f in fields]),
+        )
+        return F.when(is_class | data[name].isNull(), empty_items(item)).otherwise(filled).alias(name)
+
+    return F.struct(
+        F.coalesce(data["description"], F.lit("")).alias("description"),
+        *[items(*one) for one in _LISTS],
+    )
 
 
 def parse_arguments(arguments: Column, definition_type: Column) -> Column:
@@ -81,29 +107,16 @@ def parse_arguments(arguments: Column, definition_type: Column) -> Column:
     another JSON type (``null`` included) makes the whole reply invalid. A class keeps
     its description only.
     """
-    typed, named = ("name", "description", "assumed_type"), ("name", "description")
-    lists = [
-        ("parameters", typed, TYPED_ITEM),
-        ("return_values", typed, TYPED_ITEM),
-        ("exceptions", named, NAMED_ITEM),
-    ]
     is_class = definition_type == CLASS
 
     def build(value: Column) -> Column:
-        lists_valid = F.lit(True)
-        for name, fields, _ in lists:
-            lists_valid &= _valid_list(value, name, fields)
-        valid = value.isNotNull() & _text_or_missing(value, "description") & (is_class | lists_valid)
-        data = F.struct(
-            _text(value, "description"),
-            *[
-                F.when(is_class, empty_items(item))
-                .otherwise(_items(value, name, fields, item))
-                .alias(name)
-                for name, fields, item in lists
-            ],
+        # Most replies are plain; the others are checked field by field.
+        plain = _type_of(value).rlike(_PLAIN) & ~F.contains(arguments, F.lit("null"))
+        valid = F.when(plain, F.lit(True)).otherwise(_valid(value, is_class))
+        data = let(
+            F.try_variant_get(value, "$", DOC_DATA), lambda data: _with_defaults(data, is_class)
         )
-        return F.when(valid, data)
+        return F.when(value.isNotNull() & valid, data)
 
     return let(strict_json_object(arguments), build)
 

@@ -2,47 +2,64 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- Fixed values: Python's str.strip / str.splitlines character classes, and the
-# --- stock openings removed from a description (first match only, case-sensitive).
-WHITESPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# --- Fixed values: the line breaks of Python's str.splitlines, and the stock openings
+# --- removed from a description (first match only, case-sensitive).
+LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 STOCK_PREFIXES = ("This function", "This method", "This class")
 # --- End of fixed values.
 
+# Everything Python's str.strip takes for white space; line breaks are part of it.
+WHITESPACE = "".join(char for char in map(chr, range(0x3001)) if char.isspace())
+
 OUTPUT_PREFIX = "modified_"
 
 
+def _class(chars: str) -> str:
+    return "[" + "".join(f"\\u{ord(char):04x}" for char in chars) + "]"
+
+
+ANY_LINE_BREAK = r"\r\n|" + _class(LINE_BREAKS)
+# From the first to the last line break of a stretch of white space.
+_BLANK_LINES = f"{_class(LINE_BREAKS)}(?:{_class(WHITESPACE)}*{_class(LINE_BREAKS)})?"
+
+
 def strip(text: Column) -> Column:
-    """``str.strip()``; Spark's ``trim`` would remove only the space character."""
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+\\z", "")
+    """``str.strip()``; by default ``trim`` would remove only the space character."""
+    return F.trim(text, F.lit(WHITESPACE))
+
+
+def rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(WHITESPACE))
 
 
-def split_lines(text: Column) -> Column:
-    """``str.splitlines()`` for text that is not empty."""
-    return F.split(F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK, -1)
+def indent_lines(text: Column, indent: Column) -> Column:
+    """Put ``indent`` (white space) before each of ``str.splitlines()``, joined by ``\\n``."""
+    last = F.right(text, F.lit(1))
+    ends = F.when(text.endswith("\r\n"), 2).when(F.instr(F.lit(LINE_BREAKS), last) > 0, 1).otherwise(0)
+    body = F.left(text, F.length(text) - ends)
+    return F.concat(indent, F.regexp_replace(body, F.lit(ANY_LINE_BREAK), F.concat(F.lit("\n"), indent)))
 
 
 def strip_blank_lines(text: Column) -> Column:
     """Drop blank lines, then trim the whole text."""
-    kept = F.filter(
-        F.split(text, LINE_BREAK, -1), lambda line: ~line.rlike(f"^{WHITESPACE}*\\z")
-    )
-    return strip(F.array_join(kept, "\n"))
+    return strip(F.regexp_replace(text, _BLANK_LINES, "\n"))
 
 
 def remove_stock_prefix(text: Column) -> Column:
-    return F.regexp_replace(text, "^(" + "|".join(map(re.escape, STOCK_PREFIXES)) + ")", "")
+    rest = text
+    for prefix in STOCK_PREFIXES:
+        cut = text.substr(len(prefix) + 1, 2**31 - 1)
+        rest = F.when(text.startswith(prefix), cut).otherwise(rest)
+    return rest
 
 
 def capitalize_first(text: Column) -> Column:
     """Trim, then upper-case the first character and keep the rest as it is."""
     stripped = strip(text)
-    return F.concat(F.upper(F.substring(stripped, 1, 1)), stripped.substr(2, 2**31 - 1))
+    return F.concat(F.upper(F.left(stripped, F.lit(1))), stripped.substr(2, 2**31 - 1))
 
 
 def tidy_description(text: Column) -> Column:

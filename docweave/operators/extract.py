@@ -23,6 +23,7 @@ FALLBACK_INDENT = "    "
 _LAYOUT = {
     tokenize.NEWLINE, tokenize.NL, tokenize.COMMENT, tokenize.INDENT, tokenize.DEDENT,
 }
+_ENDS = _LAYOUT | {tokenize.ENDMARKER}
 _FSTRING_START = getattr(tokenize, "FSTRING_START", -1)
 _FSTRING_END = getattr(tokenize, "FSTRING_END", -1)
 
@@ -38,28 +39,26 @@ class _Layout:
         self.dedents: set[int] = set()
         self.spans: list[list[int]] = []
         fstrings: list[int] = []
-        previous = None
-        for token in tokenize.generate_tokens(io.StringIO(code).readline):
-            kind, (row, _), (end_row, _) = token.type, token.start, token.end
+        last_kind, last_row = tokenize.NL, 0
+        for kind, text, start, end, _ in tokenize.generate_tokens(io.StringIO(code).readline):
             if kind == _FSTRING_START:
-                fstrings.append(row)
+                fstrings.append(start[0])
             elif kind == _FSTRING_END:
-                self._join(fstrings.pop(), end_row)
+                self._join(fstrings.pop(), end[0])
             elif fstrings:
                 pass
-            elif kind == tokenize.NEWLINE:
-                self.logical_ends.append(row)
             elif kind == tokenize.STRING:
-                self.strings.append(token.start)
-                self._join(row, end_row)
+                self.strings.append(start)
+                self._join(start[0], end[0])
+            elif kind == tokenize.NEWLINE:
+                self.logical_ends.append(start[0])
             elif kind == tokenize.INDENT:
-                self.indent = self.indent or token.string
+                self.indent = self.indent or text
             elif kind == tokenize.DEDENT:
-                self.dedents.add(row)
-            if previous is not None and kind not in _LAYOUT and not fstrings:
-                if previous.type not in _LAYOUT and kind != tokenize.ENDMARKER:
-                    self._join(previous.end[0], row)  # a backslash joins the lines
-            previous = token
+                self.dedents.add(start[0])
+            if last_row != start[0] and last_kind not in _LAYOUT and kind not in _ENDS:
+                self._join(last_row, start[0])  # a backslash joins the lines
+            last_kind, last_row = kind, end[0]
         self.indent = self.indent or FALLBACK_INDENT
         self.inner = {n for first, last in self.spans for n in range(first + 1, last + 1)}
 

@@ -86,7 +86,7 @@ def call_generator(func: Generator, request: dict) -> dict:
 
 
 def generate(requests: DataFrame, func: Generator, max_workers: int) -> DataFrame:
-    """``(cache_key, arguments_json, status, error)`` of every request.
+    """``(cache_key, data, status, error)`` of every request.
 
     ``max_workers`` partitions, so at most that many calls at the same time. Write the
     result down before using it twice: each evaluation calls the generator again.
@@ -105,13 +105,11 @@ def generate(requests: DataFrame, func: Generator, max_workers: int) -> DataFram
 def check_answers(raw: DataFrame) -> DataFrame:
     """Validate replies and arguments; only a fully valid answer gets the status ``ok``."""
     reply = F.when(F.col("is_reply"), read_reply(F.col("raw"), F.col("call_name")))
+    arguments = F.when(F.col("is_reply"), F.col("reply.arguments")).otherwise(F.col("raw"))
     read = (
         validate_types(raw)
         .withColumn("reply", reply)
-        .withColumn(
-            "arguments_json", F.when(F.col("is_reply"), F.col("reply.arguments")).otherwise(F.col("raw"))
-        )
-        .withColumn("data", parse_arguments(F.col("arguments_json"), F.col("definition_type")))
+        .withColumn("data", parse_arguments(arguments, F.col("definition_type")))
     )
     status = (
         F.when(F.col("status") != OK, F.col("status"))
@@ -122,7 +120,7 @@ def check_answers(raw: DataFrame) -> DataFrame:
     )
     return read.select(
         "cache_key",
-        "arguments_json",
+        F.when(status == OK, F.col("data")).alias("data"),
         status.alias("status"),
         F.when(status != OK, F.coalesce("error", "raw")).alias("error"),
     )

@@ -42,6 +42,7 @@ def distinct_requests(rows: DataFrame) -> DataFrame:
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """Requests whose key the cache does not hold."""
     return requests.join(cache.select("cache_key"), "cache_key", "left_anti")
 
 

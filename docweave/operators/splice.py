@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.lets import let
-from ..functions.text import WHITESPACE
+from ..functions.text import rstrip
 
 END = 2**31 - 1
 
@@ -105,7 +105,7 @@ def apply_edits(slots: Column, edits: Column) -> Column:
         indent = edit["indent"]
         added = F.array(F.concat(indent, edit["docstring"]), indent)
         text = F.get(pieces, F.lit(0))
-        header = F.regexp_replace(text.substr(F.lit(1), edit["offset"]), f"{WHITESPACE}+\\z", "")
+        header = rstrip(F.left(text, edit["offset"]))
         body = F.concat(indent, text.substr(edit["offset"] + 1, F.lit(END)))
         split = F.concat(
             F.array(header),

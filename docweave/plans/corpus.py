@@ -30,4 +30,6 @@ def corpus(spark: SparkSession, sf_dir: str, table: str = "part", key: str = "p_
     )
     ordered = F.array_sort(F.collect_list(F.struct("k", "text")))
     code = F.concat(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n"), F.lit("\n"))
-    return items.groupBy("path").agg(code.alias("code"))
+    # Parsing is heavy for its bytes: keep all partitions instead of merging small ones.
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return items.repartition(slices, "path").groupBy("path").agg(code.alias("code"))

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DocumentationConfig
 from ..functions.lets import let
-from ..functions.render import docstring_indent, indent_docstring, quote_docstring
-from ..functions.replies import EMPTY_DESCRIPTION, OK, parse_arguments
-from ..functions.text import output_path, postprocess, strip_blank_lines
+from ..functions.render import docstring_indent, quote_docstring
+from ..functions.replies import EMPTY_DESCRIPTION, OK
+from ..functions.text import indent_lines, output_path, postprocess, strip_blank_lines
 from ..operators.extract import definition_id, parse_modules
 from ..operators.generate import generate
 from ..operators.requests import (
@@ -29,11 +29,12 @@ from ..operators.requests import (
     with_request,
 )
 from ..operators.splice import apply_edits, definition_text, edit_of, line_slots, rewritten_code
+from ..schema import DOC_DATA
 from ..sources.code_files import decode_sources, read_sources, write_sources
 from ..sources.globs import source_paths
 from ..workspace import new_run_folder
 
-CACHE_DDL = "cache_key STRING, arguments_json STRING, error STRING, run_id STRING, status STRING"
+CACHE_DDL = f"cache_key STRING, data {DOC_DATA}, error STRING, run_id STRING, status STRING"
 KEY_SPACE = 16**8
 
 
@@ -50,6 +51,11 @@ class Run:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
+    def save(self, name: str, rows: DataFrame) -> DataFrame:
+        """Write rows down and go on from there: nothing upstream is computed again."""
+        rows.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
+
     def parsed(self) -> DataFrame:
         """Modules with their definitions; ``rounds`` is -1 for files that failed."""
         return self.table("parsed")
@@ -123,9 +129,10 @@ def document_files(files: DataFrame, config: DocumentationConfig, placed: bool =
     run = Run(spark, config, run_id, folder, 0)
     _write_parsed(run, files, placed)
     run.levels = max(_bucketed(run).agg(F.max("rounds")).first()[0] or 0, 0)
+    _open_cache(run)
     for level in range(run.levels):
         _document_level(run, level)
-    _outputs(run).write.parquet(f"{folder}/outputs")
+    run.save("outputs", _outputs(run))
     spark.sql(f"DROP TABLE {_bucketed_name(run)}")  # the name only; its files stay
     return run
 
@@ -163,22 +170,25 @@ def _write_parsed(run: Run, files: DataFrame, placed: bool) -> None:
 
 
 def _document_level(run: Run, level: int) -> None:
-    config, spark = run.config, run.spark
+    config, at = run.config, f"level={level}"
     texts = with_request(_candidates(run, level), config.language, config.temperature)
-    texts.write.parquet(f"{run.folder}/definitions/level={level}")
-    candidates = run.table(f"definitions/level={level}")
-    total = candidates.count()
-
-    distinct_requests(candidates).write.parquet(f"{run.folder}/requests/level={level}")
-    requests = run.table(f"requests/level={level}")
-    _fill_cache(run, requests, level)
-
-    hot = hot_keys(requests.select("cache_key", "uses"), total, _slices(spark))
-    placed = candidates.select(
-        "path", "rounds", "indent", "def_id", "definition_type", "d", "cache_key"
+    total = Observation()
+    candidates = run.save(f"definitions/{at}", texts.observe(total, F.count("*").alias("n")))
+
+    # Sorted by key within each file, so a wave of calls reads only its own part.
+    distinct = Observation()
+    requests = run.save(
+        f"requests/{at}",
+        distinct_requests(candidates)
+        .sortWithinPartitions("cache_key")
+        .observe(distinct, F.count("*").alias("n")),
     )
+    _fill_cache(run, requests, distinct.get["n"])
+
+    hot = hot_keys(requests, total.get["n"], _slices(run.spark))
+    placed = candidates.drop("definition", "language", "temperature")
     answered = join_by_key(placed, _answers(run, requests), hot, F.col("def_id"))
-    _docstrings(answered, config).write.parquet(f"{run.folder}/docstrings/level={level}")
+    run.save(f"docstrings/{at}", _docstrings(answered, config))
 
 
 def _candidates(run: Run, level: int) -> DataFrame:
@@ -231,29 +241,26 @@ def _cache_folder(run: Run) -> str:
 
 def _cache(run: Run) -> DataFrame:
     """Valid answers of all runs, and this run's failed ones."""
-    try:
-        table = run.spark.read.schema(CACHE_DDL).parquet(_cache_folder(run))
-    except Exception as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        table = run.spark.createDataFrame([], CACHE_DDL)
+    table = run.spark.read.schema(CACHE_DDL).parquet(_cache_folder(run))
     return table.where((F.col("status") == OK) | (F.col("run_id") == run.run_id))
 
 
-def _fill_cache(run: Run, requests: DataFrame, level: int) -> None:
+def _open_cache(run: Run) -> None:
+    """Create the cache table, empty, unless there is one."""
+    nothing = run.spark.createDataFrame([], CACHE_DDL)
+    nothing.write.mode("ignore").partitionBy("status").parquet(_cache_folder(run))
+
+
+def _fill_cache(run: Run, requests: DataFrame, count: int) -> None:
     """Generate what the cache lacks, in waves that are each committed when done."""
     config = run.config
-    known = _cache(run).where(F.col("status") == OK)
-    wanted = cache_misses(requests, known).drop("uses")
-    # Sorted by key within each file, so a wave reads only its own part.
-    wanted.sortWithinPartitions("cache_key").write.parquet(f"{run.folder}/misses/level={level}")
-    misses = run.table(f"misses/level={level}")
-    per_wave = config.max_workers * config.calls_per_task
-    waves = -(-misses.count() // per_wave)
+    waves = -(-count // (config.max_workers * config.calls_per_task))
     edges = ["%08x" % (KEY_SPACE * wave // waves) for wave in range(waves)] + ["g"]
     for low, high in zip(edges, edges[1:]):
-        wave = misses.where((F.col("cache_key") >= low) & (F.col("cache_key") < high))
-        answers = generate(wave, config.generate_docstring_func, config.max_workers)
+        in_wave = (F.col("cache_key") >= low) & (F.col("cache_key") < high)
+        known = _cache(run).where(in_wave & (F.col("status") == OK))
+        misses = cache_misses(requests.where(in_wave), known)
+        answers = generate(misses, config.generate_docstring_func, config.max_workers)
         (
             answers.withColumn("run_id", F.lit(run.run_id))
             .write.mode("append")
@@ -264,30 +271,27 @@ def _fill_cache(run: Run, requests: DataFrame, level: int) -> None:
 
 def _answers(run: Run, requests: DataFrame) -> DataFrame:
     """One answer per requested key, a valid one if there is any."""
-    best = F.min(F.struct(F.col("status") != OK, "arguments_json", "status", "error"))
+    best = F.min(F.struct(F.col("status") != OK, "data", "status", "error"))
     return (
         _cache(run)
         .join(requests.select("cache_key"), "cache_key", "left_semi")
         .groupBy("cache_key")
         .agg(best.alias("best"))
-        .select("cache_key", "best.arguments_json", "best.status", "best.error")
+        .select("cache_key", "best.data", "best.status", "best.error")
     )
 
 
 def _docstrings(answered: DataFrame, config: DocumentationConfig) -> DataFrame:
-    data = parse_arguments(F.col("arguments_json"), F.col("definition_type"))
     d = F.col("d")
-    read = answered.withColumn("data", postprocess(data)).withColumn(
-        "status",
-        F.when(F.col("status") != OK, F.col("status"))
-        .when(F.col("data.description") == "", EMPTY_DESCRIPTION)
-        .otherwise(F.col("status")),
+    empty = (F.col("status") == OK) & (F.col("data.description") == "")
+    read = answered.withColumn("data", postprocess(F.col("data"))).withColumn(
+        "status", F.when(empty, EMPTY_DESCRIPTION).otherwise(F.col("status"))
     )
     rendered = read.withColumn(
         "rendered", config.docstring_builder.render(F.col("data"), F.col("indent"))
     )
     indent = docstring_indent(d["suite"], F.col("indent"), d["col"], d["body_col"])
-    docstring = quote_docstring(indent_docstring(F.col("rendered"), indent), config.quote_style)
+    docstring = quote_docstring(indent_lines(F.col("rendered"), indent), config.quote_style)
     return rendered.select(
         "path",
         "rounds",

@@ -16,12 +16,12 @@ from ..functions.render import (
     GoogleStyle,
     NumpyStyle,
     docstring_indent,
-    indent_docstring,
     quote_docstring,
 )
 from ..functions.replies import EMPTY_DESCRIPTION, OK, TOO_MANY_TOKENS, parse_arguments, read_reply
 from ..functions.text import (
     capitalize_first,
+    indent_lines,
     output_path,
     postprocess,
     remove_stock_prefix,
@@ -292,7 +292,7 @@ def generate_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = distinct_requests(_document_requests(spark, sf_dir))
     answers = generate(requests, offline_generator, _slices(spark))
     return answers.select(
-        "cache_key", "status", F.get_json_object("arguments_json", "$.description").alias("description")
+        "cache_key", "status", F.col("data.description").alias("description")
     )
 
 
@@ -312,10 +312,15 @@ def cache_misses_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_hit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _document_requests(spark, sf_dir).select("doc_id", "cache_key")
+    _, folder = new_run_folder(spark)
+    keyed = _document_requests(spark, sf_dir).select("doc_id", "cache_key")
+    keyed.write.parquet(folder)  # keys are dear, and used four times
+    rows = spark.read.schema(keyed.schema).parquet(folder)
+    labels = _read(spark, sf_dir, "labels").select("doc_id", "quality")
+    cache = rows.join(labels, "doc_id").groupBy("cache_key").agg(F.max("quality").alias("quality"))
     uses = rows.groupBy("cache_key").agg(F.count("*").alias("uses"))
     hot = hot_keys(uses, rows.count(), _slices(spark))
-    joined = join_by_key(rows, _labelled_cache(spark, sf_dir), hot, F.col("doc_id"))
+    joined = join_by_key(rows, cache, hot, F.col("doc_id"))
     return joined.select("doc_id", "cache_key", "quality", F.col("quality").isNotNull().alias("hit"))
 
 
@@ -460,7 +465,7 @@ def indent_docstring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     indent = docstring_indent(suite, F.lit("  "), number - 1, number)
     text = GoogleStyle().render(F.col("data"), F.lit("  "))
     return _line_items(spark, sf_dir).select(
-        "l_orderkey", "l_linenumber", indent_docstring(text, indent).alias("docstring")
+        "l_orderkey", "l_linenumber", indent_lines(text, indent).alias("docstring")
     )
 
 
