@@ -31,10 +31,6 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITESPACE))
 
 
-def rstrip(text: Column) -> Column:
-    return F.rtrim(text, F.lit(WHITESPACE))
-
-
 def indent_lines(text: Column, indent: Column) -> Column:
     """Put ``indent`` (white space) before each of ``str.splitlines()``, joined by ``\\n``."""
     last = F.right(text, F.lit(1))
@@ -86,5 +82,7 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\w+|[^\w\s]"))
 
 
-def normalise_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+def normalise_code(text: Column) -> Column:
+    """Source text as a text-mode read gives it: no byte-order mark, ``\\n`` line ends."""
+    unmarked = F.when(text.startswith("\ufeff"), text.substr(2, 2**31 - 1)).otherwise(text)
+    return F.replace(F.replace(unmarked, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.lets import let
-from ..functions.text import rstrip
+from ..functions.text import WHITESPACE
 
 END = 2**31 - 1
 
@@ -105,7 +105,8 @@ def apply_edits(slots: Column, edits: Column) -> Column:
         indent = edit["indent"]
         added = F.array(F.concat(indent, edit["docstring"]), indent)
         text = F.get(pieces, F.lit(0))
-        header = rstrip(F.left(text, edit["offset"]))
+        # The header ends in a colon; a backslash after it only joined the lines.
+        header = F.rtrim(F.left(text, edit["offset"]), F.lit(WHITESPACE + "\\"))
         body = F.concat(indent, text.substr(edit["offset"] + 1, F.lit(END)))
         split = F.concat(
             F.array(header),

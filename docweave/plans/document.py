@@ -18,7 +18,13 @@ from ..config import DocumentationConfig
 from ..functions.lets import let
 from ..functions.render import docstring_indent, quote_docstring
 from ..functions.replies import EMPTY_DESCRIPTION, OK
-from ..functions.text import indent_lines, output_path, postprocess, strip_blank_lines
+from ..functions.text import (
+    indent_lines,
+    normalise_code,
+    output_path,
+    postprocess,
+    strip_blank_lines,
+)
 from ..operators.extract import definition_id, parse_modules
 from ..operators.generate import generate
 from ..operators.requests import (
@@ -155,6 +161,7 @@ def _write_parsed(run: Run, files: DataFrame, placed: bool) -> None:
     buckets = _slices(run.spark)
     if not placed:
         files = files.repartition(buckets, "path")
+    files = files.withColumn("code", normalise_code(F.col("code")))
     parsed = parse_modules(files, run.config.skip_init_methods)
     if "read_error" in parsed.columns:
         parsed = parsed.withColumn("error", F.coalesce("read_error", "error")).drop("read_error")

@@ -18,7 +18,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from ..functions.text import normalise_newlines
+from ..functions.text import normalise_code
 from .files import read_bytes, write_text
 from .globs import expand_component, split_rule
 
@@ -54,9 +54,9 @@ def read_sources(paths: DataFrame) -> DataFrame:
 
 
 def decode_sources(files: DataFrame) -> DataFrame:
-    """``content`` to ``code``: UTF-8 (NULL where it is not), ``\\r\\n`` and ``\\r`` to ``\\n``."""
+    """``content`` to ``code``, normalised; NULL where it is not UTF-8."""
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.withColumn("code", normalise_newlines(text)).drop("content")
+    return files.withColumn("code", normalise_code(text)).drop("content")
 
 
 def write_sources(outputs: DataFrame) -> DataFrame:
