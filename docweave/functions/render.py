@@ -24,7 +24,16 @@ def _assumed_type(item: Column, typed: bool) -> Column:
 
 
 class DocstringStyle:
-    """Base of every style: ``render`` turns a reply struct into docstring text."""
+    """Base of every style: ``render`` turns a reply struct into docstring text.
+
+    Styles with the same settings are equal, so that their columns are built only once.
+    """
+
+    def __eq__(self, other: object) -> bool:
+        return type(self) is type(other) and vars(self) == vars(other)
+
+    def __hash__(self) -> int:
+        return hash(type(self))
 
     def render(self, data: Column, indent: Column) -> Column:
         raise NotImplementedError

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 import json
 import re
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.replies import (
@@ -102,15 +103,12 @@ def generate(requests: DataFrame, func: Generator, max_workers: int) -> DataFram
     return check_answers(raw)
 
 
-def check_answers(raw: DataFrame) -> DataFrame:
-    """Validate replies and arguments; only a fully valid answer gets the status ``ok``."""
+@functools.cache
+def _answer_columns() -> tuple[Column, Column, Column]:
+    """Reply, data and status; built once, they are the costly part of planning."""
     reply = F.when(F.col("is_reply"), read_reply(F.col("raw"), F.col("call_name")))
     arguments = F.when(F.col("is_reply"), F.col("reply.arguments")).otherwise(F.col("raw"))
-    read = (
-        validate_types(raw)
-        .withColumn("reply", reply)
-        .withColumn("data", parse_arguments(arguments, F.col("definition_type")))
-    )
+    data = parse_arguments(arguments, F.col("definition_type"))
     status = (
         F.when(F.col("status") != OK, F.col("status"))
         .when(F.col("type_status") != OK, F.col("type_status"))
@@ -118,11 +116,18 @@ def check_answers(raw: DataFrame) -> DataFrame:
         .when(F.col("data").isNull(), INVALID_ARGUMENTS)
         .otherwise(OK)
     )
-    return read.select(
+    return reply, data, status
+
+
+def check_answers(raw: DataFrame) -> DataFrame:
+    """Validate replies and arguments; only a fully valid answer gets the status ``ok``."""
+    reply, data, status = _answer_columns()
+    read = validate_types(raw).withColumn("reply", reply).withColumn("data", data)
+    return read.withColumn("status", status).select(
         "cache_key",
-        F.when(status == OK, F.col("data")).alias("data"),
-        status.alias("status"),
-        F.when(status != OK, F.coalesce("error", "raw")).alias("error"),
+        F.when(F.col("status") == OK, F.col("data")).alias("data"),
+        "status",
+        F.when(F.col("status") != OK, F.coalesce("error", "raw")).alias("error"),
     )
 
 

@@ -9,6 +9,7 @@ only files that still have work, and writes only small rows (docstrings), never
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import DocumentationConfig
 from ..functions.lets import let
-from ..functions.render import docstring_indent, quote_docstring
+from ..functions.render import DocstringStyle, docstring_indent, quote_docstring
 from ..functions.replies import EMPTY_DESCRIPTION, OK
 from ..functions.text import (
     indent_lines,
@@ -198,22 +199,31 @@ def _document_level(run: Run, level: int) -> None:
     run.save(f"docstrings/{at}", _docstrings(answered, config))
 
 
-def _candidates(run: Run, level: int) -> DataFrame:
-    """Definitions of one level with their cleaned text."""
-    modules = _bucketed(run).where(F.col("rounds") > level)
+@functools.cache
+def _texts(with_edits: bool) -> Column:
+    """Definitions of the level ``at``, each with its source text as it is by then.
+
+    Large columns like this one are built once: planning them costs more than a small job.
+    """
     slots: Column = line_slots(F.col("code"), F.col("spans"))
-    if level:
-        modules = modules.join(_edits(run, level), "path", "left")
+    if with_edits:
         original = slots
         slots = let(original, lambda s: apply_edits(s, F.col("edits")))
-    texts = let(
+    return let(
         slots,
         lambda s: F.transform(
-            F.filter("defs", lambda d: d["level"] == level),
+            F.filter("defs", lambda d: d["level"] == F.col("at")),
             lambda d: F.struct(d.alias("d"), definition_text(s, d).alias("text")),
         ),
     )
-    rows = modules.select("path", "rounds", "indent", F.explode(texts).alias("x"))
+
+
+def _candidates(run: Run, level: int) -> DataFrame:
+    """Definitions of one level with their cleaned text."""
+    modules = _bucketed(run).where(F.col("rounds") > level).withColumn("at", F.lit(level))
+    if level:
+        modules = modules.join(_edits(run, level), "path", "left")
+    rows = modules.select("path", "rounds", "indent", F.explode(_texts(level > 0)).alias("x"))
     return rows.select(
         "path",
         "rounds",
@@ -288,30 +298,47 @@ def _answers(run: Run, requests: DataFrame) -> DataFrame:
     )
 
 
-def _docstrings(answered: DataFrame, config: DocumentationConfig) -> DataFrame:
-    d = F.col("d")
+@functools.cache
+def _docstring_columns(style: DocstringStyle, quote: str) -> tuple[Column, Column, Column, Column]:
+    """Tidied data, status, rendered text and quoted docstring, each from those before."""
     empty = (F.col("status") == OK) & (F.col("data.description") == "")
-    read = answered.withColumn("data", postprocess(F.col("data"))).withColumn(
-        "status", F.when(empty, EMPTY_DESCRIPTION).otherwise(F.col("status"))
+    d = F.col("d")
+    indent = docstring_indent(d["suite"], F.col("indent"), d["col"], d["body_col"])
+    quoted = quote_docstring(indent_lines(F.col("rendered"), indent), quote)
+    return (
+        postprocess(F.col("data")),
+        F.when(empty, EMPTY_DESCRIPTION).otherwise(F.col("status")),
+        style.render(F.col("data"), F.col("indent")),
+        F.when(F.col("status") == OK, quoted),
     )
-    rendered = read.withColumn(
-        "rendered", config.docstring_builder.render(F.col("data"), F.col("indent"))
+
+
+def _docstrings(answered: DataFrame, config: DocumentationConfig) -> DataFrame:
+    data, status, rendered, docstring = _docstring_columns(
+        config.docstring_builder, config.quote_style
     )
-    indent = docstring_indent(d["suite"], F.col("indent"), d["col"], d["body_col"])
-    docstring = quote_docstring(indent_lines(F.col("rendered"), indent), config.quote_style)
-    return rendered.select(
-        "path",
-        "rounds",
-        "def_id",
-        "definition_type",
-        "d",
-        "data",
-        F.when(F.col("status") == OK, docstring).alias("docstring"),
-        "status",
-        "error",
+    return (
+        answered.withColumn("data", data)
+        .withColumns({"status": status, "rendered": rendered})
+        .select(
+            "path",
+            "rounds",
+            "def_id",
+            "definition_type",
+            "d",
+            "data",
+            docstring.alias("docstring"),
+            "status",
+            "error",
+        )
     )
 
 
+@functools.cache
+def _new_code() -> Column:
+    return rewritten_code(F.col("code"), F.col("spans"), F.col("edits"))
+
+
 def _outputs(run: Run) -> DataFrame:
     parsed = _bucketed(run).where("rounds >= 0").select("path", "code", "spans", "rounds")
     written = output_path(F.col("path"), run.config.inplace).alias("written_path")
@@ -324,7 +351,7 @@ def _outputs(run: Run) -> DataFrame:
         .select(
             "path",
             written,
-            rewritten_code(F.col("code"), F.col("spans"), F.col("edits")).alias("code"),
+            _new_code().alias("code"),
         )
     )
     return changed.unionByName(unchanged)

@@ -14,6 +14,7 @@ from ..workspace import new_run_folder
 from .files import exists, list_names
 
 _MAGIC = frozenset("*?[")
+_BELOW = "**/"  # a ** that has gone down a folder; no path component can contain a slash
 _STEP = pa.schema([("prefix", pa.string()), ("rest", pa.list_(pa.string()))])
 _STEP_DDL = "prefix STRING, rest ARRAY<STRING>"
 
@@ -41,15 +42,17 @@ def expand_component(prefix: str, rest: list[str], recursive: bool) -> Iterator[
         elif exists(path):
             yield path, []
         return
-    if recursive and head == "**":
+    if recursive and head in ("**", _BELOW):
         # No folder at all, or any visible one and the same again below it.
         if tail:
             yield from expand_component(prefix, tail, recursive)
+        else:
+            if head == "**" and prefix and exists(prefix):
+                yield prefix, []
+            yield from expand_component(prefix, ["*"], recursive)
         for name in list_names(prefix, only_folders=True):
             if not name.startswith("."):
-                yield prefix + name + "/", rest
-        if not tail:
-            yield from expand_component(prefix, ["*"], recursive)
+                yield prefix + name + "/", [_BELOW, *tail]
         return
     names = list_names(prefix, only_folders=bool(tail))
     if not head.startswith("."):
