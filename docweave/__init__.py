@@ -16,7 +16,7 @@ from .functions.render import (  # noqa: E402
     PythonStyle,
 )
 from .operators.extract import register_table_function  # noqa: E402
-from .operators.generate import TooManyTokens, offline_generator  # noqa: E402
+from .operators.generate import TooManyTokens, chat_generator, offline_generator  # noqa: E402
 from .plans.document import Run, document_files, document_sources  # noqa: E402
 from .schema import ClassDoc, ExceptionDoc, FunctionDoc, ParameterDoc, ReturnDoc  # noqa: E402
 from .sources.code_files import CodeFiles, register_source  # noqa: E402
@@ -37,6 +37,7 @@ __all__ = [
     "ReturnDoc",
     "Run",
     "TooManyTokens",
+    "chat_generator",
     "document_files",
     "document_sources",
     "offline_generator",

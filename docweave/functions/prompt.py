@@ -23,3 +23,11 @@ def build_messages(language_name: Column, definition_type: Column, definition: C
         ),
         F.struct(F.lit("user").alias("role"), definition.alias("content")),
     )
+
+
+def prompt_messages(language_name: str, definition_type: str, definition: str) -> list[dict]:
+    """The same messages for one request inside a generator."""
+    return [
+        {"role": "system", "content": SYSTEM_TEXT % (language_name, definition_type)},
+        {"role": "user", "content": definition},
+    ]

@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from ..schema import QUOTE_STYLES
 
 
-def _none() -> Column:
-    return F.array().cast("array<string>")
-
-
 def _or_value(item: Column) -> Column:
     return F.when(item["name"] == "", F.lit("value")).otherwise(item["name"])
 
@@ -45,21 +41,20 @@ class SectionedStyle(DocstringStyle):
     # (title, field, whether its items carry a type)
     sections: tuple[tuple[str, str, bool], ...] = ()
 
-    def heading(self, title: str) -> Column:
+    def heading(self, title: str) -> str:
         raise NotImplementedError
 
-    def item_lines(self, item: Column, indent: Column, typed: bool) -> Column:
+    def item_text(self, item: Column, indent: Column, typed: bool) -> Column:
         raise NotImplementedError
 
     def section(self, title: str, items: Column, indent: Column, typed: bool) -> Column:
-        lines = F.flatten(F.transform(items, lambda item: self.item_lines(item, indent, typed)))
-        return F.when(F.size(items) > 0, F.concat(self.heading(title), lines)).otherwise(_none())
+        lines = F.transform(items, lambda item: self.item_text(item, indent, typed))
+        text = F.concat(F.lit(f"\n\n{self.heading(title)}\n"), F.array_join(lines, "\n"))
+        return F.when(F.size(items) > 0, text).otherwise("")
 
     def render(self, data: Column, indent: Column) -> Column:
-        parts = [F.array(data["description"])]
-        for title, name, typed in self.sections:
-            parts.append(self.section(title, data[name], indent, typed))
-        return F.concat(F.lit("\n"), F.array_join(F.concat(*parts), "\n"), F.lit("\n\n"))
+        parts = [self.section(title, data[name], indent, typed) for title, name, typed in self.sections]
+        return F.concat(F.lit("\n"), data["description"], *parts, F.lit("\n\n"))
 
 
 class GoogleStyle(SectionedStyle):
@@ -69,13 +64,13 @@ class GoogleStyle(SectionedStyle):
         ("Raises", "exceptions", False),
     )
 
-    def heading(self, title: str) -> Column:
-        return F.array(F.lit(""), F.lit(f"{title}:"))
+    def heading(self, title: str) -> str:
+        return f"{title}:"
 
-    def item_lines(self, item: Column, indent: Column, typed: bool) -> Column:
+    def item_text(self, item: Column, indent: Column, typed: bool) -> Column:
         kind = _assumed_type(item, typed)
         shown = F.when(kind == "", F.lit("")).otherwise(F.concat(F.lit(" ("), kind, F.lit(")")))
-        return F.array(F.concat(indent, _or_value(item), shown, F.lit(": "), item["description"]))
+        return F.concat(indent, _or_value(item), shown, F.lit(": "), item["description"])
 
 
 class NumpyStyle(SectionedStyle):
@@ -85,14 +80,12 @@ class NumpyStyle(SectionedStyle):
         ("Raises", "exceptions", False),
     )
 
-    def heading(self, title: str) -> Column:
-        return F.array(F.lit(""), F.lit(title), F.lit("-" * len(title)))
+    def heading(self, title: str) -> str:
+        return f"{title}\n{'-' * len(title)}"
 
-    def item_lines(self, item: Column, indent: Column, typed: bool) -> Column:
-        return F.array(
-            F.concat(indent, _or_value(item), F.lit(" : "), _assumed_type(item, typed)),
-            F.concat(indent, indent, item["description"]),
-        )
+    def item_text(self, item: Column, indent: Column, typed: bool) -> Column:
+        first = [indent, _or_value(item), F.lit(" : "), _assumed_type(item, typed)]
+        return F.concat(*first, F.lit("\n"), indent, indent, item["description"])
 
 
 class EarlyStyle(DocstringStyle):

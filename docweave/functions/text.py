@@ -36,7 +36,10 @@ def indent_lines(text: Column, indent: Column) -> Column:
     last = F.right(text, F.lit(1))
     ends = F.when(text.endswith("\r\n"), 2).when(F.instr(F.lit(LINE_BREAKS), last) > 0, 1).otherwise(0)
     body = F.left(text, F.length(text) - ends)
-    return F.concat(indent, F.regexp_replace(body, F.lit(ANY_LINE_BREAK), F.concat(F.lit("\n"), indent)))
+    start = F.concat(F.lit("\n"), indent)
+    usual = F.replace(body, F.lit("\n"), start)
+    other = F.regexp_replace(body, F.lit(ANY_LINE_BREAK), start)
+    return F.concat(indent, F.when(body.rlike(_class(LINE_BREAKS[1:])), other).otherwise(usual))
 
 
 def strip_blank_lines(text: Column) -> Column:

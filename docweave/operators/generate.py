@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prompt import prompt_messages
 from ..functions.replies import (
     GENERATION_ERROR,
     INVALID_ARGUMENTS,
@@ -21,7 +22,16 @@ from ..functions.replies import (
     parse_arguments,
     read_reply,
 )
-from ..schema import TOO_MANY_TOKENS_CODE, ClassDoc, FunctionDoc, ParameterDoc, ReturnDoc
+from ..schema import (
+    DEFAULT_MODEL,
+    FUNCTION_CALL_NAMES,
+    LANGUAGES,
+    TOO_MANY_TOKENS_CODE,
+    ClassDoc,
+    FunctionDoc,
+    ParameterDoc,
+    ReturnDoc,
+)
 from .lookups import validate_types
 
 Generator = Callable[..., Any]
@@ -131,6 +141,29 @@ def check_answers(raw: DataFrame) -> DataFrame:
     )
 
 
+def chat_generator(complete: Callable[..., str], model: str = DEFAULT_MODEL) -> Generator:
+    """A generator over a chat model.
+
+    ``complete(model, messages, temperature, function_name)`` returns the reply's JSON text;
+    Spark checks it. Raise ``TooManyTokens`` (or an error with the same ``code``) if the
+    model refuses a request for its length.
+    """
+    languages = {name: shown for name, shown, _ in LANGUAGES}
+    names = dict(FUNCTION_CALL_NAMES)
+
+    def generator(
+        language: str, definition: str, definition_type: str, temperature: float
+    ) -> str:
+        return complete(
+            model=model,
+            messages=prompt_messages(languages[language], definition_type, definition),
+            temperature=temperature,
+            function_name=names[definition_type],
+        )
+
+    return generator
+
+
 def first_word(text: str) -> str:
     found = re.search(r"\w+", text, re.ASCII)
     return found.group(0) if found else ""

@@ -38,7 +38,7 @@ from ..operators.requests import (
 from ..operators.splice import apply_edits, definition_text, edit_of, line_slots, rewritten_code
 from ..schema import DOC_DATA
 from ..sources.code_files import decode_sources, read_sources, write_sources
-from ..sources.globs import source_paths
+from ..sources.globs import require_paths, source_paths
 from ..workspace import new_run_folder
 
 CACHE_DDL = f"cache_key STRING, data {DOC_DATA}, error STRING, run_id STRING, status STRING"
@@ -117,35 +117,42 @@ class Run:
 
 def document_sources(spark: SparkSession, config: DocumentationConfig) -> Run:
     """Document every file the rules select and write the results beside (or over) them."""
-    paths = source_paths(spark, config.include_rules, config.exclude_rules, config.recursive)
+    run = _new_run(spark, config)
+    found = source_paths(spark, config.include_rules, config.exclude_rules, config.recursive)
+    paths = require_paths(run.save("paths", found))
     # Placed by path before the contents are read, so only the paths are shuffled.
     files = decode_sources(read_sources(paths.repartition(_slices(spark), "path")))
-    run = document_files(files.withColumnRenamed("error", "read_error"), config, placed=True)
+    _document(run, files.withColumnRenamed("error", "read_error"))
     run.publish()
     return run
 
 
-def document_files(files: DataFrame, config: DocumentationConfig, placed: bool = False) -> Run:
-    """Document a table ``(path, code)`` of modules with distinct paths.
+def document_files(files: DataFrame, config: DocumentationConfig) -> Run:
+    """Document a table ``(path, code)`` of modules with distinct paths."""
+    run = _new_run(files.sparkSession, config)
+    _document(run, files.repartition(_slices(run.spark), "path"))
+    return run
 
-    ``placed`` says that the rows are already hash-partitioned by path into one
-    partition per bucket (``spark.sql.shuffle.partitions``).
-    """
-    spark = files.sparkSession
+
+def _new_run(spark: SparkSession, config: DocumentationConfig) -> Run:
     run_id, folder = new_run_folder(spark)
-    run = Run(spark, config, run_id, folder, 0)
-    _write_parsed(run, files, placed)
-    run.levels = max(_bucketed(run).agg(F.max("rounds")).first()[0] or 0, 0)
+    return Run(spark, config, run_id, folder, 0)
+
+
+def _document(run: Run, files: DataFrame) -> None:
     _open_cache(run)
-    for level in range(run.levels):
-        _document_level(run, level)
-    run.save("outputs", _outputs(run))
-    spark.sql(f"DROP TABLE {_bucketed_name(run)}")  # the name only; its files stay
-    return run
+    try:
+        _write_parsed(run, files)
+        run.levels = max(_bucketed(run).agg(F.max("rounds")).first()[0] or 0, 0)
+        for level in range(run.levels):
+            _document_level(run, level)
+        run.save("outputs", _outputs(run))
+    finally:  # the name only; the table's files stay
+        run.spark.sql(f"DROP TABLE IF EXISTS {_bucketed_name(run)}")
 
 
 def _bucketed_name(run: Run) -> str:
-    return f"docweave_parsed_{run.run_id}"
+    return f"spark_catalog.default.docweave_parsed_{run.run_id}"
 
 
 def _bucketed(run: Run) -> DataFrame:
@@ -157,11 +164,8 @@ def _slices(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _write_parsed(run: Run, files: DataFrame, placed: bool) -> None:
+def _write_parsed(run: Run, files: DataFrame) -> None:
     """Parse once. Bucketed by path, so code never moves again; split by rounds needed."""
-    buckets = _slices(run.spark)
-    if not placed:
-        files = files.repartition(buckets, "path")
     files = files.withColumn("code", normalise_code(F.col("code")))
     parsed = parse_modules(files, run.config.skip_init_methods)
     if "read_error" in parsed.columns:
@@ -171,7 +175,7 @@ def _write_parsed(run: Run, files: DataFrame, placed: bool) -> None:
     (
         parsed.write.format("parquet")
         .partitionBy("rounds")
-        .bucketBy(buckets, "path")
+        .bucketBy(_slices(run.spark), "path")
         .option("path", f"{run.folder}/parsed")
         .saveAsTable(_bucketed_name(run))
     )

@@ -44,7 +44,7 @@ from ..operators.splice import edit_of, rewritten_code
 from ..schema import DOC_DATA
 from ..sources.code_files import decode_sources, read_sources, write_sources
 from ..sources.files import make_folder
-from ..sources.globs import set_difference, source_paths
+from ..sources.globs import require_paths, set_difference, source_paths
 from ..workspace import new_run_folder
 from .corpus import corpus
 from .document import Run, document_files, document_sources
@@ -121,7 +121,7 @@ def _publish_corpus(spark: SparkSession, sf_dir: str) -> str:
 
 def scan_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _publish_corpus(spark, sf_dir)
-    paths = source_paths(spark, [f"{folder}/*.py"], [f"{folder}/skip_*"])
+    paths = require_paths(source_paths(spark, [f"{folder}/*.py"], [f"{folder}/skip_*"]))
     files = decode_sources(read_sources(paths))
     return files.select(
         F.regexp_extract("path", "([^/]+)$", 1).alias("file"),

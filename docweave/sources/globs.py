@@ -120,10 +120,14 @@ def set_difference(included: DataFrame, excluded: DataFrame) -> DataFrame:
 def source_paths(
     spark: SparkSession, include: list[str], exclude: list[str], recursive: bool = False
 ) -> DataFrame:
-    """Paths to process; an error if there are none."""
-    paths = set_difference(
+    """Paths the include rules match and the exclude rules do not."""
+    return set_difference(
         expand_rules(spark, include, recursive), expand_rules(spark, exclude, recursive)
     )
+
+
+def require_paths(paths: DataFrame) -> DataFrame:
+    """The same paths; an error if there are none."""
     if paths.isEmpty():
         raise DocumentationError("No paths to process")
     return paths

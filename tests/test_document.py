@@ -73,14 +73,14 @@ def check_rewritten(original, new):
 def test_standard_library_keeps_its_meaning(spark):
     folder = sysconfig.get_path("stdlib")
     modules = {}
-    for path in sorted(glob.glob(f"{folder}/[a-d]*.py") + glob.glob(f"{folder}/asyncio/*.py")):
+    for path in sorted(glob.glob(f"{folder}/[ab]*.py") + glob.glob(f"{folder}/asyncio/*.py")):
         with open(path, encoding="utf-8") as file:
             modules[path] = file.read()
     done = run(spark, modules)
     got = outputs(done)
     assert set(got) == set(modules)
     removed = sum(check_rewritten(code, got[path]) for path, code in modules.items())
-    assert removed == done.docstrings().count() > 500
+    assert removed == done.docstrings().count() > 300
 
     again = run(spark, got)
     assert again.levels == 0 and outputs(again) == got
@@ -210,8 +210,9 @@ def test_failed_answers_are_not_cached(spark, tmp_path):
 
 
 def test_whole_replies_are_validated(spark):
-    def reply(language, definition, definition_type, temperature):
-        name = f"respond_with_structured_docstring_data_for_{definition_type}"
+    def reply(model, messages, temperature, function_name):
+        assert messages[0]["content"].startswith("You are a robot") and temperature == 0.25
+        name, definition = function_name, messages[1]["content"]
         call = f'{{"name": "{name}", "arguments": "{{\\"description\\": \\"from a reply\\"}}"}}'
         if "silent" in definition:
             return '{"choices": [{"message": {"content": "no"}}]}'
@@ -220,7 +221,7 @@ def test_whole_replies_are_validated(spark):
         return f'{{"choices": [{{"message": {{"function_call": {call}}}}}]}}'
 
     modules = {"a.py": "def f(): pass\ndef silent(): pass\ndef skip(): pass\nclass C: pass\n"}
-    rows = run(spark, modules, reply).docstrings().collect()
+    rows = run(spark, modules, dw.chat_generator(reply)).docstrings().collect()
     assert {r.d.name: r.status for r in rows} == {
         "f": "ok", "C": "ok", "silent": "no_function_call", "skip": "skipped",
     }
@@ -268,20 +269,25 @@ def test_stream_of_new_files(spark, tmp_path):
     assert len(os.listdir(calls)) == 2
 
 
-def test_code_is_not_shuffled_again(spark):
+def test_code_is_not_shuffled_again(spark, monkeypatch):
     """Joins by path use the buckets: only docstrings are exchanged."""
     from docweave.plans import document
 
-    config = dw.DocumentationConfig(generate_docstring_func=described)
-    done = dw.document_files(frame(spark, {"a.py": "class A:\n  def f(self): pass\n"}), config)
-    document._write_parsed(
-        document.Run(spark, config, "plan", f"{done.folder}-plan", 0), frame(spark, ODD), False
-    )
-    done.run_id = "plan"
+    plans = []
+    save = document.Run.save
+
+    def recording(self, name, rows):
+        if name in ("outputs", "definitions/level=1"):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return save(self, name, rows)
+
+    monkeypatch.setattr(document.Run, "save", recording)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = document._outputs(done)._jdf.queryExecution().executedPlan().toString()
+        done = run(spark, {"a.py": "class A:\n  def f(self): pass\n", "b.py": "x = 1\n"})
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.sql("DROP TABLE docweave_parsed_plan")
-    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    assert len(outputs(done)) == 2 and len(plans) == 2
+    for plan in plans:
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        assert "SortMergeJoin" in plan

@@ -8,7 +8,7 @@ import pytest
 import docweave as dw
 from docweave.operators.checks import failed_outputs
 from docweave.sources.code_files import decode_sources, read_sources, write_sources
-from docweave.sources.globs import expand_rules, set_difference, source_paths
+from docweave.sources.globs import expand_rules, require_paths, set_difference, source_paths
 
 
 @pytest.fixture(scope="module")
@@ -51,9 +51,9 @@ def test_set_difference_compares_spelling(spark, tree, monkeypatch):
 
 def test_nothing_to_process(spark, tree):
     with pytest.raises(dw.DocumentationError, match="No paths to process"):
-        source_paths(spark, [f"{tree}/*.py"], [f"{tree}/*.py"])
+        require_paths(source_paths(spark, [f"{tree}/*.py"], [f"{tree}/*.py"]))
     with pytest.raises(dw.DocumentationError):
-        source_paths(spark, [], [])
+        dw.document_sources(spark, dw.DocumentationConfig(dw.offline_generator))
 
 
 def test_reading_keeps_every_row(spark, tmp_path):
