@@ -266,10 +266,14 @@ def _cache(run: Run) -> DataFrame:
     return table.where((F.col("status") == OK) | (F.col("run_id") == run.run_id))
 
 
+def _own_cache(run: Run) -> str:
+    """This run's part of the cache: runs that share a cache never write to the same folder."""
+    return f"{_cache_folder(run)}/run_id={run.run_id}"
+
+
 def _open_cache(run: Run) -> None:
-    """Create the cache table, empty, unless there is one."""
-    nothing = run.spark.createDataFrame([], CACHE_DDL)
-    nothing.write.mode("ignore").partitionBy("status").parquet(_cache_folder(run))
+    nothing = run.spark.createDataFrame([], CACHE_DDL).drop("run_id")
+    nothing.write.partitionBy("status").parquet(_own_cache(run))
 
 
 def _fill_cache(run: Run, requests: DataFrame, count: int) -> None:
@@ -282,12 +286,7 @@ def _fill_cache(run: Run, requests: DataFrame, count: int) -> None:
         known = _cache(run).where(in_wave & (F.col("status") == OK))
         misses = cache_misses(requests.where(in_wave), known)
         answers = generate(misses, config.generate_docstring_func, config.max_workers)
-        (
-            answers.withColumn("run_id", F.lit(run.run_id))
-            .write.mode("append")
-            .partitionBy("status")
-            .parquet(_cache_folder(run))
-        )
+        answers.write.mode("append").partitionBy("status").parquet(_own_cache(run))
 
 
 def _answers(run: Run, requests: DataFrame) -> DataFrame:

@@ -269,6 +269,7 @@ def _indented() -> str:
     return f"array_to_string(list_transform(string_split({text}, chr(10)), lambda x: {pad} || x), chr(10))"
 
 
+# Fixed value: the system text of the prompt.
 SYSTEM = (
     "'You are a robot who is an expert at writing docstrings for Python classes and functions, "
     "mainly because you are extremely good at being concise.' || chr(10) || "

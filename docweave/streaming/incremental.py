@@ -20,12 +20,12 @@ def document_stream(
     """Document each batch of a stream ``(path, code)``; ``on_run`` gets the finished run.
 
     Give the config a ``cache_path``: a batch that is repeated after a failure, or text
-    seen in an earlier batch, then causes no generator call.
+    seen in an earlier batch, then causes no generator call. A path that comes twice in one
+    batch is taken once.
     """
 
     def document_batch(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.dropDuplicates(["path"])
-        on_run(document_files(newest, config), batch_id)
+        on_run(document_files(batch.dropDuplicates(["path"]), config), batch_id)
 
     return (
         files.writeStream.foreachBatch(document_batch)
