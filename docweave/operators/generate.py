@@ -23,7 +23,9 @@ from ..functions.replies import (
     read_reply,
 )
 from ..schema import (
+    CLASS,
     DEFAULT_MODEL,
+    FUNCTION,
     FUNCTION_CALL_NAMES,
     LANGUAGES,
     TOO_MANY_TOKENS_CODE,
@@ -89,6 +91,8 @@ def call_generator(func: Generator, request: dict) -> dict:
         )
         answer["is_reply"] = isinstance(result, str)
         answer["raw"] = result if isinstance(result, str) else _as_json(result)
+        if not isinstance(result, (str, Mapping)):  # a record's own type decides what it holds
+            answer["definition_type"] = FUNCTION if hasattr(result, "parameters") else CLASS
     except Exception as exc:  # one failing definition must not fail the others
         too_long = getattr(exc, "code", None) == TOO_MANY_TOKENS_CODE
         answer["status"] = TOO_MANY_TOKENS if too_long else GENERATION_ERROR

@@ -239,6 +239,21 @@ def test_init_and_styles(spark):
     assert "Parameters\n    ----------\n        x : \n            The x.\n" in numpy["a.py"]
 
 
+def test_a_record_keeps_its_own_sections(spark):
+    def generate(language, definition, definition_type, temperature):
+        if "Plain" in definition or "def" in definition:
+            return dw.ClassDoc("stands alone.")
+        if "Mapped" in definition:
+            return {"description": "d", "parameters": [{"name": "x"}]}
+        return dw.FunctionDoc("takes.", [dw.ParameterDoc("x", "An x.", "int")])
+
+    code = "class Plain: pass\nclass Full: pass\nclass Mapped: pass\ndef f(): pass\n"
+    rows = run(spark, {"a.py": code}, generate).docstrings().collect()
+    assert {r.d.name: len(r.data.parameters) for r in rows} == {
+        "Plain": 0, "Full": 1, "Mapped": 0, "f": 0,
+    }
+
+
 def test_nothing_to_document(spark):
     done = run(spark, {"a.py": "x = 1\n", "b.py": ""})
     assert outputs(done) == {"a.py": "x = 1\n", "b.py": ""}
