@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lengths, pieces, pii, rules
+from . import (
+    chat,
+    decontamination,
+    extraction,
+    language,
+    lengths,
+    pieces,
+    pii,
+    rules,
+    secrets,
+    simhash,
+)
 from .common import read_table, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +30,16 @@ def _file(name: str) -> bytes:
         return file.read()
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return linked.select("doc_id", simhash.hex_fingerprint(), "component_id")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extraction.extract(read_table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents")).select("doc_id", *pii.digests())
 
@@ -32,6 +53,31 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(encoded)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_pairs(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    kept = secrets.scan(read_table(spark, sf_dir, "documents"), model)
+    return kept.select(
+        "doc_id",
+        F.col("start").alias("start_char"),
+        F.col("end").alias("end_char"),
+        F.sha2("found", 256).alias("found_sha256"),
+        "score",
+    )
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    kept_out = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.where(~kept_out))
+    return language.predict(docs, model, passed={"doc_id": F.col("doc_id"), "held_out": kept_out})
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode_decode(
         read_table(spark, sf_dir, "documents"), _file("piece_bpe_32k.model")
@@ -70,8 +116,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_language_id": op7_language_id,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
