@@ -6,6 +6,9 @@ Spark's own file readers hide names that start with ``_``, hence ``__init__.py``
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +21,17 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from ..config import DocumentationError
 from ..functions.text import normalise_code
-from .files import read_bytes, write_text
-from .globs import expand_component, split_rule
+from .files import exists, read_bytes, write_text
+from .globs import expand_component, split_rule, spread
 
 _FILE = pa.schema([("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 _FILE_DDL = "path STRING, content BINARY, error STRING"
 _DONE = pa.schema([("path", pa.string()), ("written_path", pa.string()), ("error", pa.string())])
 _DONE_DDL = "path STRING, written_path STRING, error STRING"
 BATCH_BYTES = 32 << 20
+REPORTED_ERRORS = 20
 
 
 def read_file(path: str) -> dict:
@@ -36,8 +41,11 @@ def read_file(path: str) -> dict:
         return {"path": path, "content": None, "error": f"{type(exc).__name__}: {exc}"}
 
 
-def read_sources(paths: DataFrame) -> DataFrame:
-    """``(path, content, error)``; an unreadable file keeps its row and gets an error."""
+def read_sources(paths: DataFrame, placed: bool = False) -> DataFrame:
+    """``(path, content, error)``; an unreadable file keeps its row and gets an error.
+
+    Paths are spread over all tasks first, unless the caller has placed them already.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -50,7 +58,8 @@ def read_sources(paths: DataFrame) -> DataFrame:
                     rows, size = [], 0
         yield pa.RecordBatch.from_pylist(rows, schema=_FILE)
 
-    return paths.select("path").mapInArrow(read, _FILE_DDL)
+    listed = paths.select("path") if placed else spread(paths.select("path"), "path")
+    return listed.mapInArrow(read, _FILE_DDL)
 
 
 def decode_sources(files: DataFrame) -> DataFrame:
@@ -59,6 +68,17 @@ def decode_sources(files: DataFrame) -> DataFrame:
     return files.withColumn("code", normalise_code(text)).drop("content")
 
 
+def write_error(path: str | None, code: str | None) -> str | None:
+    """Write one file; what went wrong, if anything."""
+    try:
+        if path is None or code is None:
+            raise ValueError("a file needs a path and code")
+        write_text(path, code)
+    except (OSError, ValueError) as exc:
+        return f"{type(exc).__name__}: {exc}"
+    return None
+
+
 def write_sources(outputs: DataFrame) -> DataFrame:
     """Write ``code`` to ``written_path``: ``(path, written_path, error)`` per row.
 
@@ -69,11 +89,7 @@ def write_sources(outputs: DataFrame) -> DataFrame:
         for batch in batches:
             done = []
             for row in batch.to_pylist():
-                error = None
-                try:
-                    write_text(row["written_path"], row["code"])
-                except (OSError, ValueError) as exc:
-                    error = f"{type(exc).__name__}: {exc}"
+                error = write_error(row["written_path"], row["code"])
                 done.append(
                     {"path": row["path"], "written_path": row["written_path"], "error": error}
                 )
@@ -83,8 +99,10 @@ def write_sources(outputs: DataFrame) -> DataFrame:
 
 
 class _Split(InputPartition):
-    def __init__(self, prefix: str, rest: list[str]) -> None:
-        self.prefix, self.rest = prefix, rest
+    """A folder and what is left of the rule below it; of the names there, one share of ``shares``."""
+
+    def __init__(self, prefix: str, rest: list[str], share: int = 0, shares: int = 1) -> None:
+        self.prefix, self.rest, self.share, self.shares = prefix, rest, share, shares
 
 
 class CodeFilesReader(DataSourceReader):
@@ -95,20 +113,39 @@ class CodeFilesReader(DataSourceReader):
         self.splits = int(options.get("splits", "256"))
 
     def partitions(self) -> list[_Split]:
-        """Expand folders only until there are enough splits; executors do the rest."""
+        """Expand folders only until there are enough splits; executors do the rest.
+
+        A step of the expansion stops at ``splits`` folders too: what is not expanded then stays a
+        split of its own, so the driver never holds more than twice that number. With fewer
+        folders than splits, the names in each are dealt to several splits by their hash.
+        """
         prefix, rest = split_rule(self.rule)
         if not rest:
             folder, _, name = prefix.rpartition("/")
             prefix, rest = (folder + "/" if "/" in prefix else ""), [name]
         level = [(prefix, rest)]
         while 0 < len(level) < self.splits and len(level[0][1]) > 1 and level[0][1][0] != "**":
-            level = [found for p, r in level for found in expand_component(p, r, self.recursive)]
-        return [_Split(p, r) for p, r in level] or [_Split("", [])]
+            further: list[tuple[str, list[str]]] = []
+            for p, r in level:
+                found = list(islice(expand_component(p, r, self.recursive), self.splits + 1))
+                if len(further) + len(found) > self.splits:
+                    return self._shared(level)
+                further += found
+            level = further
+        return self._shared(level) or [_Split("", [])]
+
+    def _shared(self, level: list[tuple[str, list[str]]]) -> list[_Split]:
+        shares = max(1, self.splits // max(len(level), 1))
+        return [_Split(p, r, share, shares) for p, r in level for share in range(shares)]
 
     def read(self, partition: _Split) -> Iterator[tuple]:
-        pending = [(partition.prefix, partition.rest)] if partition.rest else []
+        first = (partition.prefix, partition.rest)
+        pending = [first] if partition.rest else []
         while pending:
-            for prefix, rest in expand_component(*pending.pop(), self.recursive):
+            step = pending.pop()
+            for prefix, rest in expand_component(*step, self.recursive):
+                if step is first and crc32(prefix.encode("utf-8", "surrogateescape")) % partition.shares != partition.share:
+                    continue
                 if rest:
                     pending.append((prefix, rest))
                     continue
@@ -116,22 +153,38 @@ class CodeFilesReader(DataSourceReader):
                 yield prefix, row["content"], row["error"]
 
 
+@dataclass
 class _Written(WriterCommitMessage):
-    pass
+    errors: list[str]
 
 
 class CodeFilesWriter(DataSourceWriter):
+    """Writes every row it can; the job fails at the end if any could not be written."""
+
+    def __init__(self, overwrite: bool) -> None:
+        self.overwrite = overwrite
+
     def write(self, iterator) -> WriterCommitMessage:
+        errors = []
         for row in iterator:
-            write_text(row["written_path"], row["code"])
-        return _Written()
+            path = row["written_path"]
+            kept = not self.overwrite and path is not None and exists(path)
+            error = f"{path} is there already" if kept else write_error(path, row["code"])
+            if error and len(errors) < REPORTED_ERRORS:
+                errors.append(error)
+        return _Written(errors)
+
+    def commit(self, messages) -> None:
+        if errors := [error for message in messages if message for error in message.errors]:
+            raise DocumentationError(f"not written: {'; '.join(errors[:REPORTED_ERRORS])}")
 
 
 class CodeFiles(DataSource):
     """``spark.read.format("code_files").load("src/*.py")``, and the matching writer.
 
     Read options: ``recursive``, ``content`` (false lists paths only), ``splits``.
-    Written rows need ``written_path`` and ``code``.
+    Written rows need ``written_path`` and ``code``; mode ``overwrite`` replaces files, ``append``
+    leaves a file that is there alone and reports it.
     """
 
     @classmethod
@@ -145,7 +198,7 @@ class CodeFiles(DataSource):
         return CodeFilesReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return CodeFilesWriter()
+        return CodeFilesWriter(overwrite)
 
 
 def register_source(spark: SparkSession) -> None:

@@ -20,17 +20,21 @@ def _remote(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def list_names(folder: str, only_folders: bool) -> list[str]:
-    """Names in a folder; nothing if it cannot be read, like ``glob``."""
+    """Names in a folder; nothing if it is missing, closed to us or no folder, like ``glob``.
+
+    Any other error is raised, so that the task is tried again: a store that does not answer
+    must not look like an empty folder.
+    """
     local = local_path(folder or ".")
-    try:
-        if local is not None:
+    if local is not None:
+        try:
             with os.scandir(local) as found:
                 return [entry.name for entry in found if not only_folders or entry.is_dir()]
-        system, inner = _remote(folder.rstrip("/"))
-        infos = system.get_file_info(fs.FileSelector(inner))
-        return [i.base_name for i in infos if not only_folders or i.type == fs.FileType.Directory]
-    except OSError:
-        return []
+        except (FileNotFoundError, PermissionError, NotADirectoryError):
+            return []
+    system, inner = _remote(folder.rstrip("/"))
+    infos = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    return [i.base_name for i in infos if not only_folders or i.type == fs.FileType.Directory]
 
 
 def exists(path: str) -> bool:
@@ -60,18 +64,41 @@ def read_bytes(path: str) -> bytes:
         return stream.read()
 
 
+#: Stores whose objects appear whole when they are closed; a move there would be a copy.
+OBJECT_STORES = ("s3", "gcs", "abfs")
+
+
 def write_text(path: str, text: str) -> None:
     """Whole file or nothing: a repeated or lost task leaves no half-written file."""
     data = text.encode()
     local = local_path(path)
     if local is None:
-        system, inner = _remote(path)
+        _write_remote(path, data)
+        return
+    draft = f"{local}.{uuid.uuid4().hex}.part"
+    try:
+        with open(draft, "wb") as file:
+            file.write(data)
+        if os.path.exists(local):
+            os.chmod(draft, os.stat(local).st_mode & 0o7777)
+        os.replace(draft, local)
+    finally:  # gone already unless something failed
+        if os.path.lexists(draft):
+            os.unlink(draft)
+
+
+def _write_remote(path: str, data: bytes) -> None:
+    system, inner = _remote(path)
+    if system.type_name in OBJECT_STORES:
         with system.open_output_stream(inner) as stream:
             stream.write(data)
         return
-    draft = f"{local}.{uuid.uuid4().hex}.part"
-    with open(draft, "wb") as file:
-        file.write(data)
-    if os.path.exists(local):
-        os.chmod(draft, os.stat(local).st_mode & 0o7777)
-    os.replace(draft, local)
+    draft = f"{inner}.{uuid.uuid4().hex}.part"
+    try:
+        with system.open_output_stream(draft) as stream:
+            stream.write(data)
+        system.move(draft, inner)
+    except BaseException:
+        if system.get_file_info(draft).type != fs.FileType.NotFound:
+            system.delete_file(draft)
+        raise

@@ -89,12 +89,22 @@ def expand_rules(spark: SparkSession, rules: list[str], recursive: bool = False)
                 yield pa.RecordBatch.from_pylist(chunk, schema=_STEP)
 
     for _ in range(max((len(rest) for _, rest in steps), default=0)):
-        found = found.repartition("prefix").mapInArrow(step, _STEP_DDL)
+        found = spread(found, "prefix").mapInArrow(step, _STEP_DDL)
     if recursive and any("**" in rest for _, rest in steps):
         found = _descend(found, step)
     return found.select(F.col("prefix").alias("path"))
 
 
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """Small rows that stand for work on files, in as many tasks as a shuffle has.
+
+    With a number of their own, and on a key that no other exchange has, so that neither the
+    optimizer drops this one nor adaptive execution merges its partitions by their few bytes.
+    """
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(slices, F.xxhash64(by, F.lit("files")))
+
+
 def _descend(found: DataFrame, step) -> DataFrame:
     """Go on, one folder level at a time, until no folder is left open."""
     _, folder = new_run_folder(found.sparkSession)
@@ -106,9 +116,8 @@ def _descend(found: DataFrame, step) -> DataFrame:
         if opened.isEmpty():
             break
         depth += 1
-        opened.repartition("prefix").mapInArrow(step, _STEP_DDL).write.parquet(
-            f"{folder}/depth={depth}"
-        )
+        stepped = spread(opened, "prefix").mapInArrow(step, _STEP_DDL)
+        stepped.write.parquet(f"{folder}/depth={depth}")
     return read.parquet(folder).where(F.size("rest") == 0).drop("depth")
 
 

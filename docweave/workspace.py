@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from .config import DocumentationError
+
 
 @functools.cache
 def _local_folder() -> str:
@@ -15,10 +17,24 @@ def _local_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local_folder()).rstrip("/")
+    """The folder the cluster names for checkpoints; a local one only on a single machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise DocumentationError(
+            f"set spark.checkpoint.dir to a folder that all executors of {master} share"
+        )
+    return _local_folder()
 
 
 def new_run_folder(spark: SparkSession) -> tuple[str, str]:
     run_id = uuid.uuid4().hex
     return run_id, f"{shared_folder(spark)}/docweave/run-{run_id}"
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
