@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from .functions.render import DocstringStyle, GoogleStyle
+from .functions.text import token_count
 from .schema import LANGUAGES, QUOTE_STYLES
 
 
@@ -28,6 +29,8 @@ class DocumentationConfig:
     recursive: bool = False  # let ** match any number of folders
     cache_path: str | None = None  # kept between runs when given
     calls_per_task: int = 10_000  # answers lost, at most, with one executor
+    models: list[tuple[str, int]] | None = None  # names and token limits, to route requests by
+    token_count: Any = token_count  # from a text column to its tokens, if there are models
 
     def __post_init__(self) -> None:
         for name in ("include_rules", "exclude_rules"):

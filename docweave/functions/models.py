@@ -12,9 +12,9 @@ def over_budget(tokens: Column, model: str = DEFAULT_MODEL) -> Column:
     return tokens > F.lit(dict(MODELS)[model])
 
 
-def route_model(tokens: Column) -> Column:
+def route_model(tokens: Column, models: list[tuple[str, int]] = MODELS) -> Column:
     """The model with the smallest limit that still holds ``tokens``; NULL if none does."""
     chosen = F.lit(None).cast("string")
-    for name, limit in sorted(MODELS, key=lambda model: -model[1]):
+    for name, limit in sorted(models, key=lambda model: -model[1]):
         chosen = F.when(tokens <= limit, F.lit(name)).otherwise(chosen)
     return chosen

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..schema import CLASS, DEFINITION, FUNCTION, MODULE
@@ -233,11 +234,23 @@ def definition_id(path: Column, definition: Column) -> Column:
     return F.concat_ws(":", path, definition["line"], definition["col"])
 
 
-def explode_definitions(parsed: DataFrame) -> DataFrame:
-    """One row per definition, with its exact source lines as ``definition``."""
+def explode_definitions(parsed: DataFrame, text: bool = True) -> DataFrame:
+    """One row per definition, with its exact source lines as ``definition`` if ``text``.
+
+    Without, no code is read, split or copied: positions and flags are all there is.
+    """
     from .splice import definition_text, line_slots
     from ..functions.lets import let
 
+    if not text:
+        rows = parsed.select("path", F.explode("defs").alias("d"))
+        fields = [F.col(f"d.{name}").alias(name) for name in DEFINITION.fieldNames()]
+        return rows.select(
+            "path",
+            definition_id(F.col("path"), F.col("d")).alias("def_id"),
+            F.col("d.kind").alias("definition_type"),
+            *fields,
+        )
     with_text = let(
         line_slots(F.col("code"), F.col("spans")),
         lambda slots: F.transform(
@@ -264,15 +277,24 @@ def undocumented(definitions: DataFrame, skip_init: bool = True) -> DataFrame:
     return definitions.where(wanted)
 
 
+FOUND = T.StructType([*DEFINITION.fields, T.StructField("error", T.StringType())])
+
+
 class ExtractDefinitions:
-    """``extract_definitions(code)`` as a table function for SQL ``LATERAL`` joins."""
+    """``extract_definitions(code)`` as a table function for SQL ``LATERAL`` joins.
+
+    A module that cannot be parsed gives one row: its ``error``, and nothing else.
+    """
 
     def eval(self, code: str) -> Iterator[tuple]:
-        for item in safe_module_facts(code)["defs"] or []:
-            yield tuple(item[name] for name in DEFINITION.fieldNames())
+        if code is not None:  # as a text-mode read gives it, like ``normalise_code``
+            code = code.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+        facts = safe_module_facts(code)
+        if facts["error"] is not None:
+            yield (*[None] * len(DEFINITION.fields), facts["error"])
+        for item in facts["defs"] or []:
+            yield (*[item[name] for name in DEFINITION.fieldNames()], None)
 
 
 def register_table_function(spark) -> None:
-    spark.udtf.register(
-        "extract_definitions", F.udtf(ExtractDefinitions, returnType=DEFINITION)
-    )
+    spark.udtf.register("extract_definitions", F.udtf(ExtractDefinitions, returnType=FOUND))

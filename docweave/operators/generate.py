@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import inspect
 import json
 import re
 from collections.abc import Callable, Iterator, Mapping
@@ -25,6 +26,7 @@ from ..functions.replies import (
 from ..schema import (
     CLASS,
     DEFAULT_MODEL,
+    DOC_DATA,
     FUNCTION,
     FUNCTION_CALL_NAMES,
     LANGUAGES,
@@ -33,6 +35,7 @@ from ..schema import (
     FunctionDoc,
     ParameterDoc,
     ReturnDoc,
+    function_declaration,
 )
 from .lookups import validate_types
 
@@ -72,6 +75,15 @@ def _as_json(data: Any) -> str:
     return json.dumps(dict(data), ensure_ascii=False)
 
 
+def _takes(func: Callable, name: str) -> bool:
+    """Whether a callable can be given an argument of this name."""
+    try:
+        known = inspect.signature(func).parameters.values()
+    except (TypeError, ValueError):
+        return False
+    return any(p.name == name or p.kind is p.VAR_KEYWORD for p in known)
+
+
 def call_generator(func: Generator, request: dict) -> dict:
     """One guarded call. Text is taken for a whole chat reply, anything else for its data."""
     answer = {
@@ -88,6 +100,7 @@ def call_generator(func: Generator, request: dict) -> dict:
             definition=request["definition"],
             definition_type=request["definition_type"],
             temperature=request["temperature"],
+            **({"model": request["model"]} if request.get("model") and _takes(func, "model") else {}),
         )
         answer["is_reply"] = isinstance(result, str)
         answer["raw"] = result if isinstance(result, str) else _as_json(result)
@@ -103,8 +116,10 @@ def call_generator(func: Generator, request: dict) -> dict:
 def generate(requests: DataFrame, func: Generator, max_workers: int) -> DataFrame:
     """``(cache_key, data, status, error)`` of every request.
 
-    ``max_workers`` partitions, so at most that many calls at the same time. Write the
-    result down before using it twice: each evaluation calls the generator again.
+    ``max_workers`` partitions, so at most that many calls at the same time. They are dealt by
+    an expression that no other exchange has: by the key itself, Spark would keep only the
+    exchange of the step before and merge its small partitions. Write the result down before
+    using it twice: each evaluation calls the generator again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +128,20 @@ def generate(requests: DataFrame, func: Generator, max_workers: int) -> DataFram
             yield pa.RecordBatch.from_pylist(answers, schema=_ANSWER)
 
     wanted = ["cache_key", "language", "definition", "definition_type", "temperature"]
-    raw = requests.select(*wanted).repartition(max_workers, "cache_key").mapInArrow(run, _ANSWER_DDL)
-    return check_answers(raw)
+    refused = None
+    if "model" in requests.columns:
+        # Larger than every model's limit: an answer without a call.
+        refused = requests.where("model IS NULL").select(
+            "cache_key",
+            F.lit(None).cast(DOC_DATA).alias("data"),
+            F.lit(TOO_MANY_TOKENS).alias("status"),
+            F.lit("no model takes a text of this length").alias("error"),
+        )
+        requests = requests.where("model IS NOT NULL")
+        wanted.append("model")
+    dealt = requests.select(*wanted).repartition(max_workers, F.xxhash64("cache_key", F.lit("call")))
+    answers = check_answers(dealt.mapInArrow(run, _ANSWER_DDL))
+    return answers if refused is None else answers.unionByName(refused)
 
 
 @functools.cache
@@ -149,20 +176,25 @@ def chat_generator(complete: Callable[..., str], model: str = DEFAULT_MODEL) ->
     """A generator over a chat model.
 
     ``complete(model, messages, temperature, function_name)`` returns the reply's JSON text;
-    Spark checks it. Raise ``TooManyTokens`` (or an error with the same ``code``) if the
-    model refuses a request for its length.
+    Spark checks it. If it has a parameter ``function``, it also gets the declaration of that
+    function: name and parameter schema. A job with ``models`` chooses the model for each request;
+    otherwise it is the one given here. Raise ``TooManyTokens`` (or an error with the same
+    ``code``) if the model refuses a request for its length.
     """
     languages = {name: shown for name, shown, _ in LANGUAGES}
     names = dict(FUNCTION_CALL_NAMES)
+    declared = {name: function_declaration(name) for name in names} if _takes(complete, "function") else None
+    usual = model
 
     def generator(
-        language: str, definition: str, definition_type: str, temperature: float
+        language: str, definition: str, definition_type: str, temperature: float, model: str = usual
     ) -> str:
         return complete(
             model=model,
             messages=prompt_messages(languages[language], definition_type, definition),
             temperature=temperature,
             function_name=names[definition_type],
+            **({"function": declared[definition_type]} if declared else {}),
         )
 
     return generator

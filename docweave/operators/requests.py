@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds this share of all rows, so there are at most this many.
-HOT_KEYS = 1000
-
 
 def cache_key(
     language: Column, definition: Column, definition_type: Column, temperature: Column
@@ -33,11 +30,21 @@ def with_request(definitions: DataFrame, language: str, temperature: float) -> D
     )
 
 
-def distinct_requests(rows: DataFrame) -> DataFrame:
-    """One row per key with its number of uses; copies combine before the shuffle."""
-    same = ["language", "definition", "definition_type", "temperature"]
-    return rows.groupBy("cache_key").agg(
-        *[F.first(name).alias(name) for name in same], F.count("*").alias("uses")
+def distinct_requests(rows: DataFrame, row_id: str) -> DataFrame:
+    """One row per key with its number of uses. ``row_id`` names each row; store ``rows`` first.
+
+    Only keys, counts and the hash of a row's name are aggregated, combined before the shuffle;
+    the text of one row per key is then fetched by that hash, so texts are never sorted and the
+    copies of a frequent text do not meet in one task.
+    """
+    texts = rows.withColumn("pick", F.xxhash64(row_id))
+    picked = texts.groupBy("cache_key").agg(F.min("pick").alias("pick"), F.count("*").alias("uses"))
+    kept = ["cache_key", "language", "definition", "definition_type", "temperature"]
+    optional = [name for name in ("model",) if name in rows.columns]
+    return (
+        texts.select(*kept, *optional, "pick")
+        .join(picked.hint("shuffle_hash"), ["cache_key", "pick"])
+        .drop("pick")
     )
 
 
@@ -47,15 +54,13 @@ def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def hot_keys(requests: DataFrame, total: int, slices: int) -> DataFrame:
-    """``(cache_key, salts)`` of the keys that hold a large share of ``total`` rows.
+    """``(cache_key, salts)`` of the keys with more rows than an average one of ``slices`` tasks.
 
-    Never more than ``HOT_KEYS`` rows, and all salts together never more than
-    ``slices + HOT_KEYS``, whatever the data: both are safe to broadcast and to replicate.
+    There are fewer than ``slices`` of them, and all salts together are fewer than twice that,
+    whatever the data: both are safe to broadcast and to replicate.
     """
-    return requests.where(F.col("uses") * HOT_KEYS >= F.lit(max(total, 1))).select(
-        "cache_key",
-        F.ceil(F.col("uses") * F.lit(slices) / F.lit(max(total, 1))).cast("int").alias("salts"),
-    )
+    share = F.col("uses") * F.lit(slices) / F.lit(max(total, 1))
+    return requests.where(share > 1).select("cache_key", F.ceil(share).cast("int").alias("salts"))
 
 
 def join_by_key(rows: DataFrame, answers: DataFrame, hot: DataFrame, spread: Column) -> DataFrame:

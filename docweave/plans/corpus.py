@@ -33,3 +33,29 @@ def corpus(spark: SparkSession, sf_dir: str, table: str = "part", key: str = "p_
     # Parsing is heavy for its bytes: keep all partitions instead of merging small ones.
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return items.repartition(slices, "path").groupBy("path").agg(code.alias("code"))
+
+
+# A module around a document's text; #c stands for it as a comment, #s as the inside of a string.
+TEXT_MODULE = (
+    "# #c\n@decorate\nclass D#k:\n\tdef outer#k(self,\n\t\t\ta):\n\t\tx = \"\"\"#s\"\"\"\n"
+    "\t\tdef inner#k():\n\t\t\treturn x\n\t\treturn inner#k\n\ndef kept#k():\n\t'''#s'''\n"
+)
+
+
+def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, code)``: every document's text stands in the comments and strings of a module.
+
+    Nested definitions, tabs, a decorator, a header of two lines, strings of many lines; odd
+    modules have CRLF line ends.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    text = F.col("text")
+    inside = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for quote in ('"', "'"):
+        inside = F.replace(inside, F.lit(quote), F.lit("\\" + quote))
+    key = F.col("doc_id").cast("string")
+    code = F.lit(TEXT_MODULE)
+    for mark, value in (("#k", key), ("#c", F.replace(text, F.lit("\n"), F.lit("\n# "))), ("#s", inside)):
+        code = F.replace(code, F.lit(mark), value)
+    ended = F.when(F.col("doc_id") % 2 == 1, F.replace(code, F.lit("\n"), F.lit("\r\n"))).otherwise(code)
+    return docs.select(F.concat(F.lit("src/d"), key, F.lit(".py")).alias("path"), ended.alias("code"))

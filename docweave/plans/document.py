@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import DocumentationConfig
 from ..functions.lets import let
+from ..functions.models import route_model
 from ..functions.render import DocstringStyle, docstring_indent, quote_docstring
 from ..functions.replies import EMPTY_DESCRIPTION, OK
 from ..functions.text import (
@@ -39,9 +40,12 @@ from ..operators.splice import apply_edits, definition_text, edit_of, line_slots
 from ..schema import DOC_DATA
 from ..sources.code_files import decode_sources, read_sources, write_sources
 from ..sources.globs import require_paths, source_paths
-from ..workspace import new_run_folder
+from ..workspace import drop_folder, new_run_folder
 
-CACHE_DDL = f"cache_key STRING, data {DOC_DATA}, error STRING, run_id STRING, status STRING"
+CACHE_DDL = (
+    f"cache_key STRING, data {DOC_DATA}, error STRING, run_id STRING, level INT, status STRING"
+)
+CACHE_LAYOUT = "layout-2"
 KEY_SPACE = 16**8
 
 
@@ -54,6 +58,7 @@ class Run:
     run_id: str
     folder: str
     levels: int
+    published: bool = False
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
@@ -83,10 +88,17 @@ class Run:
         return self.table("outputs")
 
     def errors(self) -> DataFrame:
-        """``(path, def_id, stage, error)`` of files and definitions left out."""
-        parsing = self.parsed().where("rounds < 0").select(
-            "path", F.lit(None).cast("string").alias("def_id"), F.lit("parse").alias("stage"), "error"
-        )
+        """``(path, def_id, stage, error)`` of files and definitions left out.
+
+        Stages are ``read``, ``parse``, ``generate`` and ``write``.
+        """
+        whole_file = F.lit(None).cast("string").alias("def_id")
+        parsing = self.parsed().where("rounds < 0").select("path", whole_file, "stage", "error")
+        if self.published:
+            unwritten = self.table("published").where("error IS NOT NULL")
+            parsing = parsing.unionByName(
+                unwritten.select("path", whole_file, F.lit("write").alias("stage"), "error")
+            )
         if not self.levels:
             return parsing
         failed = self.docstrings().where(F.col("status") != OK).select(
@@ -96,13 +108,28 @@ class Run:
         return parsing.unionByName(failed)
 
     def mapping(self) -> DataFrame:
-        """Original path to written path; failed files are missing."""
-        return self.outputs().select("path", "written_path")
+        """Original path to written path; files that failed or were not written are missing."""
+        done = self.table("published").where("error IS NULL") if self.published else self.outputs()
+        return done.select("path", "written_path")
+
+    def found(self) -> DataFrame:
+        """``(n)``: how many files the job was given."""
+        return self.parsed().agg(F.count("*").alias("n"))
+
+    def drop(self) -> None:
+        """Delete the run's intermediate tables (not the cache, nor what was published)."""
+        drop_folder(self.spark, self.folder)
 
     def summary(self) -> DataFrame:
         """``(stage, status, n)``: files by outcome, definitions by status."""
-        outcome = F.when(F.col("rounds") < 0, "failed").otherwise(OK)
-        files = self.parsed().select(F.lit("file").alias("stage"), outcome.alias("status"))
+        file = F.lit("file").alias("stage")
+        failed = self.parsed().where("rounds < 0").select(file, F.lit("failed").alias("status"))
+        if self.published:
+            outcome = F.when(F.col("error").isNull(), OK).otherwise("failed")
+            done = self.table("published").select(file, outcome.alias("status"))
+        else:
+            done = self.parsed().where("rounds >= 0").select(file, F.lit(OK).alias("status"))
+        files = failed.unionByName(done)
         if self.levels:
             files = files.unionByName(
                 self.docstrings().select(F.lit("definition").alias("stage"), "status")
@@ -112,6 +139,7 @@ class Run:
     def publish(self) -> DataFrame:
         """Write the staged outputs to their paths: ``(path, written_path, error)``."""
         write_sources(self.outputs()).write.mode("overwrite").parquet(f"{self.folder}/published")
+        self.published = True
         return self.table("published")
 
 
@@ -121,19 +149,57 @@ def document_sources(spark: SparkSession, config: DocumentationConfig) -> Run:
     found = source_paths(spark, config.include_rules, config.exclude_rules, config.recursive)
     paths = require_paths(run.save("paths", found))
     # Placed by path before the contents are read, so only the paths are shuffled.
-    files = decode_sources(read_sources(paths.repartition(_slices(spark), "path")))
+    placed = paths.repartition(_slices(spark), "path")
+    files = decode_sources(read_sources(placed, placed=True))
     _document(run, files.withColumnRenamed("error", "read_error"))
     run.publish()
     return run
 
 
 def document_files(files: DataFrame, config: DocumentationConfig) -> Run:
-    """Document a table ``(path, code)`` of modules with distinct paths."""
+    """Document a table ``(path, code)`` of modules.
+
+    Equal rows are one file. A path with different texts, or none at all, becomes an error, and
+    none of its texts goes further.
+    """
     run = _new_run(files.sparkSession, config)
+    files = _one_per_path(run, files.select("path", "code"))
     _document(run, files.repartition(_slices(run.spark), "path"))
     return run
 
 
+def _one_per_path(run: Run, files: DataFrame) -> DataFrame:
+    """``(path, code, read_error)`` with distinct paths.
+
+    Usually paths are counted, none is repeated, and that is all. Copies of a repeated path are
+    combined before they are shuffled, so a frequent one does not gather in one task.
+    """
+    no_error = F.lit(None).cast("string").alias("read_error")
+    counts = files.groupBy("path").agg(F.count("*").alias("copies"))
+    repeated = run.save("repeated", counts.where("copies > 1 OR path IS NULL"))
+    if repeated.isEmpty():
+        return files.select("path", "code", no_error)
+    listed = repeated.select("path")
+    single = files.where("path IS NOT NULL").join(listed, "path", "left_anti")
+    versions = (
+        files.join(listed, "path", "left_semi")
+        .groupBy("path", F.xxhash64("code").alias("version"))
+        .agg(F.first("code").alias("code"))
+        .groupBy("path")
+        .agg(F.first("code").alias("code"), F.count("*").alias("versions"))
+    )
+    several = F.format_string("%d different files have this path", "versions")
+    combined = versions.select(
+        "path",
+        F.when(F.col("versions") == 1, F.col("code")).alias("code"),
+        F.when(F.col("versions") > 1, several).alias("read_error"),
+    )
+    pathless = repeated.where("path IS NULL").select(
+        "path", F.lit(None).cast("string").alias("code"), F.lit("a file without a path").alias("read_error")
+    )
+    return single.select("path", "code", no_error).unionByName(combined).unionByName(pathless)
+
+
 def _new_run(spark: SparkSession, config: DocumentationConfig) -> Run:
     run_id, folder = new_run_folder(spark)
     return Run(spark, config, run_id, folder, 0)
@@ -168,8 +234,10 @@ def _write_parsed(run: Run, files: DataFrame) -> None:
     """Parse once. Bucketed by path, so code never moves again; split by rounds needed."""
     files = files.withColumn("code", normalise_code(F.col("code")))
     parsed = parse_modules(files, run.config.skip_init_methods)
-    if "read_error" in parsed.columns:
-        parsed = parsed.withColumn("error", F.coalesce("read_error", "error")).drop("read_error")
+    parsed = parsed.withColumns({
+        "error": F.coalesce("read_error", "error"),
+        "stage": F.when(F.col("read_error").isNotNull(), "read").otherwise("parse"),
+    }).drop("read_error")
     deepest = F.coalesce(F.array_max(F.transform("defs", lambda d: d["level"])), F.lit(-1)) + 1
     parsed = parsed.withColumn("rounds", F.when(F.col("error").isNull(), deepest).otherwise(-1))
     (
@@ -184,6 +252,9 @@ def _write_parsed(run: Run, files: DataFrame) -> None:
 def _document_level(run: Run, level: int) -> None:
     config, at = run.config, f"level={level}"
     texts = with_request(_candidates(run, level), config.language, config.temperature)
+    if config.models is not None:
+        tokens = config.token_count(F.col("definition"))
+        texts = texts.withColumn("model", route_model(tokens, config.models))
     total = Observation()
     candidates = run.save(f"definitions/{at}", texts.observe(total, F.count("*").alias("n")))
 
@@ -191,15 +262,13 @@ def _document_level(run: Run, level: int) -> None:
     distinct = Observation()
     requests = run.save(
         f"requests/{at}",
-        distinct_requests(candidates)
-        .sortWithinPartitions("cache_key")
-        .observe(distinct, F.count("*").alias("n")),
+        distinct_requests(candidates, "def_id").observe(distinct, F.count("*").alias("n")),
     )
-    _fill_cache(run, requests, distinct.get["n"])
+    answers = _answers(run, requests, distinct.get["n"], level)
 
     hot = hot_keys(requests, total.get["n"], _slices(run.spark))
-    placed = candidates.drop("definition", "language", "temperature")
-    answered = join_by_key(placed, _answers(run, requests), hot, F.col("def_id"))
+    placed = candidates.drop("definition", "language", "temperature", "model")
+    answered = join_by_key(placed, answers, hot, F.col("def_id"))
     run.save(f"docstrings/{at}", _docstrings(answered, config))
 
 
@@ -257,13 +326,7 @@ def _edits(run: Run, level: int | None = None) -> DataFrame:
 
 
 def _cache_folder(run: Run) -> str:
-    return run.config.cache_path or f"{run.folder}/cache"
-
-
-def _cache(run: Run) -> DataFrame:
-    """Valid answers of all runs, and this run's failed ones."""
-    table = run.spark.read.schema(CACHE_DDL).parquet(_cache_folder(run))
-    return table.where((F.col("status") == OK) | (F.col("run_id") == run.run_id))
+    return f"{run.config.cache_path or run.folder + '/cache'}/{CACHE_LAYOUT}"
 
 
 def _own_cache(run: Run) -> str:
@@ -272,33 +335,49 @@ def _own_cache(run: Run) -> str:
 
 
 def _open_cache(run: Run) -> None:
-    nothing = run.spark.createDataFrame([], CACHE_DDL).drop("run_id")
+    nothing = run.spark.createDataFrame([], CACHE_DDL).drop("run_id", "level")
     nothing.write.partitionBy("status").parquet(_own_cache(run))
 
 
-def _fill_cache(run: Run, requests: DataFrame, count: int) -> None:
-    """Generate what the cache lacks, in waves that are each committed when done."""
+def _answers(run: Run, requests: DataFrame, count: int, level: int) -> DataFrame:
+    """``(cache_key, data, status, error)``: one answer per requested key.
+
+    What the cache lacks is found once, and dealt to waves in folders of their own; each wave
+    reads its folder, calls the generator and commits. So neither the cache nor the requests
+    are listed or read again from wave to wave.
+    """
     config = run.config
-    waves = -(-count // (config.max_workers * config.calls_per_task))
-    edges = ["%08x" % (KEY_SPACE * wave // waves) for wave in range(waves)] + ["g"]
-    for low, high in zip(edges, edges[1:]):
-        in_wave = (F.col("cache_key") >= low) & (F.col("cache_key") < high)
-        known = _cache(run).where(in_wave & (F.col("status") == OK))
-        misses = cache_misses(requests.where(in_wave), known)
-        answers = generate(misses, config.generate_docstring_func, config.max_workers)
-        answers.write.mode("append").partitionBy("status").parquet(_own_cache(run))
-
-
-def _answers(run: Run, requests: DataFrame) -> DataFrame:
-    """One answer per requested key, a valid one if there is any."""
-    best = F.min(F.struct(F.col("status") != OK, "data", "status", "error"))
-    return (
-        _cache(run)
+    columns = ["cache_key", "data", "status", "error"]
+    valid = run.spark.read.schema(CACHE_DDL).parquet(_cache_folder(run)).where(F.col("status") == OK)
+    # A key may be in the cache of several runs; only names are aggregated, not answers.
+    where_kept = F.min(F.struct("run_id", "level")).alias("kept")
+    hits = run.save(
+        f"hits/level={level}",
+        valid.select("cache_key", "run_id", "level")
         .join(requests.select("cache_key"), "cache_key", "left_semi")
         .groupBy("cache_key")
-        .agg(best.alias("best"))
-        .select("cache_key", "best.data", "best.status", "best.error")
+        .agg(where_kept)
+        .select("cache_key", F.col("kept.run_id").alias("in_run"), F.col("kept.level").alias("in_level")),
     )
+    waves = max(1, -(-count // (config.max_workers * config.calls_per_task)))
+    start = F.conv(F.substring("cache_key", 1, 8), 16, 10).cast("bigint")
+    wave = F.floor(start * F.lit(waves) / F.lit(KEY_SPACE)).cast("int")
+    misses = cache_misses(requests, hits).withColumn("wave", wave)
+    folder = f"{run.folder}/misses/level={level}"
+    misses.repartition(_slices(run.spark), "wave").write.partitionBy("wave").parquet(folder)
+    stored = run.spark.read.schema(misses.schema).parquet(folder)
+    own = f"{_own_cache(run)}/level={level}"
+    present = sorted(row["wave"] for row in stored.select("wave").distinct().collect())
+    for number in present:
+        part = run.spark.read.schema(misses.drop("wave").schema).parquet(f"{folder}/wave={number}")
+        made = generate(part, config.generate_docstring_func, config.max_workers)
+        made.write.mode("append").partitionBy("status").parquet(own)
+    there = (F.col("run_id") == F.col("in_run")) & (F.col("level") == F.col("in_level"))
+    kept = valid.join(hits, "cache_key").where(there).select(*columns)
+    if not present:
+        return kept
+    made_ddl = f"cache_key STRING, data {DOC_DATA}, error STRING, status STRING"
+    return run.spark.read.schema(made_ddl).parquet(own).select(*columns).unionByName(kept)
 
 
 @functools.cache

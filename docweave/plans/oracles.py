@@ -281,7 +281,73 @@ SLASHED = "replace(body, chr(92), chr(92) || chr(92))"
 K_TEXT = "regexp_extract(props, '[0-9]+')"
 BROKEN_DEFS = "(SELECT d.*, m.has_50 FROM defs d JOIN (SELECT path, max(CASE WHEN size = 50 THEN 1 ELSE 0 END) = 1 AS has_50 FROM base GROUP BY path) m USING (path))"
 
+# The declarations a model is given, as JSON with sorted keys.
+CLASS_SCHEMA = '{"properties": {"description": {"description": "The overall description of the class in 1 sentence; this should begin with a verb.", "type": "string"}}, "type": "object"}'
+FUNCTION_SCHEMA = (
+    '{"properties": {"description": {"description": "The overall description of the function in 1 sentence; this should begin with a verb.", "type": "string"}, '
+    '"exceptions": {"description": "An array of descriptions for each of the exceptions the function may raise, if it has any.", "items": {"properties": {'
+    '"description": {"description": "The description of the exception", "type": "string"}, "name": {"description": "The name of the exception", "type": "string"}}, "type": "object"}, "type": "array"}, '
+    '"parameters": {"description": "An array of descriptions for each of the function\'s parameters, if it has any.", "items": {"properties": {'
+    '"assumed_type": {"description": "The assumed type(s) of the parameter; example: \'str, int, float\'", "type": "string"}, '
+    '"description": {"description": "The description of the parameter", "type": "string"}, "name": {"description": "The name of the parameter", "type": "string"}}, "type": "object"}, "type": "array"}, '
+    '"return_values": {"description": "An array of descriptions for each of the function\'s return values, if it has any.", "items": {"properties": {'
+    '"assumed_type": {"description": "The assumed type(s) of the return value; example: \'str, int, float\'", "type": "string"}, '
+    '"description": {"description": "The description of the return value", "type": "string"}, "name": {"description": "The name of the return value", "type": "string"}}, "type": "object"}, "type": "array"}}, '
+    '"type": "object"}'
+)
+# Modules around the texts of documents: n lines of text, then code whose lines are known.
+N_LINES = "CAST(len(string_split(text, chr(10))) AS INTEGER)"
+
+
+def _documented_text() -> str:
+    def doc(indent: str) -> str:
+        return f'{indent}"""{indent}\n{indent}Documents it.\n{indent}"""\n{indent}\n'
+
+    quoted = "'" * 3
+    code = (
+        f"# #c\n@decorate\nclass D#k:\n{doc(chr(9))}\tdef outer#k(self,\n\t\t\ta):\n{doc(chr(9) * 2)}"
+        f'\t\tx = """#s"""\n\t\tdef inner#k():\n{doc(chr(9) * 3)}\t\t\treturn x\n\t\treturn inner#k\n\n'
+        f"def kept#k():\n\t{quoted}#s{quoted}\n"
+    )
+    inside = "replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(39), chr(92) || chr(39))"
+    comment = "replace(text, chr(10), chr(10) || '# ')"
+    return f"replace(replace(replace({_text(code)}, '#k', CAST(doc_id AS VARCHAR)), '#c', {comment}), '#s', {inside})"
+
+
 ORACLES: dict[str, str] = {
+    "duplicate_paths": f"""
+        {_modules(DOCUMENTED)}
+        SELECT path, CASE WHEN CAST(substr(path, 6, 12) AS BIGINT) % 5 = 0 THEN 'read' ELSE 'ok' END AS stage,
+               CASE WHEN CAST(substr(path, 6, 12) AS BIGINT) % 5 <> 0 THEN code END AS code FROM modules""",
+    "write_failures": f"""
+        {ORIGINAL}, named AS (SELECT CASE WHEN has_50 THEN 'skip_' ELSE '__' END || substr(path, 5) AS file, has_50 FROM modules)
+        SELECT 'mapping' AS kind, file, 'ok' AS status, CAST(1 AS BIGINT) AS n FROM named WHERE NOT has_50
+        UNION ALL SELECT 'error', file, 'write', 1 FROM named WHERE has_50
+        UNION ALL SELECT 'summary', '', CASE WHEN has_50 THEN 'failed' ELSE 'ok' END, count(*) FROM named GROUP BY has_50""",
+    "cached_rerun": f"{ORIGINAL} SELECT path, true AS same, CAST(0 AS BIGINT) AS calls FROM modules",
+    "function_declarations": f"""
+        SELECT doc_id, CASE WHEN lang = 'en' THEN 'respond_with_structured_docstring_data_for_function'
+                            ELSE 'respond_with_structured_docstring_data_for_class' END AS name,
+               CASE WHEN lang = 'en' THEN {_text(FUNCTION_SCHEMA)} ELSE {_text(CLASS_SCHEMA)} END AS parameters
+        FROM documents""",
+    "routed_requests": f"""
+        WITH {REQUESTS}, sized AS (SELECT cache_key, {TOKENS.replace("text", "definition")} AS tokens FROM requests)
+        SELECT cache_key, CASE WHEN tokens <= 800 THEN 'ok' ELSE 'too_many_tokens' END AS status,
+               CASE WHEN tokens <= 200 THEN 'was made by small.' WHEN tokens <= 800 THEN 'was made by large.' END AS description
+        FROM sized""",
+    "extract_definitions_sql": f"""
+        {DEFS}
+        SELECT path, name, kind, line, false AS broken FROM {BROKEN_DEFS} b WHERE NOT has_50
+        UNION ALL SELECT path, NULL, NULL, NULL, true FROM (SELECT DISTINCT path FROM {BROKEN_DEFS} b WHERE has_50) x""",
+    "extract_definitions_text": f"""
+        SELECT 'src/d' || CAST(doc_id AS VARCHAR) || '.py' AS path, v.name || CAST(doc_id AS VARCHAR) AS name, v.kind, v.depth, v.level,
+               CASE v.name WHEN 'D' THEN n + 2 WHEN 'outer' THEN n + 3 WHEN 'inner' THEN 2 * n + 5 ELSE 2 * n + 9 END AS line,
+               CASE v.name WHEN 'D' THEN 2 * n + 7 WHEN 'outer' THEN 2 * n + 7 WHEN 'inner' THEN 2 * n + 6 ELSE 3 * n + 9 END AS end_line,
+               v.name = 'kept' AS has_docstring
+        FROM (SELECT doc_id, {N_LINES} AS n FROM documents) d
+        CROSS JOIN (VALUES ('D', 'class', 0::INTEGER, 2::INTEGER), ('outer', 'function', 1, 1), ('inner', 'function', 2, 0),
+                           ('kept', 'function', 0, -1)) v(name, kind, depth, level)""",
+    "rewrite_sources_text": f"SELECT 'src/d' || CAST(doc_id AS VARCHAR) || '.py' AS path, {_documented_text()} AS code FROM documents",
     "file_set_difference": f"WITH {_base()} SELECT path FROM base EXCEPT SELECT path FROM base WHERE size = 50",
     "source_stats": f"{ORIGINAL} SELECT path, CAST(len(string_split(code, chr(10))) AS BIGINT) AS n_lines, CAST(length(code) AS BIGINT) AS n_chars FROM modules",
     "scan_sources": f"{ORIGINAL} SELECT '__' || substr(path, 5) AS file, CAST(length(code) AS BIGINT) AS n_chars, md5(code) AS digest FROM modules WHERE NOT has_50",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,12 @@ from ..functions.text import (
     token_count,
 )
 from ..operators.checks import failed_outputs
-from ..operators.extract import explode_definitions, parse_modules, undocumented
+from ..operators.extract import (
+    explode_definitions,
+    parse_modules,
+    register_table_function,
+    undocumented,
+)
 from ..operators.generate import TooManyTokens, first_word, generate, offline_generator
 from ..operators.lookups import lookup_language, validate_types
 from ..operators.requests import (
@@ -41,12 +47,12 @@ from ..operators.requests import (
     with_request,
 )
 from ..operators.splice import edit_of, rewritten_code
-from ..schema import DOC_DATA
+from ..schema import DOC_DATA, FUNCTION_CALL_NAMES, ClassDoc, function_declaration
 from ..sources.code_files import decode_sources, read_sources, write_sources
 from ..sources.files import make_folder
 from ..sources.globs import require_paths, set_difference, source_paths
 from ..workspace import new_run_folder
-from .corpus import corpus
+from .corpus import corpus, text_corpus
 from .document import Run, document_files, document_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,8 +87,8 @@ def _with_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).join(broken, "path", "left").select("path", code.alias("code"))
 
 
-def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_definitions(parse_modules(corpus(spark, sf_dir)))
+def _definitions(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
+    return explode_definitions(parse_modules(corpus(spark, sf_dir)), text)
 
 
 # Sources and file sets
@@ -142,7 +148,7 @@ def document_published(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _definitions(spark, sf_dir).select(
+    return _definitions(spark, sf_dir, text=True).select(
         "path", "name", "kind", "is_async", "depth", "line", "end_line", "has_docstring",
         "single_line", "definition",
     )
@@ -288,25 +294,32 @@ def _document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_request(rows, "python", 0.25)
 
 
+def _stored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, cleaned and hashed once."""
+    _, folder = new_run_folder(spark)
+    rows = _document_requests(spark, sf_dir)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def generate_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = distinct_requests(_document_requests(spark, sf_dir))
+    requests = distinct_requests(_stored_requests(spark, sf_dir), "doc_id")
     answers = generate(requests, offline_generator, _slices(spark))
     return answers.select(
         "cache_key", "status", F.col("data.description").alias("description")
     )
 
 
-def _labelled_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _labelled_cache(rows: DataFrame, sf_dir: str) -> DataFrame:
     """A cache that already holds the definitions of all labelled documents."""
-    labelled = _document_requests(spark, sf_dir).join(
-        _read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"
-    )
+    labels = _read(rows.sparkSession, sf_dir, "labels").select("doc_id", "quality")
+    labelled = rows.select("doc_id", "cache_key").join(labels, "doc_id")
     return labelled.groupBy("cache_key").agg(F.max("quality").alias("quality"))
 
 
 def cache_misses_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = distinct_requests(_document_requests(spark, sf_dir))
-    return cache_misses(requests, _labelled_cache(spark, sf_dir)).select(
+    rows = _stored_requests(spark, sf_dir)
+    return cache_misses(distinct_requests(rows, "doc_id"), _labelled_cache(rows, sf_dir)).select(
         "cache_key", "definition_type", "uses"
     )
 
@@ -406,7 +419,7 @@ def failing_generator(language: str, definition: str, definition_type: str, temp
 
 
 def generation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = distinct_requests(_document_requests(spark, sf_dir))
+    requests = distinct_requests(_stored_requests(spark, sf_dir), "doc_id")
     answers = generate(requests, failing_generator, _slices(spark))
     return answers.where(F.col("status") != OK).select("cache_key", "status", "error")
 
@@ -533,7 +546,123 @@ def empty_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed_outputs(outputs, set_difference(written, missing))
 
 
+def duplicate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus; size-50 modules come twice, and every fifth module in two versions."""
+    files = corpus(spark, sf_dir)
+    again = files.join(_size_50_paths(spark, sf_dir).distinct(), "path", "left_semi")
+    changed = files.where(F.substring("path", 6, 12).cast("bigint") % 5 == 0).select(
+        "path", F.concat("code", F.lit("# changed\n")).alias("code")
+    )
+    run = document_files(files.unionByName(again).unionByName(changed), _config())
+    done = run.outputs().select("path", F.lit("ok").alias("stage"), "code")
+    return done.unionByName(run.errors().select("path", "stage", F.lit(None).cast("string").alias("code")))
+
+
+def write_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as files; where size-50 modules would be written there are folders already."""
+    folder = _publish_corpus(spark, sf_dir)
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    blocked = F.concat(F.lit(f"{folder}/modified_skip_"), name)
+
+    def block(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                make_folder(path)
+            yield batch
+
+    paths = _size_50_paths(spark, sf_dir).distinct().select(blocked.alias("path"))
+    paths.mapInArrow(block, "path STRING").write.format("noop").mode("overwrite").save()
+    include = [f"{folder}/__*.py", f"{folder}/skip_*.py"]
+    run = document_sources(spark, _config(include_rules=include))
+    file = F.regexp_extract("path", "([^/]+)$", 1).alias("file")
+    one = F.lit(1).cast("bigint").alias("n")
+    files = run.summary().where("stage = 'file'")
+    return (
+        run.mapping().select(F.lit("mapping").alias("kind"), file, F.lit("ok").alias("status"), one)
+        .unionByName(run.errors().select(F.lit("error").alias("kind"), file, F.col("stage").alias("status"), one))
+        .unionByName(files.select(F.lit("summary").alias("kind"), F.lit("").alias("file"), "status", "n"))
+    )
+
+
+def cached_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one cache: the same code, and no call in the second."""
+    _, cache = new_run_folder(spark)
+    first = document_files(corpus(spark, sf_dir), _config(cache_path=cache))
+    second = document_files(corpus(spark, sf_dir), _config(cache_path=cache))
+    asked = second.table("requests").join(second.table("hits"), ["cache_key", "level"], "left_anti")
+    calls = asked.agg(F.count("*").alias("calls"))
+    before = first.outputs().select("path", F.col("code").alias("before"))
+    same = second.outputs().join(before, "path").select("path", (F.col("code") == F.col("before")).alias("same"))
+    return same.join(F.broadcast(calls))
+
+
+def function_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is told to call for a document taken as a definition."""
+    kind = F.when(F.col("lang") == "en", "function").otherwise("class")
+    declared = {name: function_declaration(name) for name, _ in FUNCTION_CALL_NAMES}
+
+    def of(part) -> Column:
+        chosen = F.lit(None).cast("string")
+        for name, declaration in declared.items():
+            chosen = F.when(F.col("definition_type") == name, part(declaration)).otherwise(chosen)
+        return chosen
+
+    rows = _read(spark, sf_dir, "documents").select("doc_id", kind.alias("definition_type"))
+    return rows.select(
+        "doc_id",
+        of(lambda d: F.lit(d["name"])).alias("name"),
+        of(lambda d: F.lit(json.dumps(d["parameters"], sort_keys=True))).alias("parameters"),
+    )
+
+
+def model_naming_generator(language, definition, definition_type, temperature, model):
+    return ClassDoc(f"was made by {model}.")
+
+
+def routed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests go to the smallest model that takes them; larger ones are never sent."""
+    rows = _stored_requests(spark, sf_dir)
+    model = route_model(token_count(F.col("definition")), [("small", 200), ("large", 800)])
+    requests = distinct_requests(rows.withColumn("model", model), "doc_id")
+    answers = generate(requests, model_naming_generator, _slices(spark))
+    return answers.select("cache_key", "status", F.col("data.description").alias("description"))
+
+
+def extract_definitions_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function over modules of which some are broken."""
+    register_table_function(spark)
+    modules = _with_broken(spark, sf_dir)
+    return spark.sql(
+        "SELECT path, name, kind, line, error IS NOT NULL AS broken "
+        "FROM {modules}, LATERAL extract_definitions(code)",
+        modules=modules,
+    )
+
+
+def constant_generator(language, definition, definition_type, temperature):
+    return ClassDoc("documents it.")
+
+
+def extract_definitions_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode_definitions(parse_modules(text_corpus(spark, sf_dir)), text=False).select(
+        "path", "name", "kind", "depth", "level", "line", "end_line", "has_docstring"
+    )
+
+
+def rewrite_sources_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = DocumentationConfig(generate_docstring_func=constant_generator)
+    return document_files(text_corpus(spark, sf_dir), config).outputs().select("path", "code")
+
+
 QUERIES: dict[str, Query] = {
+    "duplicate_paths": duplicate_paths,
+    "write_failures": write_failures,
+    "cached_rerun": cached_rerun,
+    "function_declarations": function_declarations,
+    "routed_requests": routed_requests,
+    "extract_definitions_sql": extract_definitions_sql,
+    "extract_definitions_text": extract_definitions_text,
+    "rewrite_sources_text": rewrite_sources_text,
     "file_set_difference": file_set_difference,
     "source_stats": source_stats,
     "scan_sources": scan_sources,

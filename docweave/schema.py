@@ -19,6 +19,26 @@ MODELS = [("gpt-3.5-turbo-0613", 4096), ("gpt-3.5-turbo-16k-0613", 16384)]
 DEFAULT_MODEL = "gpt-3.5-turbo-0613"
 QUOTE_STYLES = ('"""', "'''", '"', "'")
 TOO_MANY_TOKENS_CODE = "context_length_exceeded"
+# What a reply holds and how each field is described to the model.
+FUNCTION_FIELDS = [
+    ("description", "The overall description of the function in 1 sentence; this should begin with a verb."),
+    ("parameters", "An array of descriptions for each of the function's parameters, if it has any."),
+    ("return_values", "An array of descriptions for each of the function's return values, if it has any."),
+    ("exceptions", "An array of descriptions for each of the exceptions the function may raise, if it has any."),
+]
+CLASS_FIELDS = [
+    ("description", "The overall description of the class in 1 sentence; this should begin with a verb."),
+]
+ITEM_FIELDS = [
+    ("parameters", "name", "The name of the parameter"),
+    ("parameters", "description", "The description of the parameter"),
+    ("parameters", "assumed_type", "The assumed type(s) of the parameter; example: 'str, int, float'"),
+    ("return_values", "name", "The name of the return value"),
+    ("return_values", "description", "The description of the return value"),
+    ("return_values", "assumed_type", "The assumed type(s) of the return value; example: 'str, int, float'"),
+    ("exceptions", "name", "The name of the exception"),
+    ("exceptions", "description", "The description of the exception"),
+]
 # --- End of fixed values.
 
 FUNCTION, CLASS = "function", "class"
@@ -115,6 +135,20 @@ class ClassDoc:
     description: str = ""
 
 
+def function_declaration(definition_type: str) -> dict:
+    """The function a model has to call for a definition: its name and parameter schema."""
+    fields = FUNCTION_FIELDS if definition_type == FUNCTION else CLASS_FIELDS
+    properties: dict[str, dict] = {}
+    for name, description in fields:
+        items = {item: {"type": "string", "description": said} for of, item, said in ITEM_FIELDS if of == name}
+        kind = {"type": "array", "items": {"type": "object", "properties": items}} if items else {"type": "string"}
+        properties[name] = {"description": description, **kind}
+    return {
+        "name": dict(FUNCTION_CALL_NAMES)[definition_type],
+        "parameters": {"type": "object", "properties": properties},
+    }
+
+
 def language_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         LANGUAGES, "language STRING, stylized_name STRING, definition_types ARRAY<STRING>"

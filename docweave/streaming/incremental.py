@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DocumentationConfig
@@ -16,16 +17,23 @@ def document_stream(
     config: DocumentationConfig,
     checkpoint: str,
     on_run: Callable[[Run, int], None],
+    version: str | None = None,
 ) -> StreamingQuery:
     """Document each batch of a stream ``(path, code)``; ``on_run`` gets the finished run.
 
     Give the config a ``cache_path``: a batch that is repeated after a failure, or text
-    seen in an earlier batch, then causes no generator call. A path that comes twice in one
-    batch is taken once.
+    seen in an earlier batch, then causes no generator call. Of several versions of a path in
+    one batch the one with the greatest ``version`` (a column) is taken. Without that column, or
+    if the greatest has different texts, the path becomes an error of the run; equal copies are
+    one file.
     """
 
     def document_batch(batch: DataFrame, batch_id: int) -> None:
-        on_run(document_files(batch.dropDuplicates(["path"]), config), batch_id)
+        if version is not None:
+            newest = batch.groupBy("path").agg(F.max(version).alias("_newest"))
+            current = F.col(version).eqNullSafe(F.col("_newest"))
+            batch = batch.join(newest, "path").where(current).select("path", "code")
+        on_run(document_files(batch, config), batch_id)
 
     return (
         files.writeStream.foreachBatch(document_batch)

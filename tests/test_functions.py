@@ -155,7 +155,7 @@ def test_hot_keys_are_split_and_nothing_is_lost(spark):
         F.col("id"), F.when(F.col("id") % 3 != 0, "hot").otherwise(F.col("id").cast("string")).alias("cache_key")
     )
     keyed = rows.withColumns({n: F.lit(n) for n in ("language", "definition", "definition_type")})
-    requests = distinct_requests(keyed.withColumn("temperature", F.lit(0.25)))
+    requests = distinct_requests(keyed.withColumn("temperature", F.lit(0.25)), "id")
     hot = hot_keys(requests, 30_000, 64)
     assert [tuple(r) for r in hot.collect()] == [("hot", 43)]
     answers = requests.where("cache_key <> '9'").select("cache_key", F.length("cache_key").alias("a"))
