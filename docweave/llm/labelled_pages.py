@@ -6,7 +6,7 @@ import random
 
 from .pages import LABEL
 
-TRAIN_PAGES = 500
+TRAIN_PAGES = 600
 
 _PARTS = "an be con der el fi ga ho in ja ker lo men ne or pa qui re sta the un ver wa ze".split()
 MAIN_BOXES = (
@@ -16,32 +16,14 @@ MAIN_BOXES = (
     "<main><article {m}>|</article></main>", '<div class="page"><article class="post" {m}>|</article></div>',
     '<div class="wrapper"><div role="main" {m}>|</div></div>', "<div {m}>|</div>",
 )
-LIST_BOXES = (
-    "<nav><ul>|</ul></nav>", '<div class="menu"><ul>|</ul></div>', '<ul class="navbar links">|</ul>',
-    '<div id="breadcrumb"><ol>|</ol></div>', '<nav class="topnav">|</nav>',
-    '<aside><h3>Related</h3><ul>|</ul></aside>', '<div class="sidebar"><ul>|</ul></div>',
-    '<div class="share social"><ul>|</ul></div>', '<div class="related posts"><ul>|</ul></div>',
-    '<div class="tags">|</div>', '<div class="pagination pager">|</div>',
-)
-TEXT_BOXES = (
-    '<div class="ad">|</div>', '<div class="advert sponsor">|</div>', '<aside class="promo">|</aside>',
-    '<div class="banner ads">|</div>', '<div class="cookie-notice">|</div>', '<div class="notice alert">|</div>',
-    '<div id="consent" class="gdpr">|</div>', '<div class="newsletter subscribe">|</div>',
-    "<aside>|</aside>", '<div class="sidebar widget">|</div>', '<div role="alert">|</div>',
-    '<div class="popup modal" hidden>|</div>', '<section class="advertisement">|</section>',
-    '<div role="complementary">|</div>', '<div class="sponsored">|</div>', '<p class="notice">|</p>',
-    '<div class="disclaimer">|</div>', '<div class="warning message">|</div>',
-)
-HEADERS = ("<header>|</header>", '<div class="header masthead">|</div>', '<div id="top" role="banner">|</div>')
-FOOTERS = (
-    "<footer>|</footer>", '<div class="footer">|</div>', '<div id="footer" class="copyright">|</div>',
-    '<div role="contentinfo">|</div>', '<div class="legal bottom">|</div>',
-)
-COMMENT_BOXES = (
-    '<section id="comments"><h2>Comments</h2>|</section>', '<div class="comments">|</div>',
-    '<ol class="comment-list">|</ol>', '<div id="responses" class="replies">|</div>',
-    '<div class="discussion reader-comments">|</div>', '<section class="comments-area">|</section>',
-)
+# The words that pages use for what is not their main text.
+LIST_WORDS = "nav menu navbar navigation topnav breadcrumb breadcrumbs links related share social tags pagination pager toc".split()
+AD_WORDS = "ad ads advert advertisement adslot sponsor sponsored promo promotion banner teaser".split()
+NOTICE_WORDS = "notice cookie consent gdpr alert warning disclaimer message announcement popup modal overlay".split()
+SIDE_WORDS = "sidebar aside widget newsletter subscribe signup secondary complementary trending popular author bio".split()
+HEADER_WORDS = "header masthead top branding logo site-header".split()
+FOOTER_WORDS = "footer bottom copyright legal site-footer colophon".split()
+COMMENT_WORDS = "comments comment replies responses discussion comment-list comments-area disqus reviews".split()
 COMMENTS = (
     '<article class="comment"><p>|</p></article>', '<li class="comment">|</li>', '<div class="reply"><p>|</p></div>',
     '<div class="comment-body"><b>{n}</b><p>|</p></div>', "<p>|</p>", "<div>|</div>", "<blockquote>|</blockquote>",
@@ -66,6 +48,24 @@ class _Writer:
         before, _, after = self.random.choice(boxes).partition("|")
         return before.replace("{n}", self.words(1, 2)) + text + after
 
+    def boxed(self, words: list[str], tags: tuple[str, ...], text: str) -> str:
+        """An element that one of the words names, alone or among others, by class, id or role."""
+        pick = self.random
+        name = pick.choice(words)
+        kind = pick.random()
+        if kind < 0.3:
+            name += pick.choice(("-box", "_area", "-wrap", " block", " section", "1", "Container", " clearfix"))
+        elif kind < 0.4:
+            name = f"{pick.choice(('site', 'page', 'main', 'post'))}-{name}"
+        elif kind < 0.5:
+            name += " " + pick.choice(words)
+        where = pick.choice(("class", "class", "class", "id", "role"))
+        hidden = " hidden" if pick.random() < 0.05 else ""
+        tag = pick.choice(tags)
+        if tag == "p" and "<p>" in text:  # a paragraph cannot hold another
+            tag = "div"
+        return f'<{tag} {where}="{name}"{hidden}>{text}</{tag}>'
+
     def links(self) -> str:
         shape = self.random.choice(('<li><a href="/x">{}</a></li>', '<a href="/x">{}</a> ', "<li>{}</li>"))
         return "".join(shape.format(self.words(1, 4)) for _ in range(self.random.randint(2, 8)))
@@ -78,19 +78,29 @@ class _Writer:
 
     def comments(self) -> str:
         rows = [self.inside(COMMENTS, self.sentences(self.random.randint(1, 4))) for _ in range(self.random.randint(1, 5))]
+        if self.random.random() < 0.3:
+            rows.insert(0, f"<h3>{self.words(1, 3)}</h3>")
         if self.random.random() < 0.3:
             rows.append(self.form())
-        return self.inside(COMMENT_BOXES, "".join(rows))
+        return self.boxed(COMMENT_WORDS, ("section", "div", "div", "ol", "aside"), "".join(rows))
 
     def side(self) -> str:
         kind = self.random.random()
-        if kind < 0.35:
-            return self.inside(LIST_BOXES, self.links())
-        if kind < 0.85:
-            text = self.sentences(self.random.randint(1, 4))
-            return self.inside(TEXT_BOXES, f"<p>{text}</p>" if self.random.random() < 0.5 else text)
+        if kind < 0.1:
+            return f"<nav><ul>{self.links()}</ul></nav>"
+        if kind < 0.3:
+            return self.boxed(LIST_WORDS, ("div", "ul", "section", "nav", "aside"), self.links())
+        if kind < 0.4:
+            return f"<aside><h3>{self.words(1, 3)}</h3>{self.text_inside()}</aside>"
+        if kind < 0.88:
+            words = self.random.choice((AD_WORDS, AD_WORDS, NOTICE_WORDS, NOTICE_WORDS, SIDE_WORDS))
+            return self.boxed(words, ("div", "div", "div", "section", "aside", "p"), self.text_inside())
         return self.form()
 
+    def text_inside(self) -> str:
+        text = self.sentences(self.random.randint(1, 4))
+        return f"<p>{text}</p>" if self.random.random() < 0.4 else text
+
     def paragraph(self) -> str:
         kind, text = self.random.random(), self.sentences(self.random.choice((1, 1, 1, 2, 3, 6, 10)))
         if self.random.random() < 0.25:
@@ -118,25 +128,32 @@ class _Writer:
         body = [f"<h1>{self.words(2, 12).capitalize()}</h1>"] if chance() < 0.8 else []
         for _ in range(self.random.randint(1, 12)):
             body.append(self.paragraph())
-            if chance() < 0.08:
+            if chance() < 0.2:
                 # Not of the article, though it stands within.
                 body.append(f"<!--out-->{self.side()}<!--in-->")
-        if chance() < 0.12:
+        if chance() < 0.2:
             body.append(f"<!--out-->{self.comments()}<!--in-->")
         box = self.random.choice(MAIN_BOXES)
         before, _, after = box.partition("|")
         main = "".join(self.marked(body))
-        parts = [self.inside(LIST_BOXES, self.links()) for _ in range(self.random.randint(0, 2))]
+        parts = [f"<nav><ul>{self.links()}</ul></nav>"] if chance() < 0.6 else []
+        if chance() < 0.5:
+            parts.append(self.boxed(LIST_WORDS, ("div", "ul"), self.links()))
         if chance() < 0.5:
             inner = self.words(1, 4) if chance() < 0.5 else f"<h2>{self.words(1, 5)}</h2><p>{self.sentences(1)}</p>"
-            parts.append(self.inside(HEADERS, inner))
+            parts.append(
+                f"<header>{inner}</header>" if chance() < 0.5 else self.boxed(HEADER_WORDS, ("div", "section"), inner)
+            )
         parts += [self.side() for _ in range(self.random.randint(0, 3))]
         parts.append(before.replace("{m}", "") + main + after)
         if chance() < 0.4:
             parts.append(self.comments())
         parts += [self.side() for _ in range(self.random.randint(0, 2))]
         if chance() < 0.85:
-            parts.append(self.inside(FOOTERS, f"&copy; {self.words(1, 4)} &middot; {self.sentences(self.random.randint(1, 2))}"))
+            inner = f"{self.sentences(self.random.randint(1, 2))}"
+            if chance() < 0.6:
+                inner = f"&copy; {self.words(1, 4)} &middot; {inner}"
+            parts.append(f"<footer>{inner}</footer>" if chance() < 0.6 else self.boxed(FOOTER_WORDS, ("div",), inner))
         return f"<html><head><title>{self.words(2, 8)}</title></head><body>{''.join(parts)}</body></html>"
 
     def marked(self, body: list[str]) -> list[str]:

@@ -89,7 +89,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     letters = F.regexp_replace(noise, "[+/=]", "")
     text_hex = F.sha2(F.concat_ws("/", F.lit("hex"), "id"), 256)
     parts = [one_of(100 + i, *DICTIONARY) for i in range(8)]
-    word = F.concat(*parts)
+    word, joint = F.concat(*parts), one_of(12, "-", "/", "_")
     pair = one_of(1, "token", "secret", "password", "api_key", "access_key", "auth_token", "private_key", "API-KEY")
     assign = F.concat(pair, one_of(2, ' = "', "=", ": ", "='", '": "', " = "))
     close = F.when(assign.rlike("\"$"), '"').when(assign.rlike("'$"), "'").otherwise("")
@@ -104,7 +104,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         .when(kind == 6, F.concat(F.lit("averylongstart"), word))
         .when(kind == 7, F.concat(F.initcap(word), word))
         .when(kind == 8, F.substring(text_hex, F.lit(1), hex_size))
-        .when(kind == 9, F.concat_ws(one_of(12, "-", "/", "_"), *parts))
+        .when(kind == 9, F.concat(parts[0], *[piece for part in parts[1:] for piece in (joint, part)]))
         .when(kind == 10, F.concat_ws("-", *[F.substring(text_hex, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
         .otherwise(one_of(13, "xxxxxxxxxxxxxxxxxxxxxxxx", "your_api_key_goes_here", "replace-this-value-here", "changemechangeme", "00000000000000000000"))
     )
