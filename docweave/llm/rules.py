@@ -108,11 +108,13 @@ def features() -> dict[str, Column]:
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     per_word = {
         name: F.col(name) / words
-        for name in ("word_chars", "n_symbols", "n_repeat_words", "n_marks", "n_stops", "n_distinct_words")
+        for name in ("word_chars", "n_symbols", "n_repeat_words", "n_marks", "n_stops")
     }
     return {
         "n_words": F.col("n_words").cast("double"),
         **{f"{name}_per_word": column for name, column in per_word.items()},
+        # Unlike their share, the logarithms' ratio hardly depends on how long a text is.
+        "variety": F.log1p("n_distinct_words") / F.log1p(words),
         "upper_share": F.col("n_upper") / chars,
         "digit_share": F.col("n_digits") / chars,
         "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
