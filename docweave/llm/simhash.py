@@ -52,15 +52,14 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     n = max(len(tokens) - words + 1, 1)
     # Where each word starts, and where the last word of its shingle ends.
     spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = np.concatenate([[0], spaces + 1])[:n].tolist()
-    ends = np.concatenate([spaces, [len(joined)]])[-n:].tolist()
+    starts = np.concatenate([[0], spaces + 1])[:n]
+    ends = np.concatenate([spaces, [len(joined)]])[-n:]
     digest = xxhash.xxh64_intdigest
     counts = np.zeros(64, np.int64)
     for at in range(0, n, COUNTED_SHINGLES):
-        until = min(at + COUNTED_SHINGLES, n)
-        hashes = np.array(
-            [digest(joined[a:b], SEED) for a, b in zip(starts[at:until], ends[at:until])], "<u8"
-        )
+        until = at + COUNTED_SHINGLES
+        bounds = zip(starts[at:until].tolist(), ends[at:until].tolist())
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in bounds], "<u8")
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += np.add.reduce(bits, axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
