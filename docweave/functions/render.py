@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import QUOTE_STYLES
+from ..schema import CLASS, QUOTE_STYLES
 
 
 def _or_value(item: Column) -> Column:
@@ -34,6 +34,10 @@ class DocstringStyle:
     def render(self, data: Column, indent: Column) -> Column:
         raise NotImplementedError
 
+    def render_typed(self, data: Column, indent: Column, definition_type: Column) -> Column:
+        """As ``render``, for styles that treat classes and functions differently."""
+        return self.render(data, indent)
+
 
 class SectionedStyle(DocstringStyle):
     """Description, then one section for each non-empty list of items."""
@@ -121,7 +125,10 @@ class EarlyStyle(DocstringStyle):
 
 
 class PythonStyle(DocstringStyle):
-    """A user's ``func(data: dict, indent_char: str) -> str``, run on Arrow batches."""
+    """A user's ``func(data: dict, indent_char: str) -> str``, run on Arrow batches.
+
+    In a job, the data of a class has no field but its description.
+    """
 
     def __init__(self, func: Callable[[dict, str], str]) -> None:
         self.func = func
@@ -137,6 +144,11 @@ class PythonStyle(DocstringStyle):
 
         return F.arrow_udf(render_batch, "string")(data, indent)
 
+    def render_typed(self, data: Column, indent: Column, definition_type: Column) -> Column:
+        only = F.struct(data["description"].alias("description"))
+        of_class = F.when(definition_type == CLASS, only)
+        return F.coalesce(self.render(of_class, indent), self.render(F.when(of_class.isNull(), data), indent))
+
 
 def docstring_indent(suite: Column, indent: Column, col: Column, body_col: Column) -> Column:
     """White space put before every docstring line.

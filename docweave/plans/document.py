@@ -390,7 +390,7 @@ def _docstring_columns(style: DocstringStyle, quote: str) -> tuple[Column, Colum
     return (
         postprocess(F.col("data")),
         F.when(empty, EMPTY_DESCRIPTION).otherwise(F.col("status")),
-        style.render(F.col("data"), F.col("indent")),
+        style.render_typed(F.col("data"), F.col("indent"), F.col("definition_type")),
         F.when(F.col("status") == OK, quoted),
     )
 

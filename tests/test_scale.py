@@ -223,3 +223,13 @@ def test_models_and_declarations(spark):
     assert rows["long"][0] == "too_many_tokens"
     assert rows["f"] == ("generation_error", "ValueError: small True description,exceptions,parameters,return_values")
     assert rows["C"] == ("generation_error", "ValueError: small True description")
+
+
+def test_a_custom_style_can_tell_classes_from_functions(spark):
+    style = dw.PythonStyle(lambda data, indent: f"\n{','.join(sorted(data))}\n\n")
+    config = dw.DocumentationConfig(dw.offline_generator, docstring_builder=style)
+    code = "def f(a): pass\nclass C:\n  x = 1\n"
+    run = dw.document_files(spark.createDataFrame([("a.py", code)], "path string, code string"), config)
+    shown = {r["d"]["name"]: r["docstring"] for r in run.docstrings().collect()}
+    assert "description,exceptions,parameters,return_values" in shown["f"]
+    assert "description" in shown["C"] and "," not in shown["C"]
