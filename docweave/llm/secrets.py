@@ -34,6 +34,11 @@ DICTIONARY = (
     "use ion ate ver con pro com per pre res sti ist est ers ter tor ted nte rea and ein ich sch und "
     "der die das den gen ung keit heit lich que les des une pour eau eux los las ado ido ción"
 ).split()
+# Frequent pairs of letters, for long words that no dictionary has.
+PAIRS = (
+    "th er an in on re nd ou ha ti es en ed to it st ea at le sh wh or ng ly be ie ch ge un ei ra co la mi da qu "
+    "ue no sa lo ma di pe ro se te ve is ic al ne de"
+).split()
 SECRET_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private|credential|bearer|auth)"
 OTHER_WORDS = r"(?i)(commit|sha-?\d|sha\b|md5|checksum|digest|hash|uuid|guid|revision|etag|image|integrity)"
 PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|sk_live_|sk_test_|sk-|xox[bp]-|AIza|glpat-|eyJ)"
@@ -77,7 +82,7 @@ def features(found: Column, before: Column, after: Column) -> dict[str, Column]:
 
 
 def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
-    """before, found, after, label: findings of eight kinds with the verdict that each has."""
+    """before, found, after, label: findings of fourteen kinds with the verdict that each has."""
 
     def number(salt: int, below: int) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(below))
@@ -95,7 +100,10 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     close = F.when(assign.rlike("\"$"), '"').when(assign.rlike("'$"), "'").otherwise("")
     prose = F.concat_ws(" ", one_of(3, *DICTIONARY), one_of(4, *DICTIONARY), one_of(5, *DICTIONARY))
     hex_size = one_of(6, "32", "40", "64").cast("int")
-    kind = number(7, 12)
+    kind = number(7, 14)
+    coined = F.substring(
+        F.concat(*[one_of(200 + i, *PAIRS) for i in range(14)]), F.lit(1), (number(19, 12) + 16).cast("int")
+    )
     found = (
         F.when(kind <= 1, F.substring(text_hex, F.lit(1), hex_size))
         .when(kind <= 3, F.substring(noise, F.lit(1), (number(8, 30) + 20).cast("int")))
@@ -106,6 +114,8 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         .when(kind == 8, F.substring(text_hex, F.lit(1), hex_size))
         .when(kind == 9, F.concat(parts[0], *[piece for part in parts[1:] for piece in (joint, part)]))
         .when(kind == 10, F.concat_ws("-", *[F.substring(text_hex, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
+        .when(kind == 12, coined)
+        .when(kind == 13, F.initcap(coined))
         .otherwise(one_of(13, "xxxxxxxxxxxxxxxxxxxxxxxx", "your_api_key_goes_here", "replace-this-value-here", "changemechangeme", "00000000000000000000"))
     )
     left = (
