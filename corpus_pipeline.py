@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import decontamination, pieces, pii, rules, simhash
-from docweave.llm.common import read_table, stored
+from docweave.llm.common import WholeRow, read_table, stored
 
 #: Learned rules, near-duplicate classes and pieces have no SQL: tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the rules learned from the labels reject go.
 
     The counted statistics are written beside the rows, so that the texts are read once."""
-    counted = rules.statistics(docs, passed={"row": F.struct("*")})
+    counted = rules.statistics(docs, passed=WholeRow())
     counted = stored(counted, "counted")
     stats = counted.select(F.col("row")["doc_id"].alias("doc_id"), *rules.COUNTED)
     learned = rules.fit(stats, read_table(spark, sf_dir, "labels"))
@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids: n_tokens and token_ids (32-bit little-endian)."""
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
         model = file.read()
-    encoded = pieces.encode_decode(docs, model, passed={"row": F.struct("*")})
+    encoded = pieces.encode_decode(docs, model, passed=WholeRow())
     return encoded.select(
         "row.*",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,39 +26,59 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class WholeRow(dict):
+    """To pass whole rows: all columns in the struct `row`. Their text is then sent once."""
+
+    def __init__(self):
+        super().__init__(row=F.struct("*"))
+
+
 def map_text(
     rows: DataFrame,
-    text: Column,
-    passed: dict[str, Column],
+    text: str,
+    passed: dict[str, Column] | None,
     made: str,
-    factory: Callable[[], Callable[[str], list[tuple]]],
+    factory: Callable[[], Callable[[list[str]], list[tuple]]],
 ) -> DataFrame:
-    """The `passed` columns, and the columns of schema `made` that Python makes of each text.
+    """The `passed` columns (doc_id if None), and those of schema `made` that Python makes of each text.
 
     `factory()` runs once per task; what it returns takes a list of texts (never null: a null
     text is given as empty) and returns one tuple for each.
     """
-    fields = T.StructType.fromDDL(made) if made else T.StructType()
+    passed = {"doc_id": F.col("doc_id")} if passed is None else passed
+    within = rows.columns.index(text) if isinstance(passed, WholeRow) else None
+    fields = T.StructType.fromDDL(made)
     names = [*passed, *fields.names]
     types = [_arrow(field.dataType) for field in fields]
-    source = rows.select(
-        *[column.alias(name) for name, column in passed.items()],
-        F.coalesce(text, F.lit("")).alias("__text"),
-    )
+    kept = rows.select(*[column.alias(name) for name, column in passed.items()])
+    source = kept
+    if within is None:
+        source = rows.select(
+            *[column.alias(name) for name, column in passed.items()], F.col(text).alias("__text")
+        )
+    n_kept = len(passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_texts = factory()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                results = of_texts(part.column(part.num_columns - 1).to_pylist())
+                texts = part.column(n_kept) if within is None else part.column(0).field(within)
+                results = of_texts([one or "" for one in texts.to_pylist()])
                 columns = list(zip(*results)) if results else [[] for _ in types]
                 arrays = [pa.array(values, kind) for values, kind in zip(columns, types)]
-                kept = [part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, *arrays], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_kept], *arrays], names)
+        del of_texts
+        release_memory()
+
+    return source.mapInArrow(run, T.StructType([*kept.schema.fields, *fields.fields]))
+
 
-    schema = T.StructType([*source.schema.fields[:-1], *fields.fields])
-    return source.mapInArrow(run, schema)
+def release_memory() -> None:
+    """Give back what a task has freed: Python workers live on, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, stored
+from .common import WholeRow, map_text, stored
 
 SHINGLE_WORDS, THRESHOLD, RADIUS = 5, 0.8, 23
 #: Bytes of item texts that are broadcast together.
 BLOCK_BYTES = 8 << 20
 #: Distinct words a task remembers the hash of; words of a text that are handled at a time.
-TABLE_WORDS, PART_WORDS = 200_000, 1 << 14
+TABLE_WORDS, PART_WORDS = 100_000, 1 << 14
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -217,7 +217,7 @@ def find_items(
 ) -> DataFrame:
     """The passed columns (doc_id unless given) and `items`: array of (item_id, similarity,
     start_word, end_word), empty for a clean document."""
-    passed = passed or {"doc_id": F.col("doc_id")}
+    passed = {"doc_id": F.col("doc_id")} if passed is None else passed
     made = (
         "items array<struct<item_id: bigint, similarity: double, start_word: bigint, end_word: bigint>>"
     )
@@ -235,7 +235,7 @@ def find_items(
 
             return lambda texts: list(map(of_text, texts))
 
-        return map_text(of, F.col(text), kept, made, factory)
+        return map_text(of, text, kept, made, factory)
 
     blocks = _blocks_of(benchmark)
     if len(blocks) == 1:
@@ -263,5 +263,5 @@ def contaminated_pairs(rows: DataFrame, benchmark: DataFrame, **options) -> Data
 
 def clean_rows(rows: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """All columns of the rows that hold no item."""
-    found = find_items(rows, benchmark, text, passed={"row": F.struct("*")})
+    found = find_items(rows, benchmark, text, passed=WholeRow())
     return found.where(F.size("items") == 0).select("row.*")

@@ -125,4 +125,4 @@ def extract(
         return lambda pages: [(main_text(page, trained),) for page in pages]
 
     passed = passed or {"page_id": F.col("page_id"), "url": F.col("url")}
-    return map_text(rows, F.col(html), passed, "text string", factory)
+    return map_text(rows, html, passed, "text string", factory)

@@ -174,7 +174,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
         return lambda texts: list(map(of_text, texts))
 
     sample = map_text(
-        bounded_sample(labelled, F.col("key"), train_rows), F.col("text"),
+        bounded_sample(labelled, F.col("key"), train_rows), "text",
         {"key": F.col("key"), "label": F.col("label")}, "at array<int>, counts array<int>", features,
     ).where(F.size("at") > 0)
     learned = sample.toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
@@ -204,7 +204,7 @@ def predict(rows: DataFrame, model: Model, text: str = "text", passed: dict[str,
         return lambda texts: [fitted.predict(bucket_counts(one, table)) for one in texts]
 
     made = "lang_pred string, score double"
-    return map_text(rows, F.col(text), passed or {"doc_id": F.col("doc_id")}, made, factory)
+    return map_text(rows, text, passed, made, factory)
 
 
 def held_out(key: Column) -> Column:

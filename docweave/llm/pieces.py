@@ -13,6 +13,8 @@ encoded whole. Rows keep their multiplicity; an empty table gives an empty resul
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -23,11 +25,13 @@ from pyspark.sql import functions as F
 from .common import map_text
 
 #: Marked words kept in a task's table, and the longest of them in characters.
-TABLE_WORDS, WORD_CHARS = 200_000, 64
+TABLE_WORDS, WORD_CHARS = 100_000, 64
 
 
 def check_model(model: bytes) -> None:
     """Raise unless marked words of this model can be segmented one by one."""
+    if sys.byteorder != "little":
+        raise ValueError("ids are packed in the machine's byte order, which must be little-endian")
     pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
     for i in range(pieces.get_piece_size()):
         if "▁" in pieces.id_to_piece(i).lstrip("▁"):
@@ -36,34 +40,38 @@ def check_model(model: bytes) -> None:
         raise ValueError("the model does not keep white space as it is")
 
 
-def segmenter(model: bytes) -> Callable[[str], bytes]:
-    """Text to its ids, begin and end included, as little-endian 32-bit integers."""
+def segmenter(model: bytes) -> Callable[[list[str]], list[bytes]]:
+    """Texts to their ids, begin and end included, as little-endian 32-bit integers."""
     pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
-    marked_words = re.compile(" +[^ ]*").findall
-    begin = np.array([pieces.bos_id()], "<u4").tobytes()
-    end = np.array([pieces.eos_id()], "<u4").tobytes()
-    # The encoder adds no marker to an empty word, so the single marker has a fixed place.
-    single = {" ": np.array([pieces.piece_to_id("▁")], "<u4").tobytes()}
+    runs = re.compile(" +[^ ]*").findall
+    begin = array("I", [pieces.bos_id()]).tobytes()
+    end = array("I", [pieces.eos_id()]).tobytes()
+    # Words stand in the table without their first marker, which the encoder adds by itself, except
+    # to an empty word: that one has a fixed place.
+    single = {"": array("I", [pieces.piece_to_id("▁")]).tobytes()}
     table = dict(single)
 
-    def fill(words: list[str]) -> None:
-        # The encoder itself puts one marker in front of what it is given.
-        for word, ids in zip(words, pieces.encode([w[1:] for w in words], num_threads=1)):
-            table[word] = np.array(ids, "<u4").tobytes()
-
-    def encode(text: str) -> bytes:
+    def marked_words(text: str) -> list[str]:
         if not text:
-            return begin + end
-        words = marked_words(" " + text.replace("▁", " "))
+            return []
+        text = text.replace("▁", " ")
+        if text[0] != " " and "  " not in text:
+            return text.split(" ")
+        return [run[1:] for run in runs(" " + text)]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        words = list(map(marked_words, texts))
         if len(table) > TABLE_WORDS:
             table.clear()
             table.update(single)
-        long = [word for word in words if len(word) > WORD_CHARS]
-        fill([word for word in set(words) if word not in table])
-        ids = b"".join([begin, *map(table.__getitem__, words), end])
-        for word in long:
-            table.pop(word, None)
-        return ids
+        new = list(set().union(*words).difference(table))
+        found = pieces.encode(new, num_threads=1)
+        table.update(zip(new, [array("I", ids).tobytes() for ids in found]))
+        encoded = [b"".join([begin, *map(table.__getitem__, own), end]) for own in words]
+        for word in new:
+            if len(word) > WORD_CHARS:
+                del table[word]
+        return encoded
 
     return encode
 
@@ -79,13 +87,11 @@ def encode_decode(
         decode = sentencepiece.SentencePieceProcessor(model_proto=model).decode
 
         def of_texts(texts: list[str]) -> list[tuple]:
-            encoded = map(encode, texts)
-            return [(ids, decode(np.frombuffer(ids, "<u4").tolist())) for ids in encoded]
+            return [(ids, decode(np.frombuffer(ids, "<u4").tolist())) for ids in encode(texts)]
 
         return of_texts
 
-    passed = passed or {"doc_id": F.col("doc_id")}
-    return map_text(rows, F.col(text), passed, "ids binary, decoded string", factory)
+    return map_text(rows, text, passed, "ids binary, decoded string", factory)
 
 
 def digests() -> list[Column]:

@@ -20,7 +20,7 @@ import ahocorasick
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import WholeRow, map_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account", "address")
@@ -170,7 +170,7 @@ def find_pii(rows: DataFrame, text: str = "text", passed: dict[str, Column] | No
         ]
 
     made = "found array<struct<start: bigint, kind: string, end: bigint>>"
-    return map_text(rows, F.col(text), passed or {"doc_id": F.col("doc_id")}, made, factory)
+    return map_text(rows, text, passed, made, factory)
 
 
 def digests() -> list[Column]:
@@ -206,7 +206,7 @@ def mask_pii(rows: DataFrame, text: str = "text") -> DataFrame:
         spans_of = span_finder()
         return lambda texts: [(mask_text(one, spans_of(one)),) for one in texts]
 
-    masked = map_text(rows, F.col(text), {"row": F.struct("*")}, "masked string", factory)
+    masked = map_text(rows, text, WholeRow(), "masked string", factory)
     columns = [
         F.when(F.col("row")[name].isNotNull(), F.col("masked")).alias(name)
         if name == text

@@ -27,7 +27,7 @@ WHITE_SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Distinct words a task remembers the hash of.
-TABLE_WORDS = 200_000
+TABLE_WORDS = 100_000
 
 COUNTED = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -94,7 +94,7 @@ def statistics(rows: DataFrame, text: str = "text", passed: dict[str, Column] |
         return lambda texts: [text_statistics(one, hashes) for one in texts]
 
     made = ", ".join(f"{name} bigint" for name in COUNTED)
-    return map_text(rows, F.col(text), passed or {"doc_id": F.col("doc_id")}, made, factory)
+    return map_text(rows, text, passed, made, factory)
 
 
 def base_failed() -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, stored
+from .common import WholeRow, map_text, release_memory, stored
 from .components import connected_components
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
@@ -36,7 +36,7 @@ PREFIX_ROWS = 4096
 #: Prefixes dealt to several tasks whose list may be broadcast (16 bytes each); beyond it, a join.
 BROADCAST_PREFIXES = 100_000
 #: Variants that a task holds at a time.
-HELD_VARIANTS = 1 << 21
+HELD_VARIANTS = 1 << 20
 #: Shingles whose bits are counted at a time.
 COUNTED_SHINGLES = 1 << 15
 
@@ -73,7 +73,7 @@ def fingerprints(
     def factory():
         return lambda texts: [(fingerprint(one, words),) for one in texts]
 
-    return map_text(rows, F.col(text), passed or {"doc_id": F.col("doc_id")}, "fp bigint", factory)
+    return map_text(rows, text, passed, "fp bigint", factory)
 
 
 def _masks(bits: int, weight: int) -> np.ndarray:
@@ -174,6 +174,7 @@ def ball_links(fps: DataFrame, n: int, radius: int = RADIUS, prefix_rows: int =
         a, b = _met(
             table["fp"].to_numpy().view(np.uint64), first["prefix"], k, first["salt"], first["salts"], radius
         )
+        release_memory()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return dealt.groupBy("part").applyInArrow(meet, "a bigint, b bigint")
@@ -207,7 +208,7 @@ def hex_fingerprint() -> Column:
 def one_of_each_class(rows: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """All columns; of each near-duplicate class the row with the least doc_id stays (null ids come
     last; of rows with the same id, any one)."""
-    numbered = fingerprints(rows, text, passed={"row": F.struct("*")})
+    numbered = fingerprints(rows, text, passed=WholeRow())
     numbered = stored(numbered.withColumn("number", F.monotonically_increasing_id()), "numbered")
     prints = numbered.select("fp", "number", F.col("row")["doc_id"].alias("doc_id"))
     classes = near_duplicate_classes(prints, radius)
