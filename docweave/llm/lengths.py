@@ -16,10 +16,10 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import map_text, stored
 
 #: Lengths are summed within blocks first, then over blocks: no task orders all lengths.
-BLOCK = 4096
+BLOCK = 256
 
 
 def encoded_lengths(rows: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
@@ -32,13 +32,14 @@ def encoded_lengths(rows: DataFrame, ranks: bytes, pattern: str, text: str = "te
         )
         return lambda texts: [(len(encoding.encode_ordinary(one)),) for one in texts]
 
-    return map_text(rows, F.col(text), {"doc_id": F.col("doc_id")}, "n_tokens bigint", factory)
+    return map_text(rows, text, None, "n_tokens bigint", factory)
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
     """n_tokens, n_docs; docs_at_least, tokens_at_least (this length or more); truncated_tokens
     (the total if every document is cut to this length); quantile (share of documents up to it)."""
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # Written once: both the blocks and the rows are made of it, and texts are encoded once.
+    counts = stored(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
     counts = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     tokens = F.col("n_tokens") * F.col("n_docs")
     within = Window.partitionBy("block").orderBy(F.desc("n_tokens"))
