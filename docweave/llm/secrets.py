@@ -143,7 +143,9 @@ def train(findings: DataFrame) -> PipelineModel:
         numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="sqrt", seed=3, maxBins=64
     )
     fitted: RandomForestClassificationModel = forest.fit(assembler.transform(table))
-    return PipelineModel([assembler, fitted])
+    # A copy leaves out the training summary, which would take the session along to the executors
+    # and fails to once the session has been used for observations.
+    return PipelineModel([assembler, fitted.copy()])
 
 
 def candidates(rows: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from helpers import CLASHING, ODD_TEXTS, SF_DIR, documents
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from docweave.llm import extraction, language, queries, secrets
@@ -153,6 +154,10 @@ def test_odd_pages(spark, field):
 
 @pytest.fixture(scope="module")
 def forest(spark):
+    # A session that has been used for observations must not travel with the model.
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 3
     return secrets.train(secrets.labelled_findings(spark, 3000))
 
 
