@@ -349,6 +349,12 @@ def _answers(run: Run, requests: DataFrame, count: int, level: int) -> DataFrame
     config = run.config
     columns = ["cache_key", "data", "status", "error"]
     valid = run.spark.read.schema(CACHE_DDL).parquet(_cache_folder(run)).where(F.col("status") == OK)
+    own = f"{_own_cache(run)}/level={level}"
+    made_ddl = f"cache_key STRING, data {DOC_DATA}, error STRING, status STRING"
+    made = run.spark.read.schema(made_ddl)
+    if config.cache_path is None and level == 0:
+        _call(run, requests, count, level, own)
+        return made.parquet(own).select(*columns)
     # A key may be in the cache of several runs; only names are aggregated, not answers.
     where_kept = F.min(F.struct("run_id", "level")).alias("kept")
     hits = run.save(
@@ -359,25 +365,33 @@ def _answers(run: Run, requests: DataFrame, count: int, level: int) -> DataFrame
         .agg(where_kept)
         .select("cache_key", F.col("kept.run_id").alias("in_run"), F.col("kept.level").alias("in_level")),
     )
+    _call(run, cache_misses(requests, hits), count, level, own)
+    there = (F.col("run_id") == F.col("in_run")) & (F.col("level") == F.col("in_level"))
+    kept = valid.join(hits, "cache_key").where(there).select(*columns)
+    return made.parquet(own).select(*columns).unionByName(kept)
+
+
+def _call(run: Run, misses: DataFrame, count: int, level: int, own: str) -> None:
+    """Generate for ``misses`` (at most ``count``) and commit the answers, wave by wave."""
+    config = run.config
     waves = max(1, -(-count // (config.max_workers * config.calls_per_task)))
+
+    def answer(part: DataFrame) -> None:
+        answers = generate(part, config.generate_docstring_func, config.max_workers)
+        answers.write.mode("append").partitionBy("status").parquet(own)
+
+    if waves == 1:
+        answer(misses)
+        return
     start = F.conv(F.substring("cache_key", 1, 8), 16, 10).cast("bigint")
-    wave = F.floor(start * F.lit(waves) / F.lit(KEY_SPACE)).cast("int")
-    misses = cache_misses(requests, hits).withColumn("wave", wave)
+    dealt = misses.withColumn("wave", F.floor(start * F.lit(waves) / F.lit(KEY_SPACE)).cast("int"))
     folder = f"{run.folder}/misses/level={level}"
-    misses.repartition(_slices(run.spark), "wave").write.partitionBy("wave").parquet(folder)
-    stored = run.spark.read.schema(misses.schema).parquet(folder)
-    own = f"{_own_cache(run)}/level={level}"
-    present = sorted(row["wave"] for row in stored.select("wave").distinct().collect())
-    for number in present:
-        part = run.spark.read.schema(misses.drop("wave").schema).parquet(f"{folder}/wave={number}")
-        made = generate(part, config.generate_docstring_func, config.max_workers)
-        made.write.mode("append").partitionBy("status").parquet(own)
-    there = (F.col("run_id") == F.col("in_run")) & (F.col("level") == F.col("in_level"))
-    kept = valid.join(hits, "cache_key").where(there).select(*columns)
-    if not present:
-        return kept
-    made_ddl = f"cache_key STRING, data {DOC_DATA}, error STRING, status STRING"
-    return run.spark.read.schema(made_ddl).parquet(own).select(*columns).unionByName(kept)
+    dealt.repartition(_slices(run.spark), "wave").write.partitionBy("wave").parquet(folder)
+    present = run.spark.read.schema(dealt.schema).parquet(folder).select("wave").distinct().collect()
+    for number in sorted(row["wave"] for row in present):
+        answer(run.spark.read.schema(misses.schema).parquet(f"{folder}/wave={number}"))
+    if not present:  # leaves the folder that is read next
+        answer(misses)
 
 
 @functools.cache
