@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lets import let
-
 # --- Fixed values: the line breaks of Python's str.splitlines, and the stock openings
 # --- removed from a description (first match only, case-sensitive).
 LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
@@ -34,17 +32,14 @@ def strip(text: Column) -> Column:
 
 
 def indent_lines(text: Column, indent: Column) -> Column:
-    """Put ``indent`` (white space) before each of ``str.splitlines()``, joined by ``\\n``."""
-    return let(F.struct(text.alias("text"), indent.alias("indent")), lambda x: _indented(x["text"], x["indent"]))
-
+    """Put ``indent`` (white space) before each of ``str.splitlines()``, joined by ``\\n``.
 
-def _indented(text: Column, indent: Column) -> Column:
+    ``text`` is used several times: make it a column of its own first, which the optimizer then
+    keeps. A ``let`` would take the whole expression out of generated code.
+    """
     last = F.right(text, F.lit(1))
     ends = F.when(text.endswith("\r\n"), 2).when(F.instr(F.lit(LINE_BREAKS), last) > 0, 1).otherwise(0)
-    return let(F.left(text, F.length(text) - ends), lambda body: _indented_body(body, indent))
-
-
-def _indented_body(body: Column, indent: Column) -> Column:
+    body = F.left(text, F.length(text) - ends)
     start = F.concat(F.lit("\n"), indent)
     usual = F.replace(body, F.lit("\n"), start)
     other = F.regexp_replace(body, F.lit(ANY_LINE_BREAK), start)
@@ -66,7 +61,8 @@ def remove_stock_prefix(text: Column) -> Column:
 
 def capitalize_first(text: Column) -> Column:
     """Trim, then upper-case the first character and keep the rest as it is."""
-    return let(strip(text), lambda s: F.concat(F.upper(F.left(s, F.lit(1))), s.substr(2, 2**31 - 1)))
+    stripped = strip(text)
+    return F.concat(F.upper(F.left(stripped, F.lit(1))), stripped.substr(2, 2**31 - 1))
 
 
 def tidy_description(text: Column) -> Column:

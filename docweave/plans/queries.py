@@ -477,8 +477,11 @@ def indent_docstring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     suite = F.col("l_linestatus") == "F"
     indent = docstring_indent(suite, F.lit("  "), number - 1, number)
     text = GoogleStyle().render(F.col("data"), F.lit("  "))
-    return _line_items(spark, sf_dir).select(
-        "l_orderkey", "l_linenumber", indent_lines(text, indent).alias("docstring")
+    rendered = _line_items(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", text.alias("text"), indent.alias("indent")
+    )
+    return rendered.select(
+        "l_orderkey", "l_linenumber", indent_lines(F.col("text"), F.col("indent")).alias("docstring")
     )
 
 
