@@ -1,0 +1,261 @@
+"""Near copies: SimHash candidates by ball hashing in blocks of bits, then an exact shingle check.
+
+Shingles are `SHINGLE_WORDS` words (A-Z in lower case, separated by ASCII white space); a shorter text
+is one shingle of all its words, and texts without words are alike. Two texts are near copies if the
+Jaccard similarity of their sets of shingles is at least `THRESHOLD`; classes are chains of near copies.
+
+At a similarity of 0.8 about 19 of the 128 bits of a fingerprint differ, too many for one ball. So
+fixed blocks of 24 bits are taken of it; fingerprints meet in a block if its first 8 bits are equal
+and the other 16 have a variant within half the radius of both. Those that meet are compared as a
+whole, and what is within `REACH` bits makes families. All distinct sets of a family come to one task,
+which compares them exactly, so that only pairs that never meet are missed: see `meets`.
+
+A run of one variant costs its members times those that none of them reaches, not all pairs. The
+distinct sets of one family must fit one task. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import WholeRow, map_text, release_memory, stored
+from .components import connected_components
+from .decontamination import TABLE_WORDS, shingles
+from .simhash import COUNTED_SHINGLES, HELD_VARIANTS, _forest, _masks
+
+SHINGLE_WORDS, THRESHOLD = 5, 0.8
+BLOCKS, EXACT_BITS, BALL_BITS, RADIUS, REACH = 48, 8, 16, 2, 32
+#: Runs up to this length are compared by shifts of all runs at once, longer ones each by itself.
+LONG_RUN = 256
+#: Links that a task holds before they are thinned out to a forest.
+HELD_LINKS = 1 << 21
+
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_PICKED = random.Random(11)
+#: The bits of a fingerprint that each block has.
+POSITIONS = np.array([_PICKED.sample(range(128), EXACT_BITS + BALL_BITS) for _ in range(BLOCKS)])
+_VARIANTS = np.concatenate([_masks(BALL_BITS, w) for w in range(RADIUS // 2 + 1)])
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def shingle_set(text: str, known: _Hashes) -> np.ndarray:
+    """The distinct 64-bit shingle hashes of a text, sorted."""
+    words = text.encode().lower().split()
+    if len(known) > TABLE_WORDS:
+        known.clear()
+    hashed = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.unique(shingles(hashed, min(SHINGLE_WORDS, len(words)))) if words else hashed
+
+
+def fingerprint(own: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit integers; a bit is set if it is set in over half of the shingle hashes."""
+    counts = np.zeros(128, np.int64)
+    for at in range(0, len(own), COUNTED_SHINGLES):
+        part = own[at : at + COUNTED_SHINGLES]
+        second = (part ^ (part >> np.uint64(29))) * _MIX
+        both = np.stack([part, second ^ (second >> np.uint64(32))], axis=1).astype("<u8")
+        bits = np.unpackbits(both.view(np.uint8).reshape(len(part), 16), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.int64)
+    low, high = np.packbits(2 * counts > len(own), bitorder="little").view("<i8").tolist()
+    return low, high
+
+
+def block_values(low: np.ndarray, high: np.ndarray, blocks: slice = slice(None)) -> np.ndarray:
+    """For each fingerprint the 24 bits of each block, the exact ones leading."""
+    raw = np.stack([low, high], axis=1).astype("<u8").view(np.uint8).reshape(len(low), 16)
+    bits = np.unpackbits(raw, axis=1, bitorder="little")
+    weights = 1 << np.arange(EXACT_BITS + BALL_BITS, dtype=np.int64)[::-1]
+    return bits[:, POSITIONS[blocks]].astype(np.int64) @ weights
+
+
+def meets(low: np.ndarray, high: np.ndarray) -> bool:
+    """Whether the two fingerprints become candidates."""
+    a, b = block_values(low, high)
+    off = a ^ b
+    met = (off >> BALL_BITS == 0) & (np.bitwise_count(off) <= RADIUS)
+    apart = np.bitwise_count(low[0] ^ low[1]) + np.bitwise_count(high[0] ^ high[1])
+    return bool(met.any() and apart <= REACH)
+
+
+def _met(low: np.ndarray, high: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs whose components are those of all pairs that meet in a variant and are in reach."""
+    n = len(low)
+    whole = np.arange(n)
+    all_a, all_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def near(a, b):
+        return np.bitwise_count(low[a] ^ low[b]) + np.bitwise_count(high[a] ^ high[b]) <= REACH
+
+    def add(a, b):
+        all_a.append(a)
+        all_b.append(b)
+        if sum(map(len, all_a)) > HELD_LINKS:
+            all_a[:], all_b[:] = ([part] for part in _forest(whole, np.concatenate(all_a), np.concatenate(all_b)))
+
+    order = np.argsort(values, kind="stable")
+    # Variants keep the exact bits, so parts between two values of these are complete.
+    bounds = np.flatnonzero(np.diff(values[order] >> BALL_BITS, prepend=-1, append=1 << 40))
+    at = 0
+    while at < len(bounds) - 1:
+        until = at + 1
+        while until < len(bounds) - 1 and (bounds[until + 1] - bounds[at]) * len(_VARIANTS) <= HELD_VARIANTS:
+            until += 1
+        part = order[bounds[at] : bounds[until]]
+        at = until
+        made = (values[part][:, None] ^ _VARIANTS[None, :].astype(np.int64)).ravel()
+        owner = np.repeat(part, len(_VARIANTS))
+        by = np.argsort(made, kind="stable")
+        made, owner = made[by], owner[by]
+        starts = np.flatnonzero(np.diff(made, prepend=-1))
+        sizes = np.diff(np.append(starts, len(made)))
+        ends = np.repeat(starts + sizes, sizes)
+        active = np.flatnonzero(np.repeat(sizes <= LONG_RUN, sizes))
+        for shift in range(1, LONG_RUN):
+            active = active[active + shift < ends[active]]
+            if not len(active):
+                break
+            a, b = owner[active], owner[active + shift]
+            linked = near(a, b)
+            add(a[linked], b[linked])
+        for i in np.flatnonzero(sizes > LONG_RUN).tolist():
+            rest = owner[starts[i] : starts[i] + sizes[i]]
+            while len(rest):
+                waiting, rest = [rest[:1]], rest[1:]
+                while waiting and len(rest):
+                    group = waiting.pop()
+                    for j, pivot in enumerate(group):
+                        linked = near(pivot, rest)
+                        if linked.any():
+                            found, rest = rest[linked], rest[~linked]
+                            add(np.full(len(found), pivot), found)
+                            waiting += [group[j + 1 :], found]
+                            break
+    return _forest(whole, np.concatenate(all_a), np.concatenate(all_b))
+
+
+def family_links(prints: DataFrame, n: int) -> DataFrame:
+    """Edges (a, b) between the `low` parts of those of the n distinct fingerprints that meet."""
+    k = min(EXACT_BITS, (n // 1000).bit_length())
+    cut = EXACT_BITS + BALL_BITS - k
+
+    def deal(batches):
+        for batch in batches:
+            low, high = batch.column(0), batch.column(1)
+            values = block_values(low.to_numpy().view(np.uint64), high.to_numpy().view(np.uint64))
+            for block in range(BLOCKS):
+                parts = pa.array((block << k | values[:, block] >> cut).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([low, high, parts], ["low", "high", "part"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        block = table["part"][0].as_py() >> k
+        low, high = (table[name].to_numpy().view(np.uint64) for name in ("low", "high"))
+        a, b = _met(low, high, block_values(low, high, slice(block, block + 1))[:, 0])
+        made = pa.table({"a": low[a].view(np.int64), "b": low[b].view(np.int64)})
+        release_memory()
+        return made
+
+    dealt = prints.select("low", "high").mapInArrow(deal, "low bigint, high bigint, part int")
+    return dealt.groupBy("part").applyInArrow(meet, "a bigint, b bigint")
+
+
+def linked_sets(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray:
+    """For each set of shingles the number of the first one of its class. Exact."""
+    label = np.full(len(sets), -1)
+    sizes = np.array([len(s) for s in sets])
+    joined = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    codes = np.unique(joined, return_inverse=True)[1].ravel().astype(np.int32)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    marked = np.zeros(int(codes.max()) + 1 if len(codes) else 1, bool)
+
+    def shared(pivot: int, others: np.ndarray, their: np.ndarray) -> np.ndarray:
+        own = codes[at[pivot] : at[pivot + 1]]
+        marked[own] = True
+        seen = np.concatenate([[0], np.cumsum(marked[their])])
+        marked[own] = False
+        ends = np.cumsum(sizes[others])
+        return seen[ends] - seen[ends - sizes[others]]
+
+    rest, their = np.arange(len(sets)), codes
+    while len(rest):
+        first = int(rest[0])
+        waiting, taken = [first], np.zeros(len(rest), bool)
+        taken[0] = True
+        while waiting:
+            label[waiting[-1]] = first
+            pivot = waiting.pop()
+            if taken.any():
+                rest, their = rest[~taken], their[~np.repeat(taken, sizes[rest])]
+            if not len(rest):
+                label[waiting] = first
+                break
+            both = shared(pivot, rest, their)
+            # Rounded, so that four fifths are 0.8.
+            union = np.maximum(sizes[rest] + sizes[pivot] - both, 1)
+            taken = np.round(both / union, 9) >= threshold
+            waiting += rest[taken].tolist()
+    return label
+
+
+def one_of_each_class(rows: DataFrame, text: str = "text") -> DataFrame:
+    """All columns; of each class of near copies the row with the least doc_id stays (null ids come
+    last; of rows with the same id, any one)."""
+
+    def prints_of():
+        known = _Hashes()
+
+        def of_text(one: str) -> tuple:
+            own = shingle_set(one, known)
+            return (*fingerprint(own), xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
+
+        return lambda texts: list(map(of_text, texts))
+
+    def sets_of():
+        known = _Hashes()
+        return lambda texts: [(shingle_set(one, known).tobytes(),) for one in texts]
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
+        names = table["set"].to_numpy()
+        made = pa.table({"set": names, "class": names[linked_sets(sets)]})
+        del sets
+        release_memory()
+        return made
+
+    numbered = map_text(rows, text, WholeRow(), "low bigint, high bigint, set bigint", prints_of)
+    numbered = stored(numbered.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    # One row for each distinct set of shingles.
+    order = F.struct(F.col("row")["doc_id"].isNull().alias("last"), F.col("row")["doc_id"].alias("doc_id"), "number")
+    distinct = numbered.groupBy("set").agg(
+        F.min("low").alias("low"), F.min("high").alias("high"), F.min(order).alias("first")
+    )
+    distinct = stored(distinct, "sets")
+    prints = stored(distinct.select("low", "high").distinct(), "fingerprints")
+    roots = connected_components(family_links(prints, prints.count()))
+    placed = distinct.join(roots, F.col("low") == F.col("node"), "left").select(
+        "set", F.coalesce("root", "low").alias("family"), F.col("first")["number"].alias("of")
+    )
+    placed = stored(placed, "families")
+    several = placed.groupBy("family").count().where("count > 1").select(F.col("family").alias("kin"))
+    members = stored(placed.join(several, F.col("family") == F.col("kin"), "left_semi"), "members")
+    held = numbered.select("number", F.col("row")[text].alias("held")).join(members, F.col("number") == F.col("of"))
+    shingled = map_text(held, "held", {n: F.col(n) for n in ("family", "set")}, "shingles binary", sets_of)
+    classes = shingled.groupBy("family").applyInArrow(compare, "set bigint, class bigint")
+    classes = classes.withColumnRenamed("set", "member")
+    staying = (
+        distinct.join(classes, F.col("set") == F.col("member"), "left")
+        .groupBy(F.coalesce("class", "set"))
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first")["number"].alias("stays"))
+    )
+    return numbered.join(staying, F.col("number") == F.col("stays"), "left_semi").select("row.*")

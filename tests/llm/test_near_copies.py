@@ -1,0 +1,104 @@
+import random
+
+import numpy as np
+import pytest
+from helpers import ODD_TEXTS, SF_DIR, documents, prose
+
+import corpus_pipeline
+from docweave.llm import near_copies
+from docweave.llm.common import read_table
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def brute_classes(texts):
+    """The number of the first text that each reaches over pairs of similarity 0.8 and more."""
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and round(jaccard(sets[i], sets[j]), 9) >= 0.8:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def changed(text, count, seed):
+    words = text.split()
+    for i in random.Random(seed).sample(range(len(words)), count):
+        words[i] = f"new{seed}y{i}"
+    return " ".join(words)
+
+
+def planted():
+    texts = []
+    for seed in range(40):
+        whole = prose(seed, 120 + 9 * seed)
+        n = len(whole.split())
+        texts += [whole, *(changed(whole, max(1, n * share // 1000), 100 * seed + share) for share in (4, 10, 16, 20, 60))]
+    return texts
+
+
+def test_stage_equals_brute_force_jaccard(spark):
+    texts = [*planted(), prose(900, 4), prose(900, 4).upper(), None, "", prose(901, 30)]
+    want = set(brute_classes(texts))
+    got = corpus_pipeline.near_duplicates(spark, documents(spark, texts, True), SF_DIR)
+    assert {r["doc_id"] for r in got.collect()} == want
+    assert len(want) < len(texts) - 100
+
+
+def test_stage_equals_brute_force_on_the_table(spark):
+    rows = read_table(spark, SF_DIR, "documents").orderBy("doc_id").collect()
+    want = {rows[i]["doc_id"] for i in brute_classes([r["text"] for r in rows])}
+    got = corpus_pipeline.near_duplicates(spark, read_table(spark, SF_DIR, "documents"), SF_DIR)
+    assert {r["doc_id"] for r in got.collect()} == want
+
+
+def test_pairs_at_the_threshold_meet():
+    known, total, met = near_copies._Hashes(), 0, 0
+    for seed in range(400):
+        whole = prose(seed, 150 + seed)
+        other = changed(whole, max(1, (150 + seed) * 21 // 1000), seed)
+        if 0.8 <= jaccard(shingle_set(whole), shingle_set(other)) < 0.9:
+            prints = [near_copies.fingerprint(near_copies.shingle_set(t, known)) for t in (whole, other)]
+            total, met = total + 1, met + near_copies.meets(*np.array(prints).T.copy().view(np.uint64))
+    assert total >= 100 and met >= 0.97 * total
+
+
+@pytest.mark.parametrize("long_run", [256, 3])
+def test_runs_lose_no_link(monkeypatch, long_run):
+    monkeypatch.setattr(near_copies, "LONG_RUN", long_run)
+    monkeypatch.setattr(near_copies, "HELD_LINKS", 50)
+    pick = random.Random(4)
+    prints = [pick.getrandbits(128)]
+    while len(prints) < 150:
+        flipped = pick.choice(prints) if len(prints) % 10 else pick.getrandbits(128)
+        for bit in pick.sample(range(128), pick.randint(1, 9)):
+            flipped ^= 1 << bit
+        prints.append(flipped)
+    low, high = (np.array([p >> s & (1 << 64) - 1 for p in prints], np.uint64) for s in (0, 64))
+    values = near_copies.block_values(low, high)[:, 0]
+    off = values[:, None] ^ values[None, :]
+    apart = np.array([[(p ^ q).bit_count() for q in prints] for p in prints])
+    met = (off >> 16 == 0) & (np.bitwise_count(off) <= 2) & (apart <= near_copies.REACH)
+    label = np.arange(len(prints))
+    for _ in prints:
+        label = np.where(met, label[None, :], len(prints)).min(axis=1)
+    got = np.arange(len(prints))
+    a, b = near_copies._met(low, high, values)
+    got[a] = b
+    assert np.array_equal(got, label) and len(set(label)) < len(label)
+
+
+def test_odd_rows_and_an_empty_table(spark):
+    ids = [*range(len(ODD_TEXTS) - 1), None]
+    kept = near_copies.one_of_each_class(documents(spark, ODD_TEXTS, True, ids))
+    assert {r["doc_id"] for r in kept.collect()} == {ids[i] for i in brute_classes(ODD_TEXTS)}
+    assert near_copies.one_of_each_class(documents(spark, ["x"]).where("false")).collect() == []
