@@ -4,7 +4,7 @@ Words are runs of letters, digits and underscores in lower case, so punctuation
 do not matter; shingles are five words (an item of fewer words is one shingle of all its words). A
 shingle weighs ln(1 + items / items that have it). For every size that an item has, windows of that
 many words slide over the whole text. The signs of the summed weights of a window's shingle bits are
-its SimHash. Fingerprints are cut into blocks of 8 bits; within `radius` bits at least one block of an
+its SimHash; only shingles vote that an item of that size has, so changed words cannot outvote the rest. Fingerprints are cut into blocks of 8 bits; within `radius` bits at least one block of an
 item's fingerprint differs in at most radius // 8 bits, so the lists of the blocks in that reach
 hold every item within the radius. Each such pair is then compared exactly: the weight of the
 item's shingles that the window has (with multiplicity), over the item's weight. From `threshold`
@@ -85,7 +85,6 @@ class Index:
                 own[number] = (size, len(words) - size + 1, shingles(words, size))
         frequency = Counter(h for _, _, hashes in own.values() for h in set(hashes.tolist()))
         self.ids = [item for item, _ in items]
-        self.default = math.log(1 + max(len(own), 1))
         known = sorted(frequency)
         self.known = np.array(known, np.uint64)
         self.known_weight = np.array([math.log(1 + len(own) / frequency[h]) for h in known])
@@ -127,7 +126,7 @@ class Index:
 
     def weights_of(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.known_weight[at], self.default)
+        return np.where(self.known[at] == hashes, self.known_weight[at], 0.0)
 
     def search(self, text: str) -> dict[int, tuple[float, int, int]]:
         """Item number to its best similarity and that window's first word and end (the first best)."""
@@ -156,15 +155,17 @@ class Index:
                 within = summed[np.searchsorted(hit, ends)] - summed[np.searchsorted(hit, starts)]
                 heavy = within >= self.threshold * least - 1e-6
                 if heavy.any():
-                    self._compare(found, hashes, size, starts[heavy], ends[heavy], *items)
+                    voting = np.zeros(len(hashes))
+                    voting[hit] = self.weights_of(hashes[hit])
+                    self._compare(found, hashes, voting, size, starts[heavy], ends[heavy], *items)
         return found
 
-    def _compare(self, found, hashes, size, starts, ends, numbers, prints, blocks) -> None:
+    def _compare(self, found, hashes, voting, size, starts, ends, numbers, prints, blocks) -> None:
         for a, b in _runs(starts, ends):
             low, high = int(starts[a]), int(ends[b - 1])
             own = hashes[low:high]
             votes = np.vstack([
-                np.zeros(64), np.cumsum(_bits(own) * self.weights_of(own)[:, None], axis=0)
+                np.zeros(64), np.cumsum(_bits(own) * voting[low:high, None], axis=0)
             ])
             signs = _signs(votes[ends[a:b] - low] - votes[starts[a:b] - low])
             split = signs.astype("<u8").view(np.uint8).reshape(-1, 8)
