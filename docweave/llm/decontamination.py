@@ -14,7 +14,8 @@ Windows in which the shingles of the items of that size weigh less than `thresho
 lightest of those items cannot reach the threshold, so they get no fingerprint; nothing else is left
 out.
 
-The benchmark is read in blocks of bounded size, each broadcast alone, so it may have any size. Null
+The benchmark is read in blocks of bounded size, each broadcast alone with its shingles' frequencies in
+the whole benchmark, so it may have any size and similarities do not depend on the blocks. Null
 and empty texts hold nothing, items without words are in nothing, items with equal texts are all
 reported, repeated documents each. Empty tables give an empty result.
 """
@@ -72,9 +73,15 @@ def _signs(sums: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Items of one block of the benchmark, by window size, ready to be searched."""
+    """Items of one block of the benchmark, by window size, ready to be searched.
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, radius: int = RADIUS):
+    `counted`: items with words in the whole benchmark, the hashes of the block's shingles and how many
+    of all items have each. Without it the block is the whole benchmark."""
+
+    def __init__(
+        self, items: list[tuple[int, str]], threshold: float = THRESHOLD, radius: int = RADIUS,
+        counted: tuple[int, np.ndarray, np.ndarray] | None = None,
+    ):
         self.threshold, self.radius = threshold, radius
         self.word_hash = _Hashes()
         own = {}
@@ -83,11 +90,16 @@ class Index:
             if len(words):
                 size = min(SHINGLE_WORDS, len(words))
                 own[number] = (size, len(words) - size + 1, shingles(words, size))
-        frequency = Counter(h for _, _, hashes in own.values() for h in set(hashes.tolist()))
+        if counted is None:
+            n_items = len(own)
+            frequency = Counter(h for _, _, hashes in own.values() for h in set(hashes.tolist()))
+        else:
+            n_items = counted[0]
+            frequency = dict(zip(counted[1].tolist(), counted[2].tolist()))
         self.ids = [item for item, _ in items]
         known = sorted(frequency)
         self.known = np.array(known, np.uint64)
-        self.known_weight = np.array([math.log(1 + len(own) / frequency[h]) for h in known])
+        self.known_weight = np.array([math.log(1 + n_items / frequency[h]) for h in known])
         self.weight_of = dict(zip(known, self.known_weight.tolist()))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known >> np.uint64(44)).astype(np.int64)] = True
@@ -198,17 +210,62 @@ def _runs(starts: np.ndarray, ends: np.ndarray):
 _WORDS = re.compile(r"\w+").findall
 
 
-def _blocks_of(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The benchmark's items, in blocks of at most BLOCK_BYTES of text (one item at least)."""
+def _item_shingles(text: str, word_hash: _Hashes) -> np.ndarray:
+    """The distinct shingle hashes of an item."""
+    words = np.fromiter(map(word_hash.__getitem__, _WORDS(text.lower())), np.uint64)
+    return np.unique(shingles(words, min(SHINGLE_WORDS, len(words)))) if len(words) else words
+
+
+def _counted_items(benchmark: DataFrame) -> tuple[int, DataFrame]:
+    """The number of items with words, and all items with the hashes of their shingles and how many
+    items of the whole benchmark have each."""
+
+    def factory() -> Callable[[list[str]], list[tuple]]:
+        word_hash = _Hashes()
+        return lambda texts: [(_item_shingles(one, word_hash).view(np.int64).tolist(),) for one in texts]
+
     known = benchmark.where("text IS NOT NULL").select("item_id", "text")
-    blocks: list[list[tuple[int, str]]] = [[]]
+    passed = {name: F.col(name) for name in ("item_id", "text")}
+    items = map_text(known, "text", passed, "shingles array<bigint>", factory)
+    items = stored(items.withColumn("number", F.monotonically_increasing_id()), "items")
+    each = items.select("number", F.explode("shingles").alias("hash"))
+    counts = each.groupBy("hash").agg(F.count("*").alias("n")).withColumnRenamed("hash", "of")
+    weights = (
+        each.join(counts, F.col("hash") == F.col("of"))
+        .groupBy(F.col("number").alias("item"))
+        .agg(F.collect_list(F.struct("hash", "n")).alias("counted"))
+    )
+    rows = items.join(weights, F.col("number") == F.col("item"), "left").select(
+        "item_id", "text", F.col("counted")["hash"].alias("hashes"), F.col("counted")["n"].alias("counts")
+    )
+    return items.where(F.size("shingles") > 0).count(), rows
+
+
+Block = tuple[list[tuple[int, str]], tuple[int, np.ndarray, np.ndarray]]
+
+
+def _blocks_of(benchmark: DataFrame) -> list[Block]:
+    """The benchmark's items, in blocks of at most BLOCK_BYTES of text (one item at least), each with
+    the counts of its shingles in the whole benchmark."""
+    n_items, rows = _counted_items(benchmark)
+    blocks: list[Block] = []
+    items: list[tuple[int, str]] = []
+    counts: dict[int, int] = {}
     held = 0
-    for row in known.orderBy("item_id", "text").toLocalIterator():
-        held += len(row["text"].encode())
-        if held > BLOCK_BYTES and blocks[-1]:
-            blocks.append([])
-            held = len(row["text"].encode())
-        blocks[-1].append((row["item_id"], row["text"]))
+
+    def close() -> None:
+        hashes = np.fromiter(counts.keys(), np.int64, len(counts)).view(np.uint64)
+        blocks.append((items, (n_items, hashes, np.fromiter(counts.values(), np.int64, len(counts)))))
+
+    for row in rows.orderBy("item_id", "text").toLocalIterator():
+        size = len(row["text"].encode())
+        if held + size > BLOCK_BYTES and items:
+            close()
+            items, counts, held = [], {}, 0
+        held += size
+        items.append((row["item_id"], row["text"]))
+        counts.update(zip(row["hashes"] or (), row["counts"] or ()))
+    close()
     return blocks
 
 
@@ -223,11 +280,12 @@ def find_items(
         "items array<struct<item_id: bigint, similarity: double, start_word: bigint, end_word: bigint>>"
     )
 
-    def one_block(of: DataFrame, block: list[tuple[int, str]], kept: dict[str, Column]) -> DataFrame:
+    def one_block(of: DataFrame, block: Block, kept: dict[str, Column]) -> DataFrame:
         shared = of.sparkSession.sparkContext.broadcast(block)
 
         def factory() -> Callable[[list[str]], list[tuple]]:
-            index = Index(shared.value, threshold, radius)
+            items, counted = shared.value
+            index = Index(items, threshold, radius, counted)
 
             def of_text(one: str) -> tuple:
                 found = sorted(index.search(one).items())

@@ -21,3 +21,13 @@ def test_copies_in_the_benchmark_lose_no_passage():
     want = brute(list(enumerate(docs)), items)
     assert got == pytest.approx(want)
     assert sum(s < 0.9 for s in want.values()) > 150
+
+
+@pytest.mark.parametrize("block", [1 << 20, 300, 1])
+def test_similarities_do_not_depend_on_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    items, texts = planted()
+    items = [*items[:8], *items[-5:], (30, prose(5, 20) + " " + prose(40, 9))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = pairs(decontamination.contaminated_pairs(documents(spark, texts, True), benchmark).collect())
+    assert got == pytest.approx(brute(list(enumerate(texts)), items))
