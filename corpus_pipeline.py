@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import decontamination, near_copies, pieces, pii, rules
+from docweave.llm import decontamination, pieces, pii, rules, simhash
 from docweave.llm.common import WholeRow, read_table, stored
 
 #: Learned rules, near-duplicate classes and pieces have no SQL: tests hold the stages against brute force.
@@ -29,9 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8), linked directly or through others, the one
-    with the least id stays."""
-    return near_copies.one_of_each_class(docs)
+    """Of documents whose fingerprints are linked, directly or through others, the one with the least id
+    stays: the operator's shingle length and bit distance, without a further check of words."""
+    return simhash.one_of_each_class(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
