@@ -20,7 +20,9 @@ from . import (
     secrets,
     simhash,
     spelling,
+    warc,
 )
+from ..workspace import new_run_folder
 from .common import read_table, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +123,18 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(docs, typo_every=spelling.TYPO_EVERY)
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{new_run_folder(spark)[1]}/archive"
+    warc.write_warc(warc.page_records(read_table(spark, sf_dir, "pages")), folder)
+    return warc.pages_of(spark, folder).select(
+        F.col("key").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -133,6 +147,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_warc": op12_warc,
 }
 
 ORACLES: dict[str, str] = {
