@@ -126,7 +126,7 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{new_run_folder(spark)[1]}/archive"
-    warc.write_warc(warc.page_records(read_table(spark, sf_dir, "pages")), folder)
+    warc.write_warc(warc.page_records(read_table(spark, sf_dir, "pages")), folder, compression="gzip")
     return warc.pages_of(spark, folder).select(
         F.col("key").cast("bigint").alias("page_id"),
         "payload_bytes",

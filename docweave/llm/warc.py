@@ -460,7 +460,7 @@ class WarcWriter(ds.DataSourceArrowWriter):
                     name = f"part-{uuid.uuid4().hex}.warc{'.gz' if self.packed else ''}"
                     file, size = _create(f"{self.folder}/{name}"), 0
                 one = record_bytes({"date": now, **{k: v for k, v in row.items() if k != "date" or v}})
-                one = gzip.compress(one) if self.packed else one
+                one = gzip.compress(one, 6) if self.packed else one
                 file.write(one)
                 size += len(one)
                 if size >= self.file_bytes:
