@@ -15,6 +15,7 @@ from .functions.render import (  # noqa: E402
     NumpyStyle,
     PythonStyle,
 )
+from .operators.cache import compact_cache  # noqa: E402
 from .operators.extract import register_table_function  # noqa: E402
 from .operators.generate import TooManyTokens, chat_generator, offline_generator  # noqa: E402
 from .plans.document import Run, document_files, document_sources  # noqa: E402
@@ -38,6 +39,7 @@ __all__ = [
     "Run",
     "TooManyTokens",
     "chat_generator",
+    "compact_cache",
     "document_files",
     "document_sources",
     "offline_generator",

@@ -28,6 +28,8 @@ class DocumentationConfig:
     language: str = "python"
     recursive: bool = False  # let ** match any number of folders
     cache_path: str | None = None  # kept between runs when given
+    cache_buckets: int = 64  # of a new cache: a few hundred MB of answers for each
+    cache_segments: int = 8  # beyond this many, the smallest are merged
     calls_per_task: int = 10_000  # answers lost, at most, with one executor
     models: list[tuple[str, int]] | None = None  # names and token limits, to route requests by
     token_count: Any = token_count  # from a text column to its tokens, if there are models
@@ -50,5 +52,7 @@ class DocumentationConfig:
             raise TypeError("generate_docstring_func must be callable")
         if self.max_workers < 1 or self.calls_per_task < 1:
             raise ValueError("max_workers and calls_per_task must be positive")
+        if self.cache_buckets < 1 or self.cache_segments < 1:
+            raise ValueError("cache_buckets and cache_segments must be positive")
         if self.language not in {name for name, _, _ in LANGUAGES}:
             raise ValueError(f"unknown language {self.language!r}")

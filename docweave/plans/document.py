@@ -10,7 +10,7 @@ only files that still have work, and writes only small rows (docstrings), never
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ from ..functions.text import (
     postprocess,
     strip_blank_lines,
 )
+from ..operators.cache import AnswerCache, Segment
 from ..operators.extract import definition_id, parse_modules
 from ..operators.generate import generate
 from ..operators.requests import (
@@ -42,10 +43,7 @@ from ..sources.code_files import decode_sources, read_sources, write_sources
 from ..sources.globs import require_paths, source_paths
 from ..workspace import drop_folder, new_run_folder
 
-CACHE_DDL = (
-    f"cache_key STRING, data {DOC_DATA}, error STRING, run_id STRING, level INT, status STRING"
-)
-CACHE_LAYOUT = "layout-2"
+MADE_DDL = f"cache_key STRING, data {DOC_DATA}, status STRING, error STRING"
 KEY_SPACE = 16**8
 
 
@@ -59,6 +57,9 @@ class Run:
     folder: str
     levels: int
     published: bool = False
+    cache: AnswerCache | None = None
+    #: The cache's segments when the job began; what it makes itself is read from its own tables.
+    segments: list[Segment] = field(default_factory=list)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
@@ -206,15 +207,20 @@ def _new_run(spark: SparkSession, config: DocumentationConfig) -> Run:
 
 
 def _document(run: Run, files: DataFrame) -> None:
-    _open_cache(run)
+    config = run.config
+    if config.cache_path is not None:
+        run.cache = AnswerCache(run.spark, config.cache_path, config.cache_buckets, config.cache_segments)
+        run.segments = run.cache.segments()
     try:
         _write_parsed(run, files)
         run.levels = max(_bucketed(run).agg(F.max("rounds")).first()[0] or 0, 0)
         for level in range(run.levels):
             _document_level(run, level)
         run.save("outputs", _outputs(run))
-    finally:  # the name only; the table's files stay
+    finally:  # the names only; the tables' files stay
         run.spark.sql(f"DROP TABLE IF EXISTS {_bucketed_name(run)}")
+        if run.cache is not None:
+            run.cache.close()
 
 
 def _bucketed_name(run: Run) -> str:
@@ -325,50 +331,31 @@ def _edits(run: Run, level: int | None = None) -> DataFrame:
     )
 
 
-def _cache_folder(run: Run) -> str:
-    return f"{run.config.cache_path or run.folder + '/cache'}/{CACHE_LAYOUT}"
-
-
-def _own_cache(run: Run) -> str:
-    """This run's part of the cache: runs that share a cache never write to the same folder."""
-    return f"{_cache_folder(run)}/run_id={run.run_id}"
-
-
-def _open_cache(run: Run) -> None:
-    nothing = run.spark.createDataFrame([], CACHE_DDL).drop("run_id", "level")
-    nothing.write.partitionBy("status").parquet(_own_cache(run))
-
-
 def _answers(run: Run, requests: DataFrame, count: int, level: int) -> DataFrame:
     """``(cache_key, data, status, error)``: one answer per requested key.
 
-    What the cache lacks is found once, and dealt to waves in folders of their own; each wave
-    reads its folder, calls the generator and commits. So neither the cache nor the requests
-    are listed or read again from wave to wave.
+    What neither an earlier level nor the cache has answered is found once, and dealt to waves in
+    folders of their own; each wave reads its folder, calls the generator and commits. So neither
+    the cache nor the requests are listed or read again from wave to wave. The cache stays in
+    its buckets: only keys are brought to it.
     """
-    config = run.config
-    columns = ["cache_key", "data", "status", "error"]
-    valid = run.spark.read.schema(CACHE_DDL).parquet(_cache_folder(run)).where(F.col("status") == OK)
-    own = f"{_own_cache(run)}/level={level}"
-    made_ddl = f"cache_key STRING, data {DOC_DATA}, error STRING, status STRING"
-    made = run.spark.read.schema(made_ddl)
-    if config.cache_path is None and level == 0:
+    answers = f"{run.folder}/answers"
+    made = run.spark.read.schema(MADE_DDL).parquet
+    known = []
+    if level:
+        earlier = run.spark.read.schema(f"{MADE_DDL}, level INT").parquet(answers)
+        earlier = earlier.where((F.col("level") < level) & (F.col("status") == OK))
+        known.append(earlier.join(requests.select("cache_key"), "cache_key", "left_semi").select("cache_key", "data"))
+    if run.cache is not None and run.segments:
+        known.append(run.cache.lookup(requests, run.segments))
+    own = f"{answers}/level={level}"
+    if not known:
         _call(run, requests, count, level, own)
-        return made.parquet(own).select(*columns)
-    # A key may be in the cache of several runs; only names are aggregated, not answers.
-    where_kept = F.min(F.struct("run_id", "level")).alias("kept")
-    hits = run.save(
-        f"hits/level={level}",
-        valid.select("cache_key", "run_id", "level")
-        .join(requests.select("cache_key"), "cache_key", "left_semi")
-        .groupBy("cache_key")
-        .agg(where_kept)
-        .select("cache_key", F.col("kept.run_id").alias("in_run"), F.col("kept.level").alias("in_level")),
-    )
+        return made(f"{own}/*")
+    hits = run.save(f"hits/level={level}", functools.reduce(DataFrame.unionByName, known))
     _call(run, cache_misses(requests, hits), count, level, own)
-    there = (F.col("run_id") == F.col("in_run")) & (F.col("level") == F.col("in_level"))
-    kept = valid.join(hits, "cache_key").where(there).select(*columns)
-    return made.parquet(own).select(*columns).unionByName(kept)
+    kept = hits.select("cache_key", "data", F.lit(OK).alias("status"), F.lit(None).cast("string").alias("error"))
+    return made(f"{own}/*").unionByName(kept)
 
 
 def _call(run: Run, misses: DataFrame, count: int, level: int, own: str) -> None:
@@ -376,12 +363,15 @@ def _call(run: Run, misses: DataFrame, count: int, level: int, own: str) -> None
     config = run.config
     waves = max(1, -(-count // (config.max_workers * config.calls_per_task)))
 
-    def answer(part: DataFrame) -> None:
+    def answer(part: DataFrame, wave: int) -> None:
         answers = generate(part, config.generate_docstring_func, config.max_workers)
-        answers.write.mode("append").partitionBy("status").parquet(own)
+        folder = f"{own}/wave={wave}"
+        answers.select("cache_key", "data", "status", "error").write.parquet(folder)
+        if run.cache is not None:
+            run.cache.commit(run.spark.read.schema(MADE_DDL).parquet(folder).where(F.col("status") == OK))
 
     if waves == 1:
-        answer(misses)
+        answer(misses, 0)
         return
     start = F.conv(F.substring("cache_key", 1, 8), 16, 10).cast("bigint")
     dealt = misses.withColumn("wave", F.floor(start * F.lit(waves) / F.lit(KEY_SPACE)).cast("int"))
@@ -389,9 +379,9 @@ def _call(run: Run, misses: DataFrame, count: int, level: int, own: str) -> None
     dealt.repartition(_slices(run.spark), "wave").write.partitionBy("wave").parquet(folder)
     present = run.spark.read.schema(dealt.schema).parquet(folder).select("wave").distinct().collect()
     for number in sorted(row["wave"] for row in present):
-        answer(run.spark.read.schema(misses.schema).parquet(f"{folder}/wave={number}"))
+        answer(run.spark.read.schema(misses.schema).parquet(f"{folder}/wave={number}"), number)
     if not present:  # leaves the folder that is read next
-        answer(misses)
+        answer(misses, 0)
 
 
 @functools.cache

@@ -325,6 +325,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'error', file, 'write', 1 FROM named WHERE has_50
         UNION ALL SELECT 'summary', '', CASE WHEN has_50 THEN 'failed' ELSE 'ok' END, count(*) FROM named GROUP BY has_50""",
     "cached_rerun": f"{ORIGINAL} SELECT path, true AS same, CAST(0 AS BIGINT) AS calls FROM modules",
+    "compacted_cache": f"{ORIGINAL} SELECT path, true AS same, CAST(0 AS BIGINT) AS calls, true AS merged FROM modules",
     "function_declarations": f"""
         SELECT doc_id, CASE WHEN lang = 'en' THEN 'respond_with_structured_docstring_data_for_function'
                             ELSE 'respond_with_structured_docstring_data_for_class' END AS name,

@@ -30,6 +30,7 @@ from ..functions.text import (
     tidy_description,
     token_count,
 )
+from ..operators.cache import AnswerCache, compact_cache
 from ..operators.checks import failed_outputs
 from ..operators.extract import (
     explode_definitions,
@@ -599,6 +600,31 @@ def cached_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.join(F.broadcast(calls))
 
 
+def compacted_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two jobs fill a cache, each for a half of the corpus; the whole corpus is documented from it before
+    and after its segments are merged: the same code, and no calls."""
+    _, cache = new_run_folder(spark)
+    config = _config(cache_path=cache, cache_segments=100, cache_buckets=_slices(spark))
+    for half in range(2):
+        document_files(corpus(spark, sf_dir).where(F.pmod(F.xxhash64("path"), F.lit(2)) == half), config)
+    before = document_files(corpus(spark, sf_dir), config)
+    kept = AnswerCache(spark, cache)
+    several = len(kept.segments()) > 1
+    compact_cache(spark, cache)
+    merged = several and len(kept.segments()) == 1
+    after = document_files(corpus(spark, sf_dir), config)
+
+    def calls(run: Run) -> Column:
+        asked = run.table("requests").join(run.table("hits"), ["cache_key", "level"], "left_anti")
+        return F.lit(asked.count()).alias("calls")
+
+    old = before.outputs().select("path", F.col("code").alias("old"))
+    return after.outputs().join(old, "path").select(
+        "path", (F.col("code") == F.col("old")).alias("same"), (calls(before) + calls(after)).alias("calls"),
+        F.lit(merged).alias("merged"),
+    )
+
+
 def function_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a model is told to call for a document taken as a definition."""
     kind = F.when(F.col("lang") == "en", "function").otherwise("class")
@@ -661,6 +687,7 @@ QUERIES: dict[str, Query] = {
     "duplicate_paths": duplicate_paths,
     "write_failures": write_failures,
     "cached_rerun": cached_rerun,
+    "compacted_cache": compacted_cache,
     "function_declarations": function_declarations,
     "routed_requests": routed_requests,
     "extract_definitions_sql": extract_definitions_sql,

@@ -34,7 +34,41 @@ def new_run_folder(spark: SparkSession) -> tuple[str, str]:
     return run_id, f"{shared_folder(spark)}/docweave/run-{run_id}"
 
 
+def _opened(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of intermediate tables, wherever it is."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete a folder of intermediate tables (or a file), wherever it is."""
+    system, path = _opened(spark, folder)
+    system.delete(path, True)
+
+
+def list_folder(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads; none if it is missing."""
+    system, path = _opened(spark, folder)
+    return [found.getPath().getName() for found in system.listStatus(path)] if system.exists(path) else []
+
+
+def read_small_file(spark: SparkSession, name: str) -> str:
+    system, path = _opened(spark, name)
+    stream = system.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_small_file(spark: SparkSession, name: str, text: str) -> None:
+    """A new file, whole or not at all: written beside it and moved."""
+    system, path = _opened(spark, name)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{name}.{uuid.uuid4().hex}.part")
+    stream = system.create(draft)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not system.rename(draft, path):
+        system.delete(draft, False)
+        raise DocumentationError(f"{name} could not be written")
