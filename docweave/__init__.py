@@ -18,7 +18,13 @@ from .functions.render import (  # noqa: E402
 from .operators.cache import compact_cache  # noqa: E402
 from .operators.extract import register_table_function  # noqa: E402
 from .operators.generate import TooManyTokens, chat_generator, offline_generator  # noqa: E402
-from .plans.document import Run, document_files, document_sources  # noqa: E402
+from .plans.document import (  # noqa: E402
+    Run,
+    document_files,
+    document_sources,
+    resume_publish,
+    unpublished_runs,
+)
 from .schema import ClassDoc, ExceptionDoc, FunctionDoc, ParameterDoc, ReturnDoc  # noqa: E402
 from .sources.code_files import CodeFiles, register_source  # noqa: E402
 
@@ -45,4 +51,6 @@ __all__ = [
     "offline_generator",
     "register_source",
     "register_table_function",
+    "resume_publish",
+    "unpublished_runs",
 ]

@@ -10,6 +10,7 @@ only files that still have work, and writes only small rows (docstrings), never
 from __future__ import annotations
 
 import functools
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -41,10 +42,19 @@ from ..operators.splice import apply_edits, definition_text, edit_of, line_slots
 from ..schema import DOC_DATA
 from ..sources.code_files import decode_sources, read_sources, write_sources
 from ..sources.globs import require_paths, source_paths
-from ..workspace import drop_folder, new_run_folder
+from ..workspace import (
+    drop_folder,
+    list_folder,
+    new_run_folder,
+    read_small_file,
+    shared_folder,
+    write_small_file,
+)
 
 MADE_DDL = f"cache_key STRING, data {DOC_DATA}, status STRING, error STRING"
 KEY_SPACE = 16**8
+#: Files in a run's folder: its outputs are staged; they are all written.
+STAGED, PUBLISHED = "staged.json", "published.json"
 
 
 @dataclass
@@ -86,7 +96,7 @@ class Run:
 
     def outputs(self) -> DataFrame:
         """``(path, written_path, code)`` of every file that could be processed."""
-        return self.table("outputs")
+        return self.table("outputs").drop("digest")
 
     def errors(self) -> DataFrame:
         """``(path, def_id, stage, error)`` of files and definitions left out.
@@ -137,23 +147,62 @@ class Run:
             )
         return files.groupBy("stage", "status").agg(F.count("*").alias("n"))
 
-    def publish(self) -> DataFrame:
-        """Write the staged outputs to their paths: ``(path, written_path, error)``."""
-        write_sources(self.outputs()).write.mode("overwrite").parquet(f"{self.folder}/published")
+    def publish(self, parts_per_wave: int = 512) -> DataFrame:
+        """Write the staged outputs to their paths: ``(path, written_path, error)``.
+
+        A wave is some of the staged files; what it has done is committed before the next begins, and
+        is not done again when a lost job goes on. In place, a file that is not as it was read
+        is left alone and becomes an error, unless it has the new text already.
+        """
+        staged = f"{self.folder}/outputs"
+        parts = sorted(name for name in list_folder(self.spark, staged) if name.startswith("part-"))
+        kept = self.spark.read.schema(self.table("outputs").schema)
+        for wave, at in enumerate(range(0, len(parts), parts_per_wave)):
+            folder = f"{self.folder}/published/wave={wave}"
+            if "_SUCCESS" not in list_folder(self.spark, folder):
+                rows = kept.parquet(*[f"{staged}/{name}" for name in parts[at : at + parts_per_wave]])
+                write_sources(rows).write.mode("overwrite").parquet(folder)
         self.published = True
-        return self.table("published")
+        write_small_file(self.spark, f"{self.folder}/{PUBLISHED}", "{}", replace=True)
+        return self.table("published").drop("wave")
+
 
+def document_sources(spark: SparkSession, config: DocumentationConfig, publish: bool = True) -> Run:
+    """Document every file the rules select and write the results beside (or over) them.
 
-def document_sources(spark: SparkSession, config: DocumentationConfig) -> Run:
-    """Document every file the rules select and write the results beside (or over) them."""
+    Without ``publish`` they are only staged; ``Run.publish`` writes them."""
     run = _new_run(spark, config)
     found = source_paths(spark, config.include_rules, config.exclude_rules, config.recursive)
     paths = require_paths(run.save("paths", found))
     # Placed by path before the contents are read, so only the paths are shuffled.
     placed = paths.repartition(_slices(spark), "path")
-    files = decode_sources(read_sources(placed, placed=True))
+    files = decode_sources(read_sources(placed, placed=True), digest=config.inplace)
     _document(run, files.withColumnRenamed("error", "read_error"))
-    run.publish()
+    state = {"run_id": run.run_id, "levels": run.levels}
+    write_small_file(spark, f"{run.folder}/{STAGED}", json.dumps(state))
+    if publish:
+        run.publish()
+    return run
+
+
+def unpublished_runs(spark: SparkSession) -> list[str]:
+    """Folders of jobs that have staged their outputs, but not written them all."""
+    folder = f"{shared_folder(spark)}/docweave"
+    found = []
+    for name in sorted(list_folder(spark, folder)):
+        there = list_folder(spark, f"{folder}/{name}")
+        if STAGED in there and PUBLISHED not in there:
+            found.append(f"{folder}/{name}")
+    return found
+
+
+def resume_publish(spark: SparkSession, config: DocumentationConfig, folder: str, parts_per_wave: int = 512) -> Run:
+    """Go on with a job that was lost while it wrote its files (one of ``unpublished_runs``).
+
+    Nothing is generated or rendered again. Use the config, and ``parts_per_wave``, of the lost job."""
+    state = json.loads(read_small_file(spark, f"{folder}/{STAGED}"))
+    run = Run(spark, config, state["run_id"], folder, state["levels"])
+    run.publish(parts_per_wave)
     return run
 
 
@@ -426,18 +475,15 @@ def _new_code() -> Column:
 
 
 def _outputs(run: Run) -> DataFrame:
-    parsed = _bucketed(run).where("rounds >= 0").select("path", "code", "spans", "rounds")
+    kept = ["digest"] if "digest" in _bucketed(run).columns else []
+    parsed = _bucketed(run).where("rounds >= 0").select("path", "code", "spans", "rounds", *kept)
     written = output_path(F.col("path"), run.config.inplace).alias("written_path")
-    unchanged = parsed.where("rounds = 0").select("path", written, "code")
+    unchanged = parsed.where("rounds = 0").select("path", written, "code", *kept)
     if not run.levels:
         return unchanged
     changed = (
         parsed.where("rounds > 0")
         .join(_edits(run), "path", "left")
-        .select(
-            "path",
-            written,
-            _new_code().alias("code"),
-        )
+        .select("path", written, _new_code().alias("code"), *kept)
     )
     return changed.unionByName(unchanged)

@@ -324,6 +324,16 @@ ORACLES: dict[str, str] = {
         SELECT 'mapping' AS kind, file, 'ok' AS status, CAST(1 AS BIGINT) AS n FROM named WHERE NOT has_50
         UNION ALL SELECT 'error', file, 'write', 1 FROM named WHERE has_50
         UNION ALL SELECT 'summary', '', CASE WHEN has_50 THEN 'failed' ELSE 'ok' END, count(*) FROM named GROUP BY has_50""",
+    "inplace_conflicts": f"""
+        WITH pairs AS (
+          SELECT CASE WHEN o.has_50 THEN 'skip_' ELSE '__' END || substr(o.path, 5) AS file, o.has_50,
+                 CASE WHEN o.has_50 THEN o.code || '# changed' || chr(10) ELSE d.code END AS code
+          FROM ({ORIGINAL} SELECT path, has_50, code FROM modules) o
+          JOIN ({_modules(DOCUMENTED)} SELECT path, code FROM modules) d ON d.path = o.path)
+        SELECT 'mapping' AS kind, file, 'ok' AS status, CAST(1 AS BIGINT) AS n FROM pairs WHERE NOT has_50
+        UNION ALL SELECT 'error', file, 'write', 1 FROM pairs WHERE has_50
+        UNION ALL SELECT 'summary', '', CASE WHEN has_50 THEN 'failed' ELSE 'ok' END, count(*) FROM pairs GROUP BY has_50
+        UNION ALL SELECT 'code', file, md5(code), 1 FROM pairs""",
     "cached_rerun": f"{ORIGINAL} SELECT path, true AS same, CAST(0 AS BIGINT) AS calls FROM modules",
     "compacted_cache": f"{ORIGINAL} SELECT path, true AS same, CAST(0 AS BIGINT) AS calls, true AS merged FROM modules",
     "function_declarations": f"""

@@ -588,6 +588,28 @@ def write_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def inplace_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus documented in place. Before the results are written, somebody changes the size-50
+    modules: those stay as they are by then."""
+    folder = _publish_corpus(spark, sf_dir)
+    config = _config(include_rules=[f"{folder}/*.py"], inplace=True)
+    run = document_sources(spark, config, publish=False)
+    changed = read_sources(source_paths(spark, [f"{folder}/skip_*.py"], []))
+    edited = F.concat(F.col("content").cast("string"), F.lit("# changed\n")).alias("code")
+    edits = write_sources(changed.select("path", F.col("path").alias("written_path"), edited))
+    edits.write.format("noop").mode("overwrite").save()
+    run.publish()
+    file = F.regexp_extract("path", "([^/]+)$", 1).alias("file")
+    one = F.lit(1).cast("bigint").alias("n")
+    now = decode_sources(read_sources(run.table("paths")))
+    return (
+        run.mapping().select(F.lit("mapping").alias("kind"), file, F.lit("ok").alias("status"), one)
+        .unionByName(run.errors().select(F.lit("error").alias("kind"), file, F.col("stage").alias("status"), one))
+        .unionByName(run.summary().where("stage = 'file'").select(F.lit("summary").alias("kind"), F.lit("").alias("file"), "status", "n"))
+        .unionByName(now.select(F.lit("code").alias("kind"), file, F.md5("code").alias("status"), one))
+    )
+
+
 def cached_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over one cache: the same code, and no call in the second."""
     _, cache = new_run_folder(spark)
@@ -686,6 +708,7 @@ def rewrite_sources_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "duplicate_paths": duplicate_paths,
     "write_failures": write_failures,
+    "inplace_conflicts": inplace_conflicts,
     "cached_rerun": cached_rerun,
     "compacted_cache": compacted_cache,
     "function_declarations": function_declarations,

@@ -23,7 +23,7 @@ from pyspark.sql.datasource import (
 
 from ..config import DocumentationError
 from ..functions.text import normalise_code
-from .files import exists, read_bytes, write_text
+from .files import exists, read_bytes, replace_text, write_text
 from .globs import expand_component, split_rule, spread
 
 _FILE = pa.schema([("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
@@ -62,18 +62,24 @@ def read_sources(paths: DataFrame, placed: bool = False) -> DataFrame:
     return listed.mapInArrow(read, _FILE_DDL)
 
 
-def decode_sources(files: DataFrame) -> DataFrame:
-    """``content`` to ``code``, normalised; NULL where it is not UTF-8."""
+def decode_sources(files: DataFrame, digest: bool = False) -> DataFrame:
+    """``content`` to ``code``, normalised; NULL where it is not UTF-8. ``digest``: of the bytes as read."""
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.withColumn("code", normalise_code(text)).drop("content")
+    decoded = files.withColumn("code", normalise_code(text))
+    if digest:
+        decoded = decoded.withColumn("digest", F.sha2("content", 256))
+    return decoded.drop("content")
 
 
-def write_error(path: str | None, code: str | None) -> str | None:
+def write_error(path: str | None, code: str | None, expected: str | None = None) -> str | None:
     """Write one file; what went wrong, if anything."""
     try:
         if path is None or code is None:
             raise ValueError("a file needs a path and code")
-        write_text(path, code)
+        if expected is None:
+            write_text(path, code)
+        else:
+            replace_text(path, code, expected)
     except (OSError, ValueError) as exc:
         return f"{type(exc).__name__}: {exc}"
     return None
@@ -82,20 +88,22 @@ def write_error(path: str | None, code: str | None) -> str | None:
 def write_sources(outputs: DataFrame) -> DataFrame:
     """Write ``code`` to ``written_path``: ``(path, written_path, error)`` per row.
 
-    Each evaluation writes the files; a file that cannot be written gets an error.
+    Each evaluation writes the files; a file that cannot be written gets an error. Where a column
+    ``digest`` is not NULL, only a file that still has it is replaced.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = []
             for row in batch.to_pylist():
-                error = write_error(row["written_path"], row["code"])
+                error = write_error(row["written_path"], row["code"], row.get("digest"))
                 done.append(
                     {"path": row["path"], "written_path": row["written_path"], "error": error}
                 )
             yield pa.RecordBatch.from_pylist(done, schema=_DONE)
 
-    return outputs.select("path", "written_path", "code").mapInArrow(write, _DONE_DDL)
+    digest = ["digest"] if "digest" in outputs.columns else []
+    return outputs.select("path", "written_path", "code", *digest).mapInArrow(write, _DONE_DDL)
 
 
 class _Split(InputPartition):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
+from hashlib import sha256
 
 from pyarrow import fs
 
@@ -68,12 +70,46 @@ def read_bytes(path: str) -> bytes:
 OBJECT_STORES = ("s3", "gcs", "abfs")
 
 
-def write_text(path: str, text: str) -> None:
-    """Whole file or nothing: a repeated or lost task leaves no half-written file."""
+class ChangedFile(OSError):
+    """The file is not as it was when it was read."""
+
+
+def replace_text(path: str, text: str, expected: str) -> None:
+    """Replace a file that still has the digest (SHA-256) it was read with.
+
+    A file that has the new text already is left alone: a repeated task, or a job that goes on
+    where it was lost, does no harm. The digest is compared when all that is left to do is to move the
+    draft; a writer that changes the file within that move can still be lost.
+    """
+    data = text.encode()
+    wanted = sha256(data).hexdigest()
+
+    def now() -> str:
+        try:
+            return sha256(read_bytes(path)).hexdigest()
+        except FileNotFoundError:
+            raise ChangedFile(f"{path} has gone since it was read") from None
+
+    def check() -> None:
+        if now() != expected:
+            raise ChangedFile(f"{path} has changed since it was read")
+
+    if now() != wanted:
+        write_text(path, text, check)
+
+
+def _unchecked() -> None:
+    """Nothing to look at before a file is replaced."""
+
+
+def write_text(path: str, text: str, check: Callable[[], None] = _unchecked) -> None:
+    """Whole file or nothing: a repeated or lost task leaves no half-written file.
+
+    ``check`` runs last; if it raises, the file stays as it is."""
     data = text.encode()
     local = local_path(path)
     if local is None:
-        _write_remote(path, data)
+        _write_remote(path, data, check)
         return
     draft = f"{local}.{uuid.uuid4().hex}.part"
     try:
@@ -81,15 +117,17 @@ def write_text(path: str, text: str) -> None:
             file.write(data)
         if os.path.exists(local):
             os.chmod(draft, os.stat(local).st_mode & 0o7777)
+        check()
         os.replace(draft, local)
     finally:  # gone already unless something failed
         if os.path.lexists(draft):
             os.unlink(draft)
 
 
-def _write_remote(path: str, data: bytes) -> None:
+def _write_remote(path: str, data: bytes, check: Callable[[], None] = _unchecked) -> None:
     system, inner = _remote(path)
     if system.type_name in OBJECT_STORES:
+        check()
         with system.open_output_stream(inner) as stream:
             stream.write(data)
         return
@@ -97,6 +135,7 @@ def _write_remote(path: str, data: bytes) -> None:
     try:
         with system.open_output_stream(draft) as stream:
             stream.write(data)
+        check()
         system.move(draft, inner)
     except BaseException:
         if system.get_file_info(draft).type != fs.FileType.NotFound:

@@ -60,7 +60,7 @@ def read_small_file(spark: SparkSession, name: str) -> str:
         stream.close()
 
 
-def write_small_file(spark: SparkSession, name: str, text: str) -> None:
+def write_small_file(spark: SparkSession, name: str, text: str, replace: bool = False) -> None:
     """A new file, whole or not at all: written beside it and moved."""
     system, path = _opened(spark, name)
     draft = spark._jvm.org.apache.hadoop.fs.Path(f"{name}.{uuid.uuid4().hex}.part")
@@ -69,6 +69,8 @@ def write_small_file(spark: SparkSession, name: str, text: str) -> None:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
+    if replace and system.exists(path):
+        system.delete(path, False)
     if not system.rename(draft, path):
         system.delete(draft, False)
         raise DocumentationError(f"{name} could not be written")
