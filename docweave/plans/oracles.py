@@ -334,6 +334,17 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'error', file, 'write', 1 FROM pairs WHERE has_50
         UNION ALL SELECT 'summary', '', CASE WHEN has_50 THEN 'failed' ELSE 'ok' END, count(*) FROM pairs GROUP BY has_50
         UNION ALL SELECT 'code', file, md5(code), 1 FROM pairs""",
+    "newest_events": """
+        WITH versions AS (SELECT event_id, user_id, event_id % 3 AS batch, epoch_us(ts) * 1000 + event_id % 1000 AS version FROM events),
+        best AS (SELECT user_id, batch, max(version) AS best FROM versions GROUP BY ALL),
+        known AS (SELECT *, max(best) OVER (PARTITION BY user_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM best)
+        SELECT 'u' || CAST(user_id AS VARCHAR) AS path, version,
+               CASE WHEN version < known THEN 'late' WHEN version = best THEN 'newest' ELSE 'superseded' END AS status,
+               CASE WHEN version = best AND version > coalesce(known, -1) THEN CAST(event_id AS VARCHAR) END AS news
+        FROM versions JOIN known USING (user_id, batch)""",
+    "pruned_scan": f"""
+        {ORIGINAL} SELECT 'd3/' || CASE WHEN has_50 THEN 'skip_' ELSE '__' END || substr(path, 5) AS file, CAST(strlen(code) AS BIGINT) AS n_bytes
+        FROM modules WHERE path LIKE '%3.py'""",
     "cached_rerun": f"{ORIGINAL} SELECT path, true AS same, CAST(0 AS BIGINT) AS calls FROM modules",
     "compacted_cache": f"{ORIGINAL} SELECT path, true AS same, CAST(0 AS BIGINT) AS calls, true AS merged FROM modules",
     "function_declarations": f"""

@@ -49,9 +49,10 @@ from ..operators.requests import (
 )
 from ..operators.splice import edit_of, rewritten_code
 from ..schema import DOC_DATA, FUNCTION_CALL_NAMES, ClassDoc, function_declaration
-from ..sources.code_files import decode_sources, read_sources, write_sources
+from ..sources.code_files import decode_sources, read_sources, register_source, write_sources
 from ..sources.files import make_folder
 from ..sources.globs import require_paths, set_difference, source_paths
+from ..streaming.versions import newest_versions, use_rocksdb
 from ..workspace import new_run_folder
 from .corpus import corpus, text_corpus
 from .document import Run, document_files, document_sources
@@ -108,17 +109,21 @@ def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _publish_corpus(spark: SparkSession, sf_dir: str) -> str:
-    """Write the corpus as real files below a new folder, size-50 modules as ``skip_*.py``."""
+def _publish_corpus(spark: SparkSession, sf_dir: str, folders: bool = False) -> str:
+    """Write the corpus as real files below a new folder, size-50 modules as ``skip_*.py``; with
+    ``folders``, in ten folders by the last digit of their number."""
     _, folder = new_run_folder(spark)
     make_folder(folder)
+    for digit in range(10 if folders else 0):
+        make_folder(f"{folder}/d{digit}")
     skipped = _size_50_paths(spark, sf_dir).distinct().withColumn("skipped", F.lit(True))
     name = F.regexp_extract("path", "([^/]+)$", 1)
     shown = F.when(F.col("skipped"), F.concat(F.lit("skip_"), name)).otherwise(
         F.concat(F.lit("__"), name)
     )
     files = corpus(spark, sf_dir).join(skipped, "path", "left")
-    target = F.concat(F.lit(f"{folder}/"), shown)
+    below = F.concat(F.lit("d"), F.substring("path", -4, 1), F.lit("/")) if folders else F.lit("")
+    target = F.concat(F.lit(f"{folder}/"), below, shown)
     done = write_sources(files.withColumn("written_path", target))
     failed = done.where("error IS NOT NULL").count()
     if failed:
@@ -610,6 +615,49 @@ def inplace_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as versions of their user's file, arriving out of order in three batches of a stream that is
+    started anew for each: which were news, which came too late?"""
+    _, folder = new_run_folder(spark)
+    # Microseconds since 1970 by the interval, which no time zone changes.
+    since = F.expr("cast(ts AS timestamp_ntz) - TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    minutes = (F.extract(F.lit("DAY"), since) * 24 + F.extract(F.lit("HOUR"), since)) * 60 + F.extract(F.lit("MINUTE"), since)
+    seconds = (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("bigint")
+    version = (minutes.cast("bigint") * 60_000_000 + seconds) * 1000 + F.col("event_id") % 1000
+    rows = _read(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.col("user_id")).alias("path"),
+        F.col("event_id").cast("string").alias("code"),
+        version.alias("written"),
+        F.col("event_id"),
+    )
+    schema = rows.drop("event_id").schema
+    use_rocksdb(spark)
+    for batch in range(3):
+        arrived = rows.where(F.col("event_id") % 3 == batch).drop("event_id")
+        arrived.write.mode("append").parquet(f"{folder}/arrived")
+        news = newest_versions(spark.readStream.schema(schema).parquet(f"{folder}/arrived"), "written")
+        query = (
+            news.writeStream.format("parquet")
+            .option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True)
+            .start(f"{folder}/judged")
+        )
+        query.awaitTermination()
+    judged = spark.read.schema(news.schema).parquet(f"{folder}/judged")
+    return judged.select("path", "version", "status", F.col("code").alias("news"))
+
+
+def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules of one folder of many, by a filter on the path: the other folders are not listed."""
+    folder = _publish_corpus(spark, sf_dir, folders=True)
+    register_source(spark)
+    files = spark.read.format("code_files").load(f"{folder}/*/*.py")
+    name = F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file")
+    return files.where(F.col("path").startswith(f"{folder}/d3/")).select(
+        name, F.octet_length("content").cast("bigint").alias("n_bytes")
+    )
+
+
 def cached_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over one cache: the same code, and no call in the second."""
     _, cache = new_run_folder(spark)
@@ -709,6 +757,8 @@ QUERIES: dict[str, Query] = {
     "duplicate_paths": duplicate_paths,
     "write_failures": write_failures,
     "inplace_conflicts": inplace_conflicts,
+    "newest_events": newest_events,
+    "pruned_scan": pruned_scan,
     "cached_rerun": cached_rerun,
     "compacted_cache": compacted_cache,
     "function_declarations": function_declarations,

@@ -5,8 +5,11 @@ Spark's own file readers hide names that start with ``_``, hence ``__init__.py``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import time
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from heapq import nsmallest
 from itertools import islice
 from zlib import crc32
 
@@ -16,18 +19,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
+    DataSourceStreamReader,
     DataSourceWriter,
+    EqualTo,
+    Filter,
+    In,
     InputPartition,
+    IsNotNull,
+    StringStartsWith,
     WriterCommitMessage,
 )
 
 from ..config import DocumentationError
 from ..functions.text import normalise_code
-from .files import exists, read_bytes, replace_text, write_text
+from .files import change_time, exists, make_folder, read_bytes, replace_text, write_text
 from .globs import expand_component, split_rule, spread
 
 _FILE = pa.schema([("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 _FILE_DDL = "path STRING, content BINARY, error STRING"
+_COLUMNS = ("path", "content", "error", "changed")
 _DONE = pa.schema([("path", pa.string()), ("written_path", pa.string()), ("error", pa.string())])
 _DONE_DDL = "path STRING, written_path STRING, error STRING"
 BATCH_BYTES = 32 << 20
@@ -114,11 +124,53 @@ class _Split(InputPartition):
 
 
 class CodeFilesReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.rule = options["path"]
+    """Comparisons of ``path`` are decided here: folders that cannot hold a wanted path are not listed, and
+    files that are not wanted are not opened. Contents are read only if the schema has ``content``."""
+
+    def __init__(self, options: dict, names: Sequence[str] = ("path", "content", "error")) -> None:
+        if set(names) - set(_COLUMNS):
+            raise DocumentationError(f"code files have the columns {', '.join(_COLUMNS)}")
+        self.rule, self.names = options["path"], list(names)
         self.recursive = options.get("recursive", "false").lower() == "true"
-        self.content = options.get("content", "true").lower() == "true"
+        self.content = options.get("content", "true").lower() == "true" and "content" in names
         self.splits = int(options.get("splits", "256"))
+        #: Paths wanted by equality (None: any), and beginnings that a path must have.
+        self.wanted: set[str] | None = None
+        self.beginnings: list[str] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for one in filters:
+            if isinstance(one, (EqualTo, In)) and one.attribute == ("path",):
+                values = {one.value} if isinstance(one, EqualTo) else set(one.value)
+                values.discard(None)
+                self.wanted = values if self.wanted is None else self.wanted & values
+            elif isinstance(one, StringStartsWith) and one.attribute == ("path",):
+                self.beginnings.append(one.value)
+            elif not (isinstance(one, IsNotNull) and one.attribute == ("path",)):
+                yield one
+
+    def _holds(self, path: str) -> bool:
+        """Whether a file is wanted."""
+        return (self.wanted is None or path in self.wanted) and all(map(path.startswith, self.beginnings))
+
+    def _may_hold(self, folder: str) -> bool:
+        """Whether a wanted path can begin with this."""
+        near = all(folder.startswith(b) or b.startswith(folder) for b in self.beginnings)
+        return near and (self.wanted is None or any(path.startswith(folder) for path in self.wanted))
+
+    def _expanded(self, prefix: str, rest: list[str]) -> Iterator[tuple[str, list[str]]]:
+        """One step of the rule, without what no wanted path can come from."""
+        if not self._may_hold(prefix):
+            return
+        for path, left in expand_component(prefix, rest, self.recursive):
+            if self._may_hold(path) if left else self._holds(path):
+                yield path, left
+
+    def row(self, path: str) -> tuple:
+        found: dict = read_file(path) if self.content else {"path": path}
+        if "changed" in self.names:
+            found["changed"] = change_time(path)
+        return tuple(found.get(name) for name in self.names)
 
     def partitions(self) -> list[_Split]:
         """Expand folders only until there are enough splits; executors do the rest.
@@ -135,7 +187,7 @@ class CodeFilesReader(DataSourceReader):
         while 0 < len(level) < self.splits and len(level[0][1]) > 1 and level[0][1][0] != "**":
             further: list[tuple[str, list[str]]] = []
             for p, r in level:
-                found = list(islice(expand_component(p, r, self.recursive), self.splits + 1))
+                found = list(islice(self._expanded(p, r), self.splits + 1))
                 if len(further) + len(found) > self.splits:
                     return self._shared(level)
                 further += found
@@ -147,18 +199,90 @@ class CodeFilesReader(DataSourceReader):
         return [_Split(p, r, share, shares) for p, r in level for share in range(shares)]
 
     def read(self, partition: _Split) -> Iterator[tuple]:
+        return map(self.row, self.paths(partition))
+
+    def paths(self, partition: _Split) -> Iterator[str]:
         first = (partition.prefix, partition.rest)
         pending = [first] if partition.rest else []
         while pending:
             step = pending.pop()
-            for prefix, rest in expand_component(*step, self.recursive):
+            for prefix, rest in self._expanded(*step):
                 if step is first and crc32(prefix.encode("utf-8", "surrogateescape")) % partition.shares != partition.share:
                     continue
                 if rest:
                     pending.append((prefix, rest))
-                    continue
-                row = read_file(prefix) if self.content else {"content": None, "error": None}
-                yield prefix, row["content"], row["error"]
+                else:
+                    yield prefix
+
+
+@dataclass
+class _Listed(InputPartition):
+    paths: list[str]
+
+
+class CodeFilesStreamReader(DataSourceStreamReader):
+    """New and changed files of a rule, in the order of their change times.
+
+    A mark is the change time and path of the last file admitted; a batch is what lies between two
+    marks, so it can be read again, and nothing is remembered but the mark. It is kept in the folder
+    ``log``, since a reader is not told where its query goes on. Files are admitted ``settle`` seconds after
+    their change, when no other with that time can appear; at most ``max_files`` in a batch. A file
+    that changes before its batch is read comes in a later one.
+    """
+
+    def __init__(self, options: dict, names: Sequence[str]) -> None:
+        if "log" not in options:
+            raise DocumentationError("a stream of code files needs a folder for its mark: option log")
+        self.files = CodeFilesReader(options, names)
+        self.log = options["log"].rstrip("/")
+        self.max_files = int(options.get("max_files", "10000"))
+        self.settle = float(options.get("settle", "1"))
+        self.listed: tuple[dict, dict, list[str]] | None = None
+
+    def initialOffset(self) -> dict:
+        return {"changed": 0, "path": ""}
+
+    def _between(self, start: dict, end: tuple[int, str]) -> Iterator[tuple[int, str]]:
+        after = (start["changed"], start["path"])
+        for path in self.files.paths(_Split(*self._rule())):
+            changed = change_time(path)
+            if changed is not None and after < (changed, path) <= end:
+                yield changed, path
+
+    def _rule(self) -> tuple[str, list[str]]:
+        prefix, rest = split_rule(self.files.rule)
+        if not rest:
+            folder, _, name = prefix.rpartition("/")
+            prefix, rest = (folder + "/" if "/" in prefix else ""), [name]
+        return prefix, rest
+
+    def latestOffset(self) -> dict:
+        name = f"{self.log}/mark.json"
+        mark = json.loads(read_bytes(name)) if exists(name) else self.initialOffset()
+        settled = time.time_ns() - int(self.settle * 1e9)
+        found = nsmallest(self.max_files, self._between(mark, (settled, "")))
+        if not found:
+            return mark
+        last = {"changed": found[-1][0], "path": found[-1][1]}
+        # Written first: if the query is lost before it has noted this mark, its next batch goes further.
+        make_folder(self.log)
+        write_text(name, json.dumps(last))
+        self.listed = (mark, last, [path for _, path in found])
+        return last
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if self.listed is not None and self.listed[:2] == (start, end):
+            paths = self.listed[2]
+        else:
+            paths = [path for _, path in sorted(self._between(start, (end["changed"], end["path"])))]
+        step = max(1, -(-len(paths) // self.files.splits))
+        return [_Listed(paths[at : at + step]) for at in range(0, len(paths), step)] or [_Listed([])]
+
+    def read(self, partition: _Listed) -> Iterator[tuple]:
+        return map(self.files.row, partition.paths)
+
+    def commit(self, end: dict) -> None:
+        """Nothing to forget: the mark is all there is."""
 
 
 @dataclass
@@ -190,7 +314,9 @@ class CodeFilesWriter(DataSourceWriter):
 class CodeFiles(DataSource):
     """``spark.read.format("code_files").load("src/*.py")``, and the matching writer.
 
-    Read options: ``recursive``, ``content`` (false lists paths only), ``splits``.
+    Read options: ``recursive``, ``content`` (false lists paths only), ``splits``; as a stream also
+    ``log``, ``max_files`` and ``settle``. A schema without ``content`` lists paths only too; one with ``changed
+    BIGINT`` has the time of a file's last change. ``path`` comparisons are pushed down.
     Written rows need ``written_path`` and ``code``; mode ``overwrite`` replaces files, ``append``
     leaves a file that is there alone and reports it.
     """
@@ -203,7 +329,10 @@ class CodeFiles(DataSource):
         return _FILE_DDL
 
     def reader(self, schema) -> DataSourceReader:
-        return CodeFilesReader(dict(self.options))
+        return CodeFilesReader(dict(self.options), schema.names)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return CodeFilesStreamReader(dict(self.options), schema.names)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return CodeFilesWriter(overwrite)
@@ -211,3 +340,4 @@ class CodeFiles(DataSource):
 
 def register_source(spark: SparkSession) -> None:
     spark.dataSource.register(CodeFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -47,6 +47,18 @@ def exists(path: str) -> bool:
     return system.get_file_info(inner).type != fs.FileType.NotFound
 
 
+def change_time(path: str) -> int | None:
+    """When a file was last changed, made or moved here, in nanoseconds; None if it has gone."""
+    local = local_path(path)
+    if local is not None:
+        try:
+            return os.stat(local).st_ctime_ns
+        except FileNotFoundError:
+            return None
+    system, inner = _remote(path)
+    return system.get_file_info(inner).mtime_ns
+
+
 def make_folder(path: str) -> None:
     local = local_path(path)
     if local is not None:
