@@ -18,6 +18,7 @@ from .functions.render import (  # noqa: E402
 from .operators.cache import compact_cache  # noqa: E402
 from .operators.extract import register_table_function  # noqa: E402
 from .operators.generate import TooManyTokens, chat_generator, offline_generator  # noqa: E402
+from .operators.throttle import RateLimit, RateLimited  # noqa: E402
 from .plans.document import (  # noqa: E402
     Run,
     document_files,
@@ -42,6 +43,8 @@ __all__ = [
     "ParameterDoc",
     "PythonStyle",
     "ReturnDoc",
+    "RateLimit",
+    "RateLimited",
     "Run",
     "TooManyTokens",
     "chat_generator",

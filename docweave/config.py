@@ -7,6 +7,7 @@ from typing import Any
 
 from .functions.render import DocstringStyle, GoogleStyle
 from .functions.text import token_count
+from .operators.throttle import RateLimit
 from .schema import LANGUAGES, QUOTE_STYLES
 
 
@@ -32,7 +33,8 @@ class DocumentationConfig:
     cache_segments: int = 8  # beyond this many, the smallest are merged
     calls_per_task: int = 10_000  # answers lost, at most, with one executor
     models: list[tuple[str, int]] | None = None  # names and token limits, to route requests by
-    token_count: Any = token_count  # from a text column to its tokens, if there are models
+    token_count: Any = token_count  # from a text column to its tokens, for models and rate limits
+    rate_limit: RateLimit | None = None  # calls and tokens a minute of the whole job
 
     def __post_init__(self) -> None:
         for name in ("include_rules", "exclude_rules"):
@@ -50,6 +52,8 @@ class DocumentationConfig:
             raise ValueError(f"{self.docstring_builder!r} is not a DocstringStyle")
         if not callable(self.generate_docstring_func):
             raise TypeError("generate_docstring_func must be callable")
+        if self.rate_limit is not None and not isinstance(self.rate_limit, RateLimit):
+            raise TypeError("rate_limit must be a RateLimit")
         if self.max_workers < 1 or self.calls_per_task < 1:
             raise ValueError("max_workers and calls_per_task must be positive")
         if self.cache_buckets < 1 or self.cache_segments < 1:

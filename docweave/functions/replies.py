@@ -16,6 +16,7 @@ INVALID_ARGUMENTS = "invalid_arguments"
 EMPTY_DESCRIPTION = "empty_description"
 GENERATION_ERROR = "generation_error"
 TOO_MANY_TOKENS = "too_many_tokens"
+RATE_LIMITED = "rate_limited"
 
 _CALL = "$.choices[0].message.function_call"
 

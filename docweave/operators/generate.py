@@ -8,6 +8,7 @@ import inspect
 import json
 import re
 from collections.abc import Callable, Iterator, Mapping
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -15,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prompt import prompt_messages
+from ..functions.text import token_count as estimated_tokens
 from ..functions.replies import (
     GENERATION_ERROR,
     INVALID_ARGUMENTS,
     OK,
+    RATE_LIMITED,
     TOO_MANY_TOKENS,
     parse_arguments,
     read_reply,
@@ -38,6 +41,7 @@ from ..schema import (
     function_declaration,
 )
 from .lookups import validate_types
+from .throttle import RATE_LIMIT_CODE, Pace, RateLimit, paced
 
 Generator = Callable[..., Any]
 
@@ -107,25 +111,44 @@ def call_generator(func: Generator, request: dict) -> dict:
         if not isinstance(result, (str, Mapping)):  # a record's own type decides what it holds
             answer["definition_type"] = FUNCTION if hasattr(result, "parameters") else CLASS
     except Exception as exc:  # one failing definition must not fail the others
-        too_long = getattr(exc, "code", None) == TOO_MANY_TOKENS_CODE
-        answer["status"] = TOO_MANY_TOKENS if too_long else GENERATION_ERROR
+        known = {TOO_MANY_TOKENS_CODE: TOO_MANY_TOKENS, RATE_LIMIT_CODE: RATE_LIMITED}
+        answer["status"] = known.get(getattr(exc, "code", None), GENERATION_ERROR)
         answer["error"] = f"{type(exc).__name__}: {exc}"
+        answer["retry_after"] = float(getattr(exc, "retry_after", 0) or 0)
     return answer
 
 
-def generate(requests: DataFrame, func: Generator, max_workers: int) -> DataFrame:
+def _refused(answer: dict) -> float | None:
+    return answer["retry_after"] if answer["status"] == RATE_LIMITED else None
+
+
+def generate(
+    requests: DataFrame,
+    func: Generator,
+    max_workers: int,
+    limit: RateLimit | None = None,
+    token_count: Callable[[Column], Column] = estimated_tokens,
+) -> DataFrame:
     """``(cache_key, data, status, error)`` of every request.
 
-    ``max_workers`` partitions, so at most that many calls at the same time. They are dealt by
-    an expression that no other exchange has: by the key itself, Spark would keep only the
-    exchange of the step before and merge its small partitions. Write the result down before
-    using it twice: each evaluation calls the generator again.
+    ``max_workers`` partitions, so at most that many calls at the same time; fewer if ``limit`` allows
+    fewer calls in a minute. They are dealt by an expression that no other exchange has: by
+    the key itself, Spark would keep only the exchange of the step before and merge its small
+    partitions. Write the result down before using it twice: each evaluation calls the
+    generator again. With a limit, calls keep to it and refused ones are tried again.
     """
+    tasks = max_workers if limit is None else max(1, min(max_workers, int(limit.calls_per_minute)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            answers = [call_generator(func, request) for request in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(answers, schema=_ANSWER)
+        if limit is None:
+            for batch in batches:
+                answers = [call_generator(func, request) for request in batch.to_pylist()]
+                yield pa.RecordBatch.from_pylist(answers, schema=_ANSWER)
+            return
+        rows = (request for batch in batches for request in batch.to_pylist())
+        answered = paced(rows, lambda request: call_generator(func, request), _refused, limit, Pace(limit, tasks))
+        while chunk := list(islice(answered, 256)):
+            yield pa.RecordBatch.from_pylist(chunk, schema=_ANSWER)
 
     wanted = ["cache_key", "language", "definition", "definition_type", "temperature"]
     refused = None
@@ -139,7 +162,10 @@ def generate(requests: DataFrame, func: Generator, max_workers: int) -> DataFram
         )
         requests = requests.where("model IS NOT NULL")
         wanted.append("model")
-    dealt = requests.select(*wanted).repartition(max_workers, F.xxhash64("cache_key", F.lit("call")))
+    if limit is not None and limit.tokens_per_minute:
+        requests = requests.withColumn("tokens", token_count(F.col("definition")))
+        wanted.append("tokens")
+    dealt = requests.select(*wanted).repartition(tasks, F.xxhash64("cache_key", F.lit("call")))
     answers = check_answers(dealt.mapInArrow(run, _ANSWER_DDL))
     return answers if refused is None else answers.unionByName(refused)
 

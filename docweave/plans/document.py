@@ -413,7 +413,9 @@ def _call(run: Run, misses: DataFrame, count: int, level: int, own: str) -> None
     waves = max(1, -(-count // (config.max_workers * config.calls_per_task)))
 
     def answer(part: DataFrame, wave: int) -> None:
-        answers = generate(part, config.generate_docstring_func, config.max_workers)
+        answers = generate(
+            part, config.generate_docstring_func, config.max_workers, config.rate_limit, config.token_count
+        )
         folder = f"{own}/wave={wave}"
         answers.select("cache_key", "data", "status", "error").write.parquet(folder)
         if run.cache is not None:

@@ -345,6 +345,12 @@ ORACLES: dict[str, str] = {
     "pruned_scan": f"""
         {ORIGINAL} SELECT 'd3/' || CASE WHEN has_50 THEN 'skip_' ELSE '__' END || substr(path, 5) AS file, CAST(strlen(code) AS BIGINT) AS n_bytes
         FROM modules WHERE path LIKE '%3.py'""",
+    "throttled_requests": f"""
+        WITH {REQUESTS}, refused AS (SELECT *, {FIRST_WORD} AS word, left({FIRST_WORD}, 1) BETWEEN 'A' AND 'E' AS no FROM requests)
+        SELECT cache_key, CASE WHEN no THEN 'rate_limited' ELSE 'ok' END AS status,
+               CASE WHEN NOT no THEN 'was asked about ' || word || '.' END AS description,
+               CASE WHEN no THEN 'RateLimited: come back later (given up after 3 attempts)' END AS error
+        FROM refused""",
     "cached_rerun": f"{ORIGINAL} SELECT path, true AS same, CAST(0 AS BIGINT) AS calls FROM modules",
     "compacted_cache": f"{ORIGINAL} SELECT path, true AS same, CAST(0 AS BIGINT) AS calls, true AS merged FROM modules",
     "function_declarations": f"""

@@ -48,6 +48,7 @@ from ..operators.requests import (
     with_request,
 )
 from ..operators.splice import edit_of, rewritten_code
+from ..operators.throttle import RateLimit, RateLimited
 from ..schema import DOC_DATA, FUNCTION_CALL_NAMES, ClassDoc, function_declaration
 from ..sources.code_files import decode_sources, read_sources, register_source, write_sources
 from ..sources.files import make_folder
@@ -658,6 +659,31 @@ def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Texts that this worker was asked for before.
+_ASKED: set[str] = set()
+
+
+def refusing_generator(language: str, definition: str, definition_type: str, temperature: float):
+    """Refuses the first call for every third text by its length, and all calls for texts from A to E."""
+    word = first_word(definition)
+    if "A" <= word[:1] <= "E":
+        raise RateLimited("come back later")
+    if len(definition) % 3 == 0 and definition not in _ASKED:
+        _ASKED.add(definition)
+        raise RateLimited("slow down", retry_after=0.001)
+    return ClassDoc(f"was asked about {word}.")
+
+
+def throttled_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as definitions for a service that refuses calls: tried again within the rate, or given up."""
+    rows = _stored_requests(spark, sf_dir)
+    limit = RateLimit(
+        calls_per_minute=60_000_000, tokens_per_minute=60_000_000_000, attempts=3, first_delay=0.001, longest_delay=0.01
+    )
+    answers = generate(distinct_requests(rows, "doc_id"), refusing_generator, _slices(spark), limit)
+    return answers.select("cache_key", "status", F.col("data.description").alias("description"), "error")
+
+
 def cached_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over one cache: the same code, and no call in the second."""
     _, cache = new_run_folder(spark)
@@ -757,6 +783,7 @@ QUERIES: dict[str, Query] = {
     "duplicate_paths": duplicate_paths,
     "write_failures": write_failures,
     "inplace_conflicts": inplace_conflicts,
+    "throttled_requests": throttled_requests,
     "newest_events": newest_events,
     "pruned_scan": pruned_scan,
     "cached_rerun": cached_rerun,
