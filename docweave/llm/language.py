@@ -3,8 +3,9 @@
 Features are runs of one to three characters of the whole text, letters in lower case and everything
 else as one space, hashed to 2^15 buckets: (1 + ln count) times the inverse document frequency, scaled
 to length one. Frequencies are counted over all training documents. Weights are fitted by
-follow-the-regularised-leader with L1 and L2 penalties, on a bounded sample of training documents,
-and a temperature is then chosen on a part of the sample that the weights have not seen.
+follow-the-regularised-leader with L1 and L2 penalties, on a bounded sample of training documents with
+equal shares for all languages, and a temperature is then chosen on a part of it that the weights have
+not seen. Labelled rows that are repeated count once; their ids may be null or repeated.
 
 A text that is null or has no letter is `und` with score 0, and so is every text if there is
 nothing to learn from. Repeated rows are predicted each; an empty table gives an empty result.
@@ -18,13 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_text
+from .common import map_text
 
 BUCKET_BITS, ORDERS = 15, 3
-#: Documents that weights are fitted on, at most; one in eight of them for the temperature.
+#: Documents that weights are fitted on, at most, in equal shares for the labels; one in eight of them for
+#: the temperature.
 TRAIN_ROWS = 4000
 UNKNOWN = "und"
 #: Code points of a text that are handled at a time.
@@ -130,6 +132,32 @@ def _temperature(scores: np.ndarray, targets: np.ndarray) -> float:
     return grid[int(np.argmin(losses))]
 
 
+def label_sample(labelled: DataFrame, bound: int) -> DataFrame:
+    """At most `bound` different rows of (key, label, text), with a hash of each; by that hash, so the same
+    rows in each run. Every label has an equal share, and what small ones leave goes to the others: a
+    rare language is learned at any size. Repeated rows count once. With more labels than `bound`, the
+    most frequent are taken."""
+    hashed = labelled.withColumn("hash", F.xxhash64("label", "key", "text"))
+    narrow = hashed.select("label", "hash").distinct()
+    sizes = narrow.groupBy("label").count().orderBy(F.desc("count"), "label").limit(bound).collect()
+    # Labels with no more rows than an equal share of what is left are taken whole.
+    share, left = 0, bound
+    for taken, row in enumerate(reversed(sizes)):
+        share = left // (len(sizes) - taken)
+        if row["count"] > share:
+            break
+        share = row["count"]
+        left -= row["count"]
+    named = F.broadcast(labelled.sparkSession.createDataFrame([(r["label"],) for r in sizes], "label string"))
+    order = Window.partitionBy("label").orderBy("hash")
+    ranked = narrow.join(named, "label", "left_semi").withColumn("rank", F.row_number().over(order))
+    picked = ranked.where(F.col("rank") <= share).select("label", "hash")
+    rows = hashed.join(F.broadcast(picked), ["label", "hash"], "left_semi")
+    return rows.groupBy("label", "hash").agg(F.first(F.struct("key", "text")).alias("one")).select(
+        "one.key", "label", "one.text", "hash"
+    )
+
+
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id",
         train_rows: int = TRAIN_ROWS) -> Model:
     """A model of the labelled rows. Frequencies come from all of them, weights from a sample."""
@@ -174,10 +202,10 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
         return lambda texts: list(map(of_text, texts))
 
     sample = map_text(
-        bounded_sample(labelled, F.col("key"), train_rows), "text",
-        {"key": F.col("key"), "label": F.col("label")}, "at array<int>, counts array<int>", features,
+        label_sample(labelled, train_rows), "text",
+        {"key": F.col("key"), "label": F.col("label"), "hash": F.col("hash")}, "at array<int>, counts array<int>", features,
     ).where(F.size("at") > 0)
-    learned = sample.toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
+    learned = sample.toArrow().sort_by([("key", "ascending"), ("label", "ascending"), ("hash", "ascending")])
     languages = sorted(set(learned["label"].to_pylist()))
     targets = np.array([languages.index(name) for name in learned["label"].to_pylist()], np.int64)
     vectors = []

@@ -42,6 +42,35 @@ def test_predictions_do_not_see_labels(spark):
     assert sorted(language.predict(docs, first).collect()) == sorted(language.predict(wrong, first).collect())
 
 
+SAMPLED = "key bigint, label string, text string"
+
+
+@pytest.mark.parametrize("sizes,bound,wanted", [
+    ({"a": 500, "b": 300, "c": 7, "d": 1}, 100, {"a": 46, "b": 46, "c": 7, "d": 1}),
+    ({"a": 20, "b": 30}, 100, {"a": 20, "b": 30}),
+    ({f"l{i:02}": 20 - i for i in range(15)}, 10, {f"l{i:02}": 1 for i in range(10)}),
+])
+def test_samples_have_a_strict_bound_for_each_label(spark, sizes, bound, wanted):
+    rows = [(None if n % 5 == 0 else 7, label, f"text {n}") for label, count in sizes.items() for n in range(count)]
+    table = spark.createDataFrame(rows + rows[:50], SAMPLED).repartition(6)
+    picked = language.label_sample(table, bound).collect()
+    assert {label: sum(r["label"] == label for r in picked) for label in wanted} == wanted
+    assert len(picked) == len(set(picked)) == sum(wanted.values()) <= bound
+    assert set(picked) == set(language.label_sample(table.repartition(3), bound).collect())
+
+
+def test_a_rare_language_and_repeated_ids(spark):
+    common = [(1, "en", f"the house number {i} stands by the road and the trees") for i in range(4000)]
+    common += [(1, "en", "the same house by the road and the trees")] * 4000
+    rare = [(None, "xx", f"zqorv {i} zqimv zqulv wkzqo zqav") for i in range(4)]
+    table = spark.createDataFrame(common + rare, "doc_id bigint, lang string, text string")
+    model = language.fit(table, train_rows=200)
+    assert model.languages == ["en", "xx"]
+    texts = ["zqimv zqorv zqav", "the road and the house"]
+    got = language.predict(documents(spark, texts), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {0: "xx", 1: "en"}
+
+
 def test_odd_texts_and_nothing_to_learn(spark):
     docs = documents(spark, ODD_TEXTS, True).withColumn("lang", F.when(F.col("doc_id") > 3, F.lit("en")))
     model = language.fit(docs)
