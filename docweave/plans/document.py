@@ -411,11 +411,12 @@ def _call(run: Run, misses: DataFrame, count: int, level: int, own: str) -> None
     """Generate for ``misses`` (at most ``count``) and commit the answers, wave by wave."""
     config = run.config
     waves = max(1, -(-count // (config.max_workers * config.calls_per_task)))
+    limits = {}
+    if config.rate_limit is not None:
+        limits = {"limit": config.rate_limit, "token_count": config.token_count}
 
     def answer(part: DataFrame, wave: int) -> None:
-        answers = generate(
-            part, config.generate_docstring_func, config.max_workers, config.rate_limit, config.token_count
-        )
+        answers = generate(part, config.generate_docstring_func, config.max_workers, **limits)
         folder = f"{own}/wave={wave}"
         answers.select("cache_key", "data", "status", "error").write.parquet(folder)
         if run.cache is not None:
