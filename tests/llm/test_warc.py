@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import os
 
+import oracle
 import pytest
 from pyspark.sql import datasource as ds
 
@@ -34,6 +35,7 @@ def test_query_against_brute_force(spark):
     got = queries.QUERIES["op12_warc"](spark, SF_DIR)
     assert got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert sorted(map(tuple, got.collect()), key=repr) == brute(pages)
+    assert oracle.difference(oracle.connect(SF_DIR), got, queries.ORACLES["op12_warc"]) is None
 
 
 @pytest.mark.parametrize("packed", ["none", "gzip"])
