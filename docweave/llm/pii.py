@@ -7,8 +7,10 @@ base kinds, whose spans follow fixed rules), and url, account (IBAN by its check
 after an account word) and address (a number with a street word).
 
 Base spans are leftmost and non-overlapping for each kind; a candidate that fails its check is
-dropped and the search goes on after it. Spans count code points, end exclusive. Null and empty
-texts have none. Repeated rows are treated one by one; an empty table gives an empty result.
+dropped and the search goes on after it. Spans count code points, end exclusive. Cue words count in
+any case of A-Z. Up to three words may stand between a house number and a street word, however long
+they are. Null and empty texts have none. Repeated rows are treated one by one; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -49,8 +51,7 @@ def span_finder() -> Callable[[str], list[tuple[int, int, int]]]:
     anchors: dict[str, str] = {"@": "at", "+": "plus"}
     anchors |= {d: "digit" for d in "0123456789"}
     for words, what in ((SCHEMES, "scheme"), (ACCOUNT_WORDS, "account"), (STREET_WORDS, "street")):
-        for word in words:
-            anchors |= {form: what for form in (word, word.upper(), word.capitalize())}
+        anchors |= dict.fromkeys(words, what)
     for word, what in anchors.items():
         automaton.add_word(word, (what, len(word)))
     automaton.make_automaton()
@@ -64,15 +65,34 @@ def span_finder() -> Callable[[str], list[tuple[int, int, int]]]:
         r"([A-Za-z]{0,2}[0-9](?:[ -]?[0-9])*)(?![A-Za-z0-9])"
     ).match
     iban_at = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}").match
-    number_before = re.compile(r"(?<![0-9A-Za-z])([0-9]{1,5}[a-z]?,? (?:[^\W\d_][\w.'-]*[ -]){0,3})$").search
+    number_end = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[a-z]?,? $").search
+    word = re.compile(r"[^\W\d_][\w.'-]*").fullmatch
+    word_rest = re.compile(r"[\w.'-]*").fullmatch
     house_after = re.compile(r"[a-z]*\.? ([0-9]{1,5}[a-z]?)(?![\w])").match
     named_after = re.compile(r"(?: [^\W\d_][\w'-]*){1,4},? ([0-9]{1,5})(?!\w)").match
 
+    def house_before(text: str, floor: int, at: int, words: int) -> int:
+        """The first house number from `floor` with at most so many words between it and `at`, or -1."""
+        begin = -1
+        while at > floor and text[at - 1] == " ":
+            if match := number_end(text, max(floor, at - 8), at):
+                begin = match.start()
+            before = text.rfind(" ", floor, at - 1) + 1
+            if not words or not before or not word(text, before, at - 1):
+                break
+            at, words = before, words - 1
+        return begin
+
     def spans_of(text: str) -> list[tuple[int, int, int]]:
         found: list[tuple[int, int, int]] = []
+        # The cues are looked for in a copy in which A-Z alone are lower-cased; positions stay.
+        lowered = text.encode().lower().decode()
+        # The word that the last street word after a hyphen stands in: how far it is known to be one,
+        # and the house number before it. Each character is looked at once, however many such words.
+        hyphen_to, hyphen_house = 0, -1
         # Up to where each kind's last match reaches; ip_from: where a new attempt may begin.
         email_to = ip_to = card_to = phone_to = url_to = account_to = address_to = 0
-        for last, (what, size) in automaton.iter(text):
+        for last, (what, size) in automaton.iter(lowered):
             start = last - size + 1
             if what == "digit":
                 if start >= ip_to:
@@ -132,20 +152,30 @@ def span_finder() -> Callable[[str], list[tuple[int, int, int]]]:
                         account_to = match.end()
                         found.append((match.start(1), 5, account_to))
             elif start >= address_to:
-                word = text[start : last + 1].lower()
+                cue = lowered[start : last + 1]
                 begin, end = start, 0
-                if word in ("rue", "calle"):
+                if cue in ("rue", "calle"):
                     if not (start and text[start - 1].isalnum()) and (match := named_after(text, last + 1)):
                         end = match.end()
-                elif word in ("straße", "strasse", "platz"):
+                elif cue in ("straße", "strasse", "platz"):
                     if match := house_after(text, last + 1):
                         end = match.end()
                         while begin > address_to and (text[begin - 1].isalpha() or text[begin - 1] == "-"):
                             begin -= 1
-                elif not text[last + 1 : last + 2].isalnum() and (
-                    match := number_before(text, max(address_to, start - 80), start)
-                ):
-                    begin, end = match.start(1), last + 1
+                elif not text[last + 1 : last + 2].isalnum():
+                    house = -1
+                    if text[start - 1 : start] == " ":
+                        house = house_before(text, address_to, start, 3)
+                    elif text[start - 1 : start] == "-":
+                        space = text.rfind(" ", max(hyphen_to, address_to), start)
+                        if space >= 0:
+                            whole = word(text, space + 1, start - 1)
+                            hyphen_house = house_before(text, address_to, space + 1, 2) if whole else -1
+                        elif not word_rest(text, hyphen_to, start):
+                            hyphen_house = -1
+                        hyphen_to, house = start, hyphen_house
+                    if house >= address_to:
+                        begin, end = house, last + 1
                 if end:
                     address_to = end
                     found.append((begin, 6, end))

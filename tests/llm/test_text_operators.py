@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -82,6 +83,40 @@ def test_more_kinds_and_boundaries():
         assert find(clean) == []
 
 
+def test_cues_in_any_case_and_long_street_names():
+    find = pii.span_finder()
+    cases = {
+        "Customer ID: 12345678": [("account", "12345678")],
+        "aCCOUNT 12345678 hTTps://a.b/c": [("account", "12345678"), ("url", "https://a.b/c".replace("https", "hTTps"))],
+        "KONTO: 998877 in LANGE STRASSE 12, Große Straße 5": [
+            ("account", "998877"), ("address", "STRASSE 12"), ("address", "Straße 5"),
+        ],
+        f"at 7b, {'Saint-' * 40}Peter Hill rOAd now": [("address", f"7b, {'Saint-' * 40}Peter Hill rOAd")],
+        f"12 {'long' * 5000} Mill-street": [("address", f"12 {'long' * 5000} Mill-street")],
+        "12 one two three four street, x-12 Old Lane": [("address", "12 Old Lane")],
+    }
+    for text, wanted in cases.items():
+        assert [(pii.KINDS[k], text[a:b]) for a, k, b in find(text) if k > 3] == wanted, text[:60]
+
+
+def test_street_names_are_those_of_a_pattern():
+    pattern = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[a-z]?,? (?:[^\W\d_][\w.'-]*[ -]){0,3}?(?:street|lane)(?![^\W_])")
+    find, pick = pii.span_finder(), random.Random(4)
+    parts = ["12", "7a", "123456", ", ", " ", " ", " ", "-", "Old", "x.", "street", "street", "lane", "\n", "é"]
+    for _ in range(20_000):
+        text = "".join(pick.choices(parts, k=pick.randint(2, 16)))
+        wanted = [m.span() for m in pattern.finditer(text)]
+        assert [(a, b) for a, k, b in find(text) if pii.KINDS[k] == "address"] == wanted, repr(text)
+
+
+def test_long_chains_of_street_words_take_linear_time():
+    find = pii.span_finder()
+    for text in ("x-street-" * 60_000, "street " * 80_000, "12 " + "street-" * 80_000):
+        started = time.perf_counter()
+        find(text)
+        assert time.perf_counter() - started < 10
+
+
 def test_pii_query(spark, texts):
     got = {r["doc_id"]: r for r in queries.QUERIES["op3_pii"](spark, SF_DIR).collect()}
     assert set(got) == set(texts)
