@@ -12,6 +12,7 @@ Repeated rows are treated one by one; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import map_text
 from .labelled_pages import TRAIN_PAGES, labelled_pages
-from .pages import Block, block_features, leaf_blocks
+from .pages import Block, Context, block_features, leaf_blocks, text_features
 
 
 @dataclass
@@ -31,15 +32,34 @@ class Field:
     emission: np.ndarray  # feature by label
     transition: np.ndarray  # label by following label
 
-    def numbers(self, blocks: list[Block]) -> list[list[int]]:
+    def own_score(self, features: Iterable[str]) -> np.ndarray:
         known = self.names
-        return [[known[f] for f in block_features(blocks, i) if f in known] for i in range(len(blocks))]
+        return self.emission[[known[f] for f in features if f in known]].sum(axis=0)
+
+    def context_score(self, context: Context) -> tuple[float, float]:
+        """The sum over all open elements, each looked at once for all blocks inside it."""
+        waiting: list[Context] = []
+        at: Context | None = context
+        while at is not None and at.score is None:
+            waiting.append(at)
+            at = at.outer
+        total = at.score if at is not None else (0.0, 0.0)
+        for inside in reversed(waiting):
+            if inside.added:
+                zero, one = self.own_score(inside.added).tolist()
+                total = (total[0] + zero, total[1] + one)
+            inside.score = total
+        return total
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The most likely labels."""
         if not blocks:
             return []
-        scores = np.array([self.emission[own].sum(axis=0) for own in self.numbers(blocks)]).tolist()
+        scores = [
+            (own + self.context_score(block.context)).tolist()
+            for block in blocks
+            for own in (self.own_score(text_features(block)),)
+        ]
         (t00, t01), (t10, t11) = self.transition.tolist()
         zero, one = scores[0]
         came: list[tuple[bool, bool]] = []

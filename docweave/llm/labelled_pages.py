@@ -86,7 +86,9 @@ class _Writer:
 
     def side(self) -> str:
         kind = self.random.random()
-        if kind < 0.1:
+        if kind < 0.05:
+            return f"<noscript>{self.text_inside()}</noscript>"
+        if kind < 0.12:
             return f"<nav><ul>{self.links()}</ul></nav>"
         if kind < 0.3:
             return self.boxed(LIST_WORDS, ("div", "ul", "section", "nav", "aside"), self.links())
@@ -117,6 +119,8 @@ class _Writer:
             return f"<blockquote>{text}</blockquote>"
         if kind < 0.91:
             return f"<pre>{text}</pre>"
+        if kind < 0.92:
+            return f'<object data="/z"><p>{text}</p></object>'
         if kind < 0.94:
             return f"<table><tr><td>{self.words(1, 6)}<td>{self.words(1, 9)}</table>"
         if kind < 0.97:

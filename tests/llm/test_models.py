@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docweave.llm import extraction, language, queries, secrets
 from docweave.llm.common import read_table
 from docweave.llm.labelled_pages import labelled_pages
-from docweave.llm.pages import leaf_blocks
+from docweave.llm.pages import block_features, leaf_blocks
 
 # Language
 
@@ -127,7 +127,7 @@ def test_page_query_gives_the_articles(spark):
 def test_decoding_is_the_best_of_all_labellings(field):
     for page in labelled_pages(20, seed=5):
         blocks = leaf_blocks(page)[:9]
-        scores = [field.emission[own].sum(axis=0) for own in field.numbers(blocks)]
+        scores = [field.own_score(block_features(blocks, i)) for i in range(len(blocks))]
 
         def score(labels):
             steps = sum(field.transition[a, b] for a, b in zip(labels, labels[1:]))
@@ -168,6 +168,55 @@ def test_a_page_of_many_kinds(field):
     )
 
 
+def texts_of(page):
+    return [block.text for block in leaf_blocks(page)]
+
+
+def test_skipped_elements_close_nothing():
+    assert texts_of("<p>Next <svg><text>label</text><p>x</p></svg> end.</p><p>More") == ["Next end.", "More"]
+    assert texts_of("<svg><text>label</text></svg><div>a<template><div>b</div></template>c</div>") == ["ac"]
+    assert texts_of("wo<script>if (a<b) {}</script>rd <select><option>1<option>2</select>end") == ["word end"]
+    assert texts_of("<div>a <svg><g>lost</div><p>kept") == ["a", "kept"]
+    assert texts_of("<svg/>a<svg><svg>b</svg>c</svg>d") == ["ad"]
+    assert texts_of("<head><title>t</title><p>kept") == ["kept"]
+    assert texts_of("<head><title>t<body>kept") in ([], ["kept"])  # as the parser reads an open title
+
+
+def test_formulas_and_fallback_texts():
+    formula = "<math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></math>"
+    assert texts_of(f"<p>Let {formula} be.</p>") == ["Let x=2 be."]
+    assert texts_of(f"<div>{formula}</div>") == ["x=2"]
+    assert texts_of("<p>a <math><mi>b<p>c <math><mi>d</div>") == ["a b", "c d"]
+    assert texts_of("<p>a <noscript><div>hidden</div></noscript> b</p>") == ["a", "hidden", "b"]
+    assert texts_of("<object><p>one<p>two</object><p>c <object>d</object> e") == ["one", "two", "c", "d", "e"]
+    inside = leaf_blocks("<p>a <object><p>b</p></object> c</p>")
+    assert [block.context.parent for block in inside] == ["p", "p", "p"]
+
+
+def test_notices_for_readers_without_scripts_go_and_formulas_stay(field):
+    page = PAGE.replace("<nav>", "<noscript><p>Please turn on scripts.</p></noscript><nav>", 1)
+    page = page.replace("Third paragraph", "Where <math><mi>y</mi><mo>&lt;</mo><mn>3</mn></math> third paragraph")
+    text = extraction.main_text(page, field)
+    assert "scripts" not in text and text.endswith("Where y<3 third paragraph here.")
+
+
+def test_deep_nesting_takes_linear_time(field):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: "".join(letters[i // 26**k % 26] for k in range(4))
+    pages = {
+        "open": "<div>a " * 150_000,
+        "classes": "".join(f"<div class={name(i)}>a " for i in range(50_000)),
+        "unknown": "<b><div>" + "<x>a</b>" * 100_000,
+        "paragraphs": "<x><p>a " * 100_000,
+        "skipped": "<p>a <svg>" * 100_000,
+        "formula": "<math><mi>a " * 80_000,
+    }
+    for kind, page in pages.items():
+        started = time.perf_counter()
+        extraction.main_text(page, field)
+        assert time.perf_counter() - started < 30, kind
+
+
 def test_odd_pages(spark, field):
     odd = [None, "", "<", "</p></div>", "<script>x", "<p><p><p>", "<!-- x", "&#xD800; &#0; &nope;", "<a" * 3000, "<div>" * 3000, "\x00"]
     rows = spark.createDataFrame([(i, "u", h) for i, h in enumerate(odd)] + [(0, None, None)], "page_id bigint, url string, html string")
