@@ -18,6 +18,8 @@ from .functions.render import (  # noqa: E402
 from .operators.cache import compact_cache  # noqa: E402
 from .operators.extract import register_table_function  # noqa: E402
 from .operators.generate import TooManyTokens, chat_generator, offline_generator  # noqa: E402
+from .operators.references import reachable, reference_context, references  # noqa: E402
+from .operators.sql import register_definitions_table, register_generator  # noqa: E402
 from .operators.throttle import RateLimit, RateLimited  # noqa: E402
 from .plans.document import (  # noqa: E402
     Run,
@@ -52,6 +54,11 @@ __all__ = [
     "document_files",
     "document_sources",
     "offline_generator",
+    "reachable",
+    "reference_context",
+    "references",
+    "register_definitions_table",
+    "register_generator",
     "register_source",
     "register_table_function",
     "resume_publish",

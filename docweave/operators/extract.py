@@ -277,6 +277,11 @@ def undocumented(definitions: DataFrame, skip_init: bool = True) -> DataFrame:
     return definitions.where(wanted)
 
 
+def as_read(code: str | None) -> str | None:
+    """A source as a text-mode read gives it, like ``normalise_code``."""
+    return code and code.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+
+
 FOUND = T.StructType([*DEFINITION.fields, T.StructField("error", T.StringType())])
 
 
@@ -287,9 +292,7 @@ class ExtractDefinitions:
     """
 
     def eval(self, code: str) -> Iterator[tuple]:
-        if code is not None:  # as a text-mode read gives it, like ``normalise_code``
-            code = code.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
-        facts = safe_module_facts(code)
+        facts = safe_module_facts(as_read(code))
         if facts["error"] is not None:
             yield (*[None] * len(DEFINITION.fields), facts["error"])
         for item in facts["defs"] or []:

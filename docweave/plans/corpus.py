@@ -59,3 +59,41 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         code = F.replace(code, F.lit(mark), value)
     ended = F.when(F.col("doc_id") % 2 == 1, F.replace(code, F.lit("\n"), F.lit("\r\n"))).otherwise(code)
     return docs.select(F.concat(F.lit("src/d"), key, F.lit(".py")).alias("path"), ended.alias("code"))
+
+
+# Items that refer to each other by slot (key % 8). #k stands for the key, #{+n} for the key and n; e is
+# the first item of the next module, which every module imports.
+LINKED_ITEMS = [
+    "def f#k(a):\n  return f#{+1}(a) + e(a)",
+    "def f#k(a, f#{-1}):\n  return f#{-1}(a)",
+    "class C#k:\n  def run(self, x):\n    return self.stop(x)\n\n  def stop(self, x):\n    return f#{-1}(x)",
+    "def f#k(a):\n  return nxt.f#{+8}(a)",
+    "def f#k(a):\n  def f#{+1}(b):\n    return b\n  return f#{+1}(a)",
+    "def f#k(a):\n  return [f#{-2}(x) for x in a]",
+    "@f#{-6}\ndef f#k(a=C#{-4}.stop):\n  return a",
+    "def f#k(a):\n  return len(a)",
+]
+
+
+def linked_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, code)``: modules of eight items that use each other and the next module, by doc_id."""
+    k = F.col("doc_id")
+    text = F.element_at(F.array(*map(F.lit, LINKED_ITEMS)), (k % 8 + 1).cast("int"))
+    for step in (1, 8, -1, -2, -4, -6):
+        text = F.replace(text, F.lit(f"#{{{step:+d}}}"), (k + step).cast("string"))
+    number = F.floor(k / 8).cast("bigint")
+    items = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        number.alias("number"), F.struct("doc_id", F.replace(text, F.lit("#k"), k.cast("string")).alias("text")).alias("item")
+    )
+    following = F.concat(F.lit("m"), F.lpad((F.col("number") + 1).cast("string"), 12, "0"))
+    head = F.concat(
+        F.lit("import "), following, F.lit(" as nxt\nfrom "), following,
+        F.lit(" import f"), ((F.col("number") + 1) * 8).cast("string"), F.lit(" as e\n\n"),
+    )
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["text"]), "\n\n")
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    modules = items.repartition(slices, "number").groupBy("number").agg(body.alias("body"))
+    return modules.select(
+        F.concat(F.lit("src/m"), F.lpad(F.col("number").cast("string"), 12, "0"), F.lit(".py")).alias("path"),
+        F.concat(head, "body", F.lit("\n")).alias("code"),
+    )

@@ -314,6 +314,20 @@ def _documented_text() -> str:
     return f"replace(replace(replace({_text(code)}, '#k', CAST(doc_id AS VARCHAR)), '#c', {comment}), '#s', {inside})"
 
 
+# Who uses whom in the linked corpus: slot, own name, steps to the other's key (99: the next module), its name.
+# In names, # is the key, + the key of the caller and one.
+LINKS = (
+    "(0, 'f#', 1, 'f#'), (0, 'f#', 99, 'f#'), (2, 'C#.run', 0, 'C#.stop'), (2, 'C#.stop', -1, 'f#'), (3, 'f#', 8, 'f#'), "
+    "(4, 'f#', 0, 'f#.f+'), (5, 'f#', -2, 'f#'), (6, 'f#', -6, 'f#'), (6, 'f#', -4, 'C#.stop')"
+)
+
+
+def _linked(key: str, name: str, caller: str) -> str:
+    module = f"'m' || lpad(CAST({key} // 8 AS VARCHAR), 12, '0') || '.'"
+    numbered = f"replace({name}, '#', CAST({key} AS VARCHAR))"
+    return f"{module} || replace({numbered}, '+', CAST({caller} + 1 AS VARCHAR))"
+
+
 ORACLES: dict[str, str] = {
     "duplicate_paths": f"""
         {_modules(DOCUMENTED)}
@@ -367,6 +381,27 @@ ORACLES: dict[str, str] = {
         {DEFS}
         SELECT path, name, kind, line, false AS broken FROM {BROKEN_DEFS} b WHERE NOT has_50
         UNION ALL SELECT path, NULL, NULL, NULL, true FROM (SELECT DISTINCT path FROM {BROKEN_DEFS} b WHERE has_50) x""",
+    "extract_definitions_table": f"""
+        {DEFS}
+        SELECT path, name, kind, line, false AS broken FROM {BROKEN_DEFS} b WHERE NOT has_50
+        UNION ALL SELECT path, NULL, NULL, NULL, true FROM (SELECT DISTINCT path FROM {BROKEN_DEFS} b WHERE has_50) x""",
+    "generate_sql": f"""
+        WITH {REQUESTS}
+        SELECT doc_id, 'ok' AS status, 'This ' || definition_type || ' is ' || {DESCRIBED} || ' with ' ||
+               CAST(len(string_split(definition, chr(10))) AS VARCHAR) || ' lines.' AS description
+        FROM rows""",
+    "referenced_definitions": f"""
+        WITH RECURSIVE items AS (SELECT doc_id AS k, doc_id % 8 AS slot FROM documents),
+        links(slot, own, step, other) AS (VALUES {LINKS}),
+        edges AS (
+          SELECT DISTINCT {_linked('a.k', 'own', 'a.k')} AS caller, {_linked('b.k', 'other', 'a.k')} AS callee
+          FROM items a JOIN links USING (slot)
+          JOIN items b ON b.k = CASE WHEN step = 99 THEN (a.k // 8 + 1) * 8 ELSE a.k + step END),
+        walk AS (
+          SELECT caller, callee, 1 AS hops FROM edges
+          UNION SELECT w.caller, e.callee, hops + 1 FROM walk w JOIN edges e ON w.callee = e.caller WHERE hops < 3)
+        SELECT caller AS caller_name, callee AS callee_name, CAST(min(hops) AS INTEGER) AS hops
+        FROM walk WHERE caller <> callee GROUP BY ALL""",
     "extract_definitions_text": f"""
         SELECT 'src/d' || CAST(doc_id AS VARCHAR) || '.py' AS path, v.name || CAST(doc_id AS VARCHAR) AS name, v.kind, v.depth, v.level,
                CASE v.name WHEN 'D' THEN n + 2 WHEN 'outer' THEN n + 3 WHEN 'inner' THEN 2 * n + 5 ELSE 2 * n + 9 END AS line,

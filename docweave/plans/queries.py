@@ -40,6 +40,7 @@ from ..operators.extract import (
 )
 from ..operators.generate import TooManyTokens, first_word, generate, offline_generator
 from ..operators.lookups import lookup_language, validate_types
+from ..operators.references import reachable, references
 from ..operators.requests import (
     cache_misses,
     distinct_requests,
@@ -48,6 +49,7 @@ from ..operators.requests import (
     with_request,
 )
 from ..operators.splice import edit_of, rewritten_code
+from ..operators.sql import register_definitions_table, register_generator
 from ..operators.throttle import RateLimit, RateLimited
 from ..schema import DOC_DATA, FUNCTION_CALL_NAMES, ClassDoc, function_declaration
 from ..sources.code_files import decode_sources, read_sources, register_source, write_sources
@@ -55,7 +57,7 @@ from ..sources.files import make_folder
 from ..sources.globs import require_paths, set_difference, source_paths
 from ..streaming.versions import newest_versions, use_rocksdb
 from ..workspace import new_run_folder
-from .corpus import corpus, text_corpus
+from .corpus import corpus, linked_corpus, text_corpus
 from .document import Run, document_files, document_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -764,6 +766,34 @@ def extract_definitions_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def extract_definitions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Arrow table function over a whole table of modules, of which some are broken."""
+    register_definitions_table(spark)
+    return spark.sql(
+        "SELECT path, name, kind, line, error IS NOT NULL AS broken FROM extract_definitions_table(TABLE({modules}))",
+        modules=_with_broken(spark, sf_dir),
+    )
+
+
+def generate_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generator as a SQL function, over all documents."""
+    register_generator(spark, offline_generator)
+    return spark.sql(
+        "SELECT doc_id, answer.status, answer.data.description FROM (SELECT doc_id, "
+        "generate_docstring(language, definition, definition_type, temperature) AS answer FROM {requests})",
+        requests=_document_requests(spark, sf_dir),
+    )
+
+
+def referenced_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who refers to whom within three hops, by name."""
+    found = references(linked_corpus(spark, sf_dir), roots=["src"])
+    names = found.symbols
+    callers = names.select(F.col("def_id").alias("caller"), F.col("symbol").alias("caller_name"))
+    callees = names.select(F.col("def_id").alias("callee"), F.col("symbol").alias("callee_name"))
+    return reachable(found, hops=3).join(callers, "caller").join(callees, "callee").select("caller_name", "callee_name", "hops")
+
+
 def constant_generator(language, definition, definition_type, temperature):
     return ClassDoc("documents it.")
 
@@ -792,6 +822,9 @@ QUERIES: dict[str, Query] = {
     "routed_requests": routed_requests,
     "extract_definitions_sql": extract_definitions_sql,
     "extract_definitions_text": extract_definitions_text,
+    "extract_definitions_table": extract_definitions_table,
+    "generate_sql": generate_sql,
+    "referenced_definitions": referenced_definitions,
     "rewrite_sources_text": rewrite_sources_text,
     "file_set_difference": file_set_difference,
     "source_stats": source_stats,
