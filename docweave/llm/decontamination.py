@@ -29,9 +29,11 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import new_run_folder
 from .common import WholeRow, map_text, stored
 
 SHINGLE_WORDS, THRESHOLD, RADIUS = 5, 0.8, 23
@@ -216,9 +218,9 @@ def _item_shingles(text: str, word_hash: _Hashes) -> np.ndarray:
     return np.unique(shingles(words, min(SHINGLE_WORDS, len(words)))) if len(words) else words
 
 
-def _counted_items(benchmark: DataFrame) -> tuple[int, DataFrame]:
-    """The number of items with words, and all items with the hashes of their shingles and how many
-    items of the whole benchmark have each."""
+def _counted_items(benchmark: DataFrame) -> tuple[int, int, DataFrame]:
+    """The number of items with words, the bytes of all texts, and all items with the hashes of their
+    shingles and how many items of the whole benchmark have each."""
 
     def factory() -> Callable[[list[str]], list[tuple]]:
         word_hash = _Hashes()
@@ -236,37 +238,49 @@ def _counted_items(benchmark: DataFrame) -> tuple[int, DataFrame]:
         .agg(F.collect_list(F.struct("hash", "n")).alias("counted"))
     )
     rows = items.join(weights, F.col("number") == F.col("item"), "left").select(
-        "item_id", "text", F.col("counted")["hash"].alias("hashes"), F.col("counted")["n"].alias("counts")
+        "number", "item_id", "text", F.col("counted")["hash"].alias("hashes"), F.col("counted")["n"].alias("counts")
     )
-    return items.where(F.size("shingles") > 0).count(), rows
+    total = items.agg(F.count_if(F.size("shingles") > 0), F.sum(F.octet_length("text"))).first()
+    return total[0], total[1] or 0, rows
 
 
 Block = tuple[list[tuple[int, str]], tuple[int, np.ndarray, np.ndarray]]
 
 
-def _blocks_of(benchmark: DataFrame) -> list[Block]:
-    """The benchmark's items, in blocks of at most BLOCK_BYTES of text (one item at least), each with
-    the counts of its shingles in the whole benchmark."""
-    n_items, rows = _counted_items(benchmark)
-    blocks: list[Block] = []
-    items: list[tuple[int, str]] = []
-    counts: dict[int, int] = {}
-    held = 0
-
-    def close() -> None:
+class Blocks:
+    """The benchmark's items in blocks of at most BLOCK_BYTES of text and one more item, each with the
+    counts of its shingles in the whole benchmark. Blocks are made and written by Spark; only their
+    numbers, and one block at a time, come to the driver."""
+
+    def __init__(self, benchmark: DataFrame):
+        self.n_items, total, rows = _counted_items(benchmark)
+        in_order = Window.partitionBy("bucket").orderBy("item_id", "text", "number")
+        before = F.sum(F.octet_length("text")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+        dealt = rows.withColumn(
+            "bucket", F.pmod(F.xxhash64("number"), F.lit(-(-total // BLOCK_BYTES) or 1)).cast("int")
+        ).withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / F.lit(BLOCK_BYTES)).cast("int"))
+        self.spark = benchmark.sparkSession
+        _, folder = new_run_folder(self.spark)
+        self.folder = f"{folder}/blocks"
+        dealt.write.partitionBy("bucket", "part").parquet(self.folder)
+        self.schema = rows.schema
+        found = self.spark.read.schema(dealt.schema).parquet(self.folder)
+        self.names = [tuple(r) for r in found.select("bucket", "part").distinct().orderBy("bucket", "part").collect()]
+
+    def __len__(self) -> int:
+        return max(1, len(self.names))
+
+    def read(self, number: int) -> Block:
+        items: list[tuple[int, str]] = []
+        counts: dict[int, int] = {}
+        if self.names:
+            bucket, part = self.names[number]
+            rows = self.spark.read.schema(self.schema).parquet(f"{self.folder}/bucket={bucket}/part={part}")
+            for row in rows.orderBy("item_id", "text").collect():
+                items.append((row["item_id"], row["text"]))
+                counts.update(zip(row["hashes"] or (), row["counts"] or ()))
         hashes = np.fromiter(counts.keys(), np.int64, len(counts)).view(np.uint64)
-        blocks.append((items, (n_items, hashes, np.fromiter(counts.values(), np.int64, len(counts)))))
-
-    for row in rows.orderBy("item_id", "text").toLocalIterator():
-        size = len(row["text"].encode())
-        if held + size > BLOCK_BYTES and items:
-            close()
-            items, counts, held = [], {}, 0
-        held += size
-        items.append((row["item_id"], row["text"]))
-        counts.update(zip(row["hashes"] or (), row["counts"] or ()))
-    close()
-    return blocks
+        return items, (self.n_items, hashes, np.fromiter(counts.values(), np.int64, len(counts)))
 
 
 def find_items(
@@ -280,9 +294,7 @@ def find_items(
         "items array<struct<item_id: bigint, similarity: double, start_word: bigint, end_word: bigint>>"
     )
 
-    def one_block(of: DataFrame, block: Block, kept: dict[str, Column]) -> DataFrame:
-        shared = of.sparkSession.sparkContext.broadcast(block)
-
+    def one_block(of: DataFrame, shared: Broadcast, kept: dict[str, Column] | None, text: str) -> DataFrame:
         def factory() -> Callable[[list[str]], list[tuple]]:
             items, counted = shared.value
             index = Index(items, threshold, radius, counted)
@@ -296,22 +308,28 @@ def find_items(
 
         return map_text(of, text, kept, made, factory)
 
-    blocks = _blocks_of(benchmark)
+    blocks = Blocks(benchmark)
+    broadcast = rows.sparkSession.sparkContext.broadcast
     if len(blocks) == 1:
-        return one_block(rows, blocks[0], passed)
-    # Further blocks: pass after pass over rows that carry what was found so far.
-    held = rows.select(
-        F.struct(*[c.alias(n) for n, c in passed.items()]).alias("passed"),
-        F.col(text).alias("text"),
-        F.array().cast(made.removeprefix("items ").replace(": ", ":")).alias("before"),
-    )
-    text = "text"
-    for block in blocks:
-        kept = {name: F.col(name) for name in ("passed", "text", "before")}
-        held = stored(one_block(held, block, kept), "passes").select(
-            "passed", "text", F.concat("before", "items").alias("before")
-        )
-    return held.select("passed.*", F.col("before").alias("items"))
+        return one_block(rows, broadcast(blocks.read(0)), passed, text)
+    # Further blocks: the rows are written once, and numbered; a pass over their texts for each block
+    # keeps the numbers and items of the rows that hold any.
+    whole = isinstance(passed, WholeRow)
+    kept = F.struct(*[c.alias(n) for n, c in passed.items()]).alias("passed")
+    own_text = [] if whole else [F.col(text).alias("text")]
+    held = stored(rows.select(F.monotonically_increasing_id().alias("number"), kept, *own_text), "rows")
+    texts = held.select("number", (F.col("passed")["row"][text] if whole else F.col("text")).alias("text"))
+    _, folder = new_run_folder(rows.sparkSession)
+    for number in range(len(blocks)):
+        shared = broadcast(blocks.read(number))
+        found = one_block(texts, shared, {"number": F.col("number")}, "text").where(F.size("items") > 0)
+        found.write.parquet(f"{folder}/pass={number}")
+        shared.destroy()
+    passes = rows.sparkSession.read.schema(found.schema).parquet(folder)
+    all_items = F.array_sort(F.flatten(F.collect_list("items"))).alias("items")
+    hits = passes.groupBy("number").agg(all_items)
+    joined = held.drop("text").join(hits, "number", "left")
+    return joined.select("passed.*", F.coalesce("items", F.array().cast(hits.schema["items"].dataType)).alias("items"))
 
 
 def contaminated_pairs(rows: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

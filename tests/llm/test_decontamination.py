@@ -88,6 +88,30 @@ def test_planted_passages(spark, monkeypatch, block):
     assert {r["doc_id"] for r in clean.collect()} == {3, 5, 7, 9}
 
 
+def test_many_blocks_give_the_pairs_of_one(spark, monkeypatch):
+    """Fifty blocks: each read alone, the rows written once, copies of an item in several blocks."""
+    items = [(i, prose(i % 45, 20 + i % 9)) for i in range(120)] + [(200, "  "), (None, prose(3, 23)), (201, None)]
+    texts = [prose(300 + i) + " " + prose(i, 20 + i % 9) + " " + prose(400 + i) for i in range(45)] + [None, ""]
+    docs = documents(spark, texts, True)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = lambda: sorted(map(tuple, decontamination.contaminated_pairs(docs, benchmark).collect()), key=repr)
+    one = rows()
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 330)
+    blocks = decontamination.Blocks(benchmark)
+    assert len(blocks) >= 50
+    read = [blocks.read(n) for n in range(len(blocks))]
+    assert max(sum(len(t.encode()) for _, t in block[0]) for block in read) <= 330 + 300
+    assert sorted((i for block in read for i, _ in block[0]), key=repr) == sorted((i for i, t in items if t is not None), key=repr)
+    monkeypatch.setattr(decontamination.Blocks, "__len__", lambda self: len(self.names))
+    written = []
+    keep = decontamination.stored
+    monkeypatch.setattr(decontamination, "stored", lambda rows, name, *a: (written.append(name), keep(rows, name, *a))[1])
+    assert rows() == one and len({r[0] for r in one}) == 45
+    assert written.count("rows") == 1 and set(written) == {"items", "rows"}
+    clean = decontamination.clean_rows(docs, benchmark)
+    assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [45, 46]
+
+
 def test_hamming_lists_hold_all_within_the_radius():
     items = [(i, prose(i % 7, 30) if i % 2 else altered(prose(i % 7, 30), [i % 30])) for i in range(60)]
     index = decontamination.Index(items)
