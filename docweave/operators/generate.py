@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import gc
 import inspect
 import json
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from itertools import islice
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.prompt import prompt_messages
 from ..functions.text import token_count as estimated_tokens
@@ -40,25 +43,15 @@ from ..schema import (
     ReturnDoc,
     function_declaration,
 )
+from .answers import checked_answer
 from .lookups import validate_types
 from .throttle import RATE_LIMIT_CODE, Pace, RateLimit, paced
 
 Generator = Callable[..., Any]
 
-_ANSWER = pa.schema(
-    [
-        ("cache_key", pa.string()),
-        ("definition_type", pa.string()),
-        ("raw", pa.string()),
-        ("is_reply", pa.bool_()),
-        ("status", pa.string()),
-        ("error", pa.string()),
-    ]
-)
-_ANSWER_DDL = (
-    "cache_key STRING, definition_type STRING, raw STRING, is_reply BOOLEAN, "
-    "status STRING, error STRING"
-)
+_CHECKED_DDL = f"cache_key STRING, data {DOC_DATA}, status STRING, error STRING"
+#: Rows of one batch of answers.
+ANSWERS = 1024
 
 
 class TooManyTokens(Exception):
@@ -67,10 +60,20 @@ class TooManyTokens(Exception):
     code = TOO_MANY_TOKENS_CODE
 
 
+def _record(value: Any) -> dict:
+    """A record within a record, for the JSON encoder."""
+    if dataclasses.is_dataclass(value) and not isinstance(value, type):
+        return {field.name: getattr(value, field.name) for field in dataclasses.fields(value)}
+    raise TypeError(f"Object of type {type(value).__name__} is not JSON serializable")
+
+
+_JSON = json.JSONEncoder(ensure_ascii=False, default=_record)
+
+
 def _as_json(data: Any) -> str:
     if dataclasses.is_dataclass(data):
-        data = dataclasses.asdict(data)
-    elif hasattr(data, "model_dump"):
+        return _JSON.encode(data) if not isinstance(data, type) else json.dumps(dataclasses.asdict(data))
+    if hasattr(data, "model_dump"):
         data = data.model_dump()
     elif hasattr(data, "dict") and not isinstance(data, Mapping):
         data = data.dict()
@@ -125,7 +128,7 @@ def _refused(answer: dict) -> float | None:
 def generate(
     requests: DataFrame,
     func: Generator,
-    max_workers: int,
+    max_workers: int | None,
     limit: RateLimit | None = None,
     token_count: Callable[[Column], Column] = estimated_tokens,
 ) -> DataFrame:
@@ -135,20 +138,25 @@ def generate(
     fewer calls in a minute. They are dealt by an expression that no other exchange has: by
     the key itself, Spark would keep only the exchange of the step before and merge its small
     partitions. Write the result down before using it twice: each evaluation calls the
-    generator again. With a limit, calls keep to it and refused ones are tried again.
+    generator again. With a limit, calls keep to it and refused ones are tried again. Without
+    ``max_workers`` (and limit), requests are called in the partitions that the caller has put them into.
     """
     tasks = max_workers if limit is None else max(1, min(max_workers, int(limit.calls_per_minute)))
 
+    schema = to_arrow_schema(StructType.fromDDL(_CHECKED_DDL))
+
+    def checked(answers: Iterable[dict]) -> Iterator[pa.RecordBatch]:
+        rows = ({"cache_key": answer["cache_key"], **checked_answer(answer)} for answer in answers)
+        while chunk := list(islice(rows, ANSWERS)):
+            yield pa.RecordBatch.from_pylist(chunk, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if limit is None:
-            for batch in batches:
-                answers = [call_generator(func, request) for request in batch.to_pylist()]
-                yield pa.RecordBatch.from_pylist(answers, schema=_ANSWER)
-            return
+        gc.freeze()  # what the worker has loaded need not be searched for cycles again
         rows = (request for batch in batches for request in batch.to_pylist())
-        answered = paced(rows, lambda request: call_generator(func, request), _refused, limit, Pace(limit, tasks))
-        while chunk := list(islice(answered, 256)):
-            yield pa.RecordBatch.from_pylist(chunk, schema=_ANSWER)
+        if limit is None:
+            yield from checked(call_generator(func, request) for request in rows)
+        else:
+            yield from checked(paced(rows, lambda r: call_generator(func, r), _refused, limit, Pace(limit, tasks)))
 
     wanted = ["cache_key", "language", "definition", "definition_type", "temperature"]
     refused = None
@@ -165,8 +173,10 @@ def generate(
     if limit is not None and limit.tokens_per_minute:
         requests = requests.withColumn("tokens", token_count(F.col("definition")))
         wanted.append("tokens")
-    dealt = requests.select(*wanted).repartition(tasks, F.xxhash64("cache_key", F.lit("call")))
-    answers = check_answers(dealt.mapInArrow(run, _ANSWER_DDL))
+    dealt = requests.select(*wanted)
+    if tasks is not None:
+        dealt = dealt.repartition(tasks, F.xxhash64("cache_key", F.lit("call")))
+    answers = dealt.mapInArrow(run, _CHECKED_DDL)
     return answers if refused is None else answers.unionByName(refused)
 
 
@@ -187,7 +197,7 @@ def _answer_columns() -> tuple[Column, Column, Column]:
 
 
 def check_answers(raw: DataFrame) -> DataFrame:
-    """Validate replies and arguments; only a fully valid answer gets the status ``ok``."""
+    """As ``checked_answer``, for a table of answers: validate replies and arguments; only a fully valid answer gets the status ``ok``."""
     reply, data, status = _answer_columns()
     read = validate_types(raw).withColumn("reply", reply).withColumn("data", data)
     return read.withColumn("status", status).select(
