@@ -30,6 +30,12 @@ def with_request(definitions: DataFrame, language: str, temperature: float) -> D
     )
 
 
+def distinct_keys(rows: DataFrame, row_id: str) -> DataFrame:
+    """``(cache_key, pick, uses)``: each key with the hash of one row's name and its number of rows."""
+    names = rows.select("cache_key", F.xxhash64(row_id).alias("pick"))
+    return names.groupBy("cache_key").agg(F.min("pick").alias("pick"), F.count("*").alias("uses"))
+
+
 def distinct_requests(rows: DataFrame, row_id: str) -> DataFrame:
     """One row per key with its number of uses. ``row_id`` names each row; store ``rows`` first.
 
@@ -38,7 +44,7 @@ def distinct_requests(rows: DataFrame, row_id: str) -> DataFrame:
     copies of a frequent text do not meet in one task.
     """
     texts = rows.withColumn("pick", F.xxhash64(row_id))
-    picked = texts.groupBy("cache_key").agg(F.min("pick").alias("pick"), F.count("*").alias("uses"))
+    picked = distinct_keys(rows, row_id)
     kept = ["cache_key", "language", "definition", "definition_type", "temperature"]
     optional = [name for name in ("model",) if name in rows.columns]
     return (

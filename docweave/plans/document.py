@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -33,7 +34,7 @@ from ..operators.extract import definition_id, parse_modules
 from ..operators.generate import generate
 from ..operators.requests import (
     cache_misses,
-    distinct_requests,
+    distinct_keys,
     hot_keys,
     join_by_key,
     with_request,
@@ -44,6 +45,7 @@ from ..sources.code_files import decode_sources, read_sources, write_sources
 from ..sources.globs import require_paths, source_paths
 from ..workspace import (
     drop_folder,
+    file_sizes,
     list_folder,
     new_run_folder,
     read_small_file,
@@ -51,8 +53,10 @@ from ..workspace import (
     write_small_file,
 )
 
+REQUEST_COLUMNS = ["cache_key", "language", "definition", "definition_type", "temperature", "model"]
 MADE_DDL = f"cache_key STRING, data {DOC_DATA}, status STRING, error STRING"
-KEY_SPACE = 16**8
+#: Of a run's tables: texts take a half to two thirds of what they take by default.
+COMPRESSION = "zstd"
 #: Files in a run's folder: its outputs are staged; they are all written.
 STAGED, PUBLISHED = "staged.json", "published.json"
 
@@ -75,8 +79,20 @@ class Run:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def save(self, name: str, rows: DataFrame) -> DataFrame:
-        """Write rows down and go on from there: nothing upstream is computed again."""
-        rows.write.parquet(f"{self.folder}/{name}")
+        """Write rows down and go on from there: nothing upstream is computed again.
+
+        Definitions are bucketed by path, with as many in a file as a task is to call for.
+        """
+        written = rows.write.format("parquet").option("compression", COMPRESSION)
+        if name.startswith("definitions/"):
+            (
+                written.bucketBy(_slices(self.spark), "path")
+                .option("maxRecordsPerFile", self.config.calls_per_task)
+                .option("path", f"{self.folder}/{name}")
+                .saveAsTable(_bucketed_name(self, name))
+            )
+        else:
+            written.save(f"{self.folder}/{name}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
 
     def parsed(self) -> DataFrame:
@@ -267,18 +283,19 @@ def _document(run: Run, files: DataFrame) -> None:
             _document_level(run, level)
         run.save("outputs", _outputs(run))
     finally:  # the names only; the tables' files stay
-        run.spark.sql(f"DROP TABLE IF EXISTS {_bucketed_name(run)}")
+        for name in ("parsed", *(f"definitions/level={level}" for level in range(run.levels))):
+            run.spark.sql(f"DROP TABLE IF EXISTS {_bucketed_name(run, name)}")
         if run.cache is not None:
             run.cache.close()
 
 
-def _bucketed_name(run: Run) -> str:
-    return f"spark_catalog.default.docweave_parsed_{run.run_id}"
+def _bucketed_name(run: Run, name: str) -> str:
+    return f"spark_catalog.default.docweave_{re.sub(r'\W', '_', name)}_{run.run_id}"
 
 
-def _bucketed(run: Run) -> DataFrame:
-    """Parsed modules as a bucketed table: joins by path leave them where they are."""
-    return run.spark.table(_bucketed_name(run))
+def _bucketed(run: Run, name: str = "parsed") -> DataFrame:
+    """Parsed modules, or definitions, as a bucketed table: joins by path leave them where they are."""
+    return run.spark.table(_bucketed_name(run, name))
 
 
 def _slices(spark: SparkSession) -> int:
@@ -299,8 +316,9 @@ def _write_parsed(run: Run, files: DataFrame) -> None:
         parsed.write.format("parquet")
         .partitionBy("rounds")
         .bucketBy(_slices(run.spark), "path")
+        .option("compression", COMPRESSION)
         .option("path", f"{run.folder}/parsed")
-        .saveAsTable(_bucketed_name(run))
+        .saveAsTable(_bucketed_name(run, "parsed"))
     )
 
 
@@ -313,13 +331,10 @@ def _document_level(run: Run, level: int) -> None:
     total = Observation()
     candidates = run.save(f"definitions/{at}", texts.observe(total, F.count("*").alias("n")))
 
-    # Sorted by key within each file, so a wave of calls reads only its own part.
     distinct = Observation()
-    requests = run.save(
-        f"requests/{at}",
-        distinct_requests(candidates, "def_id").observe(distinct, F.count("*").alias("n")),
-    )
-    answers = _answers(run, requests, distinct.get["n"], level)
+    keys = distinct_keys(candidates, "def_id").observe(distinct, F.count("*").alias("n"))
+    requests = run.save(f"requests/{at}", keys)
+    answers = _answers(run, requests, distinct.get["n"], total.get["n"], level)
 
     hot = hot_keys(requests, total.get["n"], _slices(run.spark))
     placed = candidates.drop("definition", "language", "temperature", "model")
@@ -380,12 +395,12 @@ def _edits(run: Run, level: int | None = None) -> DataFrame:
     )
 
 
-def _answers(run: Run, requests: DataFrame, count: int, level: int) -> DataFrame:
-    """``(cache_key, data, status, error)``: one answer per requested key.
+def _answers(run: Run, requests: DataFrame, count: int, total: int, level: int) -> DataFrame:
+    """``(cache_key, data, status, error)``: one answer per requested key (``count`` of ``total`` rows).
 
-    What neither an earlier level nor the cache has answered is found once, and dealt to waves in
-    folders of their own; each wave reads its folder, calls the generator and commits. So neither
-    the cache nor the requests are listed or read again from wave to wave. The cache stays in
+    What neither an earlier level nor the cache has answered is found once, by keys; its texts stay
+    in the parts that the paths have. Each wave reads parts of its own, calls the generator and commits. So
+    neither the cache nor the requests are listed or read again from wave to wave. The cache stays in
     its buckets: only keys are brought to it.
     """
     answers = f"{run.folder}/answers"
@@ -399,41 +414,77 @@ def _answers(run: Run, requests: DataFrame, count: int, level: int) -> DataFrame
         known.append(run.cache.lookup(requests, run.segments))
     own = f"{answers}/level={level}"
     if not known:
-        _call(run, requests, count, level, own)
+        folder = _texts_to_call(run, requests, level, copies=count < total)
+        _call(run, folder, count, own)
         return made(f"{own}/*")
-    hits = run.save(f"hits/level={level}", functools.reduce(DataFrame.unionByName, known))
-    _call(run, cache_misses(requests, hits), count, level, own)
+    found = Observation()
+    everything = functools.reduce(DataFrame.unionByName, known).observe(found, F.count("*").alias("n"))
+    hits = run.save(f"hits/level={level}", everything)
+    if found.get["n"] == 0:
+        _call(run, _texts_to_call(run, requests, level, copies=count < total), count, own)
+    else:
+        misses = run.save(f"missing/level={level}", cache_misses(requests, hits))
+        if misses.isEmpty():  # leaves the folder that is read next
+            run.save(f"answers/level={level}/wave=0", run.spark.createDataFrame([], MADE_DDL))
+        else:
+            _call(run, _texts_to_call(run, misses, level, copies=True), count, own)
     kept = hits.select("cache_key", "data", F.lit(OK).alias("status"), F.lit(None).cast("string").alias("error"))
     return made(f"{own}/*").unionByName(kept)
 
 
-def _call(run: Run, misses: DataFrame, count: int, level: int, own: str) -> None:
-    """Generate for ``misses`` (at most ``count``) and commit the answers, wave by wave."""
+def _texts_to_call(run: Run, requests: DataFrame, level: int, copies: bool) -> str:
+    """The folder with one text for each of ``requests``, at most ``calls_per_task`` in a file.
+
+    Without ``copies`` it is that of the definitions. Otherwise one row of each key is written anew; keys
+    and paths move to find it, texts do not.
+    """
+    definitions = _bucketed(run, f"definitions/level={level}").withColumn("pick", F.xxhash64("def_id"))
+    if not copies:
+        return f"{run.folder}/definitions/level={level}"
+    found = definitions.select("cache_key", "pick", "path").join(
+        requests.select("cache_key", "pick").hint("shuffle_hash"), ["cache_key", "pick"], "left_semi"
+    )
+    picked = found.repartition(_slices(run.spark), "path").groupBy("path").agg(F.collect_list("pick").alias("picks"))
+    folder = f"{run.folder}/misses/level={level}"
+    (
+        definitions.join(picked, "path")
+        .where(F.array_contains("picks", F.col("pick")))
+        .select([name for name in REQUEST_COLUMNS if name in definitions.columns])
+        .write.option("compression", COMPRESSION)
+        .option("maxRecordsPerFile", run.config.calls_per_task)
+        .parquet(folder)
+    )
+    return folder
+
+
+def _call(run: Run, folder: str, count: int, own: str) -> None:
+    """Generate for the texts in ``folder`` (at most ``count``) and commit the answers, wave by wave.
+
+    A wave is as many files as hold, by their bytes, ``max_workers * calls_per_task`` texts. They are
+    called where they are read, unless a limit of rates has to know its tasks.
+    """
     config = run.config
-    waves = max(1, -(-count // (config.max_workers * config.calls_per_task)))
-    limits = {}
+    limits, workers = {}, None
     if config.rate_limit is not None:
-        limits = {"limit": config.rate_limit, "token_count": config.token_count}
-
-    def answer(part: DataFrame, wave: int) -> None:
-        answers = generate(part, config.generate_docstring_func, config.max_workers, **limits)
-        folder = f"{own}/wave={wave}"
-        answers.select("cache_key", "data", "status", "error").write.parquet(folder)
+        limits, workers = {"limit": config.rate_limit, "token_count": config.token_count}, config.max_workers
+    files = {name: size for name, size in file_sizes(run.spark, folder).items() if name.startswith("part-")}
+    share = sum(files.values()) * config.max_workers * config.calls_per_task / max(count, 1)
+    waves: list[list[str]] = []
+    held = 0.0
+    for name, size in sorted(files.items()):
+        if not waves or held + size > share:
+            waves.append([])
+            held = 0.0
+        waves[-1].append(f"{folder}/{name}")
+        held += size
+    schema = run.spark.read.parquet(folder).schema
+    for number, names in enumerate(waves):
+        part = run.spark.read.schema(schema).parquet(*names)
+        part = part.select([name for name in REQUEST_COLUMNS if name in part.columns]).coalesce(config.max_workers)
+        answers = generate(part, config.generate_docstring_func, workers, **limits)
+        answers = run.save(f"{own.removeprefix(run.folder)[1:]}/wave={number}", answers.select("cache_key", "data", "status", "error"))
         if run.cache is not None:
-            run.cache.commit(run.spark.read.schema(MADE_DDL).parquet(folder).where(F.col("status") == OK))
-
-    if waves == 1:
-        answer(misses, 0)
-        return
-    start = F.conv(F.substring("cache_key", 1, 8), 16, 10).cast("bigint")
-    dealt = misses.withColumn("wave", F.floor(start * F.lit(waves) / F.lit(KEY_SPACE)).cast("int"))
-    folder = f"{run.folder}/misses/level={level}"
-    dealt.repartition(_slices(run.spark), "wave").write.partitionBy("wave").parquet(folder)
-    present = run.spark.read.schema(dealt.schema).parquet(folder).select("wave").distinct().collect()
-    for number in sorted(row["wave"] for row in present):
-        answer(run.spark.read.schema(misses.schema).parquet(f"{folder}/wave={number}"), number)
-    if not present:  # leaves the folder that is read next
-        answer(misses, 0)
+            run.cache.commit(answers.where(F.col("status") == OK))
 
 
 @functools.cache

@@ -51,6 +51,12 @@ def list_folder(spark: SparkSession, folder: str) -> list[str]:
     return [found.getPath().getName() for found in system.listStatus(path)] if system.exists(path) else []
 
 
+def file_sizes(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Names and bytes of what is in a folder."""
+    system, path = _opened(spark, folder)
+    return {found.getPath().getName(): found.getLen() for found in system.listStatus(path)}
+
+
 def read_small_file(spark: SparkSession, name: str) -> str:
     system, path = _opened(spark, name)
     stream = system.open(path)
