@@ -22,7 +22,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import DOC_DATA
@@ -58,11 +58,16 @@ class AnswerCache:
         self.buckets = int(there[0].removeprefix(prefix)) if there else buckets
         self.root = f"{path.rstrip('/')}/{prefix}{self.buckets}"
         self._tables: list[str] = []
+        self._read: dict[str, Segment] = {}
 
     def manifests(self) -> list[Segment]:
+        """Those that are there now; each is read once, since none ever changes."""
         folder = f"{self.root}/manifests"
-        names = [n for n in list_folder(self.spark, folder) if n.endswith(".json")]
-        return [Segment(**json.loads(read_small_file(self.spark, f"{folder}/{n}"))) for n in sorted(names)]
+        names = sorted(n for n in list_folder(self.spark, folder) if n.endswith(".json"))
+        for name in names:
+            if name not in self._read:
+                self._read[name] = Segment(**json.loads(read_small_file(self.spark, f"{folder}/{name}")))
+        return [self._read[name] for name in names]
 
     def segments(self) -> list[Segment]:
         """The live ones: those that no other replaces."""
@@ -108,16 +113,18 @@ class AnswerCache:
     def _write(self, answers: DataFrame, replaced: list[Segment]) -> None:
         name = uuid.uuid4().hex
         table = f"spark_catalog.default.docweave_segment_{name}"
+        counted = Observation()
         (
-            answers.write.format("parquet")
+            answers.observe(counted, F.count("*").alias("n"))
+            .write.format("parquet")
             .bucketBy(self.buckets, "cache_key")
             .sortBy("cache_key")
+            .option("compression", "zstd")
             .option("path", self._folder(name))
             .saveAsTable(table)
         )
-        rows = self.spark.table(table).count()
         self.spark.sql(f"DROP TABLE {table}")
-        made = Segment(name, rows, time.time(), [one.name for one in replaced])
+        made = Segment(name, counted.get["n"], time.time(), [one.name for one in replaced])
         write_small_file(self.spark, f"{self.root}/manifests/{name}.json", json.dumps(vars(made)))
 
     def compact(self, whole: bool = True) -> None:
