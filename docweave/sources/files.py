@@ -127,13 +127,16 @@ def write_text(path: str, text: str, check: Callable[[], None] = _unchecked) ->
     try:
         with open(draft, "wb") as file:
             file.write(data)
-        if os.path.exists(local):
+        try:
             os.chmod(draft, os.stat(local).st_mode & 0o7777)
+        except FileNotFoundError:
+            pass  # a new file
         check()
         os.replace(draft, local)
-    finally:  # gone already unless something failed
+    except BaseException:
         if os.path.lexists(draft):
             os.unlink(draft)
+        raise
 
 
 def _write_remote(path: str, data: bytes, check: Callable[[], None] = _unchecked) -> None:
